@@ -27,7 +27,7 @@ from pyspark.sql import Window
 
 #: a series with more rows than this is cut into chunks
 MAX_SERIES_ROWS = 2_000_000
-CHUNK_ROWS = 500_000
+CHUNK_ROWS = 100_000
 #: with more oversized series than this, every series is cut (their list is no longer small)
 MAX_LISTED_SERIES = 10_000
 #: rows (not table rows but aggregated ones) that may be fetched to look up a cut

@@ -47,7 +47,7 @@ def random_split(
 def _as_long(df: DataFrame, name: str) -> Column:
     kind = df.schema[name].dataType
     if isinstance(kind, T.TimestampNTZType):  # the same wall clock in UTC, whatever the session time zone is
-        return F.unix_micros(F.to_utc_timestamp(F.col(name).cast("timestamp"), F.current_timezone()))
+        return F.unix_micros(F.from_utc_timestamp(F.col(name).cast("timestamp"), F.current_timezone()))
     if isinstance(kind, T.TimestampType):
         return F.unix_micros(name)
     return F.col(name).cast("bigint")

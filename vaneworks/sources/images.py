@@ -16,6 +16,7 @@ _NAME = r"([^/]+)$"
 # The two forms of a file-name time, day only and day with time of day.
 _FULL_NAME = r"^(\d{8}_\d{6})"
 _DAY_TOKEN = r"^([^_.]+)"
+_ISO_TOKEN = r"^\d{4}-\d{2}-\d{2}"
 
 
 def file_time(path: Column, key_mode: str = "full") -> Column:
@@ -25,7 +26,11 @@ def file_time(path: Column, key_mode: str = "full") -> Column:
     text before the first underscore, so the hourly files of one day share a key. NULL when nothing parses.
     """
     name = F.regexp_extract(path, _NAME, 1)
-    day = F.try_to_timestamp(F.regexp_extract(name, _DAY_TOKEN, 1), F.lit("yyyyMMdd")).cast("timestamp_ntz")
+    token = F.regexp_extract(name, _DAY_TOKEN, 1)
+    day = F.coalesce(
+        F.try_to_timestamp(token, F.lit("yyyyMMdd")).cast("timestamp_ntz"),
+        F.when(token.rlike(_ISO_TOKEN), token.try_cast("timestamp_ntz")),
+    )
     if key_mode == "first_token":
         return day
     if key_mode != "full":

@@ -39,14 +39,17 @@ def read_requests(
     return reader.schema(schema).load(path)
 
 
+def _step_value(place: int):
+    return lambda step: step[place]
+
+
 def snapshot_features(df: DataFrame, length: int, features: Sequence[str] = FEATURES) -> DataFrame:
     """A snapshot stands for a whole window: it is repeated ``length`` times and pooled like one."""
     repeated = df.withColumn("seq", repeat_snapshot(feature_vector(features), length))
     pooled = {}
-    for i, name in enumerate(features):
-        steps = F.transform(F.col("seq"), lambda step, i=i: step[i])
-        total = F.aggregate(steps, F.lit(0.0), lambda acc, x: acc + x)
-        pooled[f"mean_{name}"] = total / F.size("seq")
+    for place, name in enumerate(features):
+        steps = F.transform("seq", _step_value(place))
+        pooled[f"mean_{name}"] = F.aggregate(steps, F.lit(0.0), lambda acc, x: acc + x) / F.size("seq")
         pooled[f"min_{name}"] = F.array_min(steps)
         pooled[f"max_{name}"] = F.array_max(steps)
         pooled[f"last_{name}"] = F.element_at(steps, -1)
