@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -30,6 +30,8 @@ MAX_SERIES_ROWS = 2_000_000
 CHUNK_ROWS = 100_000
 #: with more oversized series than this, every series is cut (their list is no longer small)
 MAX_LISTED_SERIES = 10_000
+#: narrow rows that may be sent to every executor (about 25 MB)
+BROADCAST_ROWS = 100_000
 #: rows (not table rows but aggregated ones) that may be fetched to look up a cut
 FETCH_ROWS = 50_000
 
@@ -55,6 +57,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def join_small(df: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join values that exist once per key, and are narrow, to many rows.
+
+    ``per_key`` is broadcast if a count shows it within ``BROADCAST_ROWS``. Beyond that both sides are shuffled, and
+    adaptive execution splits the partition of a key that holds many of the rows.
+    """
+    if per_key.select(*keys).limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        per_key = F.broadcast(per_key)
+    return df.join(per_key, list(keys), how)
+
+
 # --- global order ----------------------------------------------------------------------------------------------
 
 
@@ -131,18 +144,21 @@ def hash_rank(df: DataFrame, ids: Sequence[str], seed: int, out: str = "rank", b
     )
 
 
-def hash_cuts(df: DataFrame, ids: Sequence[str], seed: int, ranks: Sequence[int]) -> list[str | None]:
+def hash_cuts(
+    df: DataFrame, ids: Sequence[str], seed: int, ranks: Callable[[int], Sequence[int]]
+) -> list[str | None]:
     """Hash of the ``rank``-th row (1-based) of the seeded order for each rank; None for ranks below 1.
 
-    Counts per prefix find the prefix that holds a rank, then only rows below that prefix are looked at again.
+    ``ranks`` gets the number of rows. Counts per prefix find the prefix that holds a rank, then only rows below that
+    prefix are looked at again.
     """
     hashed = df.select(seeded_hash(ids, seed).alias("_hash"))
-    open_cuts = {rank: ("", rank) for rank in ranks if rank >= 1}
+    length = _HEX_PER_STEP
+    counts = _prefix_counts(hashed, (), length)
+    wanted = list(ranks(sum(n for _, n in counts)))
+    open_cuts = {rank: ("", rank) for rank in wanted if rank >= 1}
     found: dict[int, str] = {}
-    length = 0
     while open_cuts:
-        length += _HEX_PER_STEP
-        counts = _prefix_counts(hashed, sorted({p for p, _ in open_cuts.values()}), length)
         held = dict(counts)
         for rank, (prefix, left) in open_cuts.items():
             for candidate, n in counts:
@@ -161,21 +177,29 @@ def hash_cuts(df: DataFrame, ids: Sequence[str], seed: int, ranks: Sequence[int]
             open_cuts = {}
         elif length >= 32:
             raise ValueError("rows with equal ids: the seeded order needs unique ids")
-    return [found.get(rank) for rank in ranks]
+        else:
+            length += _HEX_PER_STEP
+            counts = _prefix_counts(hashed, sorted({p for p, _ in open_cuts.values()}), length)
+    return [found.get(rank) for rank in wanted]
 
 
-def key_at_rank(df: DataFrame, columns: Sequence[Column], rank: int) -> tuple[int, ...] | None:
-    """Values of the integer ``columns`` in the row at 0-based position ``rank`` of the order by them.
+def key_at_rank(
+    df: DataFrame, columns: Sequence[Column], rank_of: Callable[[int], int]
+) -> tuple[int, ...] | None:
+    """Values of the integer ``columns`` in the row at 0-based position ``rank_of(rows)`` of the order by them.
 
-    Each pass counts rows in equal-width bins and keeps the bin that holds the position; None when ``rank`` is
-    outside the table. No row is shuffled: a pass returns at most a few thousand counts.
+    Each pass counts rows in equal-width bins and keeps the bin that holds the position; None when the position is
+    outside the table. No row is shuffled: a pass returns at most ``FETCH_ROWS`` counts.
     """
+    rank = None
     keys = df.select(*[c.cast("bigint").alias(f"_k{i}") for i, c in enumerate(columns)])
     result: list[int] = []
     for i in range(len(columns)):
         col = F.col(f"_k{i}")
         span = keys.agg(F.min(col).alias("lo"), F.max(col).alias("hi"), F.count(col).alias("n")).first()
         lo, hi, n = span["lo"], span["hi"], span["n"]
+        if rank is None:
+            rank = rank_of(n)
         if rank < 0 or rank >= n:
             return None
         while lo < hi:

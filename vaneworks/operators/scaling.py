@@ -8,11 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vaneworks.functions.vectors import present
+from vaneworks.operators.scale import join_small
 from vaneworks.schema import FEATURES, SERIES
 
-#: broadcast per-series parameters only up to this many series (about 25 MB)
-BROADCAST_SERIES = 100_000
-
 
 def _known(name: str) -> Column:
     """NaN counts as missing; Spark's own aggregates would turn the whole result into NaN."""
@@ -62,11 +60,7 @@ def apply_scaler(df: DataFrame, params: DataFrame, features: Sequence[str] = FEA
 def apply_series_scaler(
     df: DataFrame, params: DataFrame, by: Sequence[str] = (SERIES,), features: Sequence[str] = FEATURES
 ) -> DataFrame:
-    """As ``apply_scaler`` with parameters per series. A series without parameters gets NULL features.
-
-    The parameter side is broadcast after counting it; beyond the bound the join shuffles and adaptive execution
-    splits the partition of a giant series.
-    """
+    """As ``apply_scaler`` with parameters per series. A series without parameters gets NULL features."""
     names = present(df, features)
     wide = (
         params.groupBy(*by)
@@ -74,8 +68,6 @@ def apply_series_scaler(
         .agg(F.first(F.struct("mean", "scale")))
         .select(*by, *[F.col(name).alias(f"_fit_{name}") for name in names])
     )
-    if params.select(*by).distinct().limit(BROADCAST_SERIES + 1).count() <= BROADCAST_SERIES:
-        wide = F.broadcast(wide)
-    joined = df.join(wide, list(by), "left")
+    joined = join_small(df, wide, by, "left")
     scaled = {name: (F.col(name) - F.col(f"_fit_{name}.mean")) / F.col(f"_fit_{name}.scale") for name in names}
     return joined.withColumns(scaled).drop(*[f"_fit_{name}" for name in names])

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from vaneworks.operators.scale import hash_cuts, hash_rank, key_at_rank, row_index, running, seeded_hash
+from vaneworks.functions.times import wall_micros
+from vaneworks.operators.scale import hash_cuts, hash_rank, join_small, key_at_rank, row_index, running, seeded_hash
 from vaneworks.schema import ORDER, ROW_ID, SERIES, TIME
 
 
@@ -31,10 +32,11 @@ def random_split(
     Only two hashes are searched for (aggregates over the ids); the split itself is a projection, so the rows - with
     all their features - are neither shuffled nor sorted.
     """
-    n = df.select(*ids).count()
-    n_train = part_size(n, train)
-    n_head = n_train + part_size(n, val)
-    last_train, last_val = hash_cuts(df, ids, seed, [n_train, n_head])
+
+    def sizes(n: int) -> list[int]:
+        return [part_size(n, train), part_size(n, train) + part_size(n, val)]
+
+    last_train, last_val = hash_cuts(df, ids, seed, sizes)
     h = seeded_hash(ids, seed)
     part = F.lit("test")
     if last_val is not None:
@@ -46,8 +48,8 @@ def random_split(
 
 def _as_long(df: DataFrame, name: str) -> Column:
     kind = df.schema[name].dataType
-    if isinstance(kind, T.TimestampNTZType):  # the same wall clock in UTC, whatever the session time zone is
-        return F.unix_micros(F.from_utc_timestamp(F.col(name).cast("timestamp"), F.current_timezone()))
+    if isinstance(kind, T.TimestampNTZType):
+        return wall_micros(F.col(name))
     if isinstance(kind, T.TimestampType):
         return F.unix_micros(name)
     return F.col(name).cast("bigint")
@@ -75,7 +77,7 @@ def head_split(
     without it the two parts share rows.
     """
     keys = [_as_long(df, c) for c in order]
-    cut = key_at_rank(df, keys, part_size(df.select(order[0]).count(), train))
+    cut = key_at_rank(df, keys, lambda n: part_size(n, train))
     if cut is None:  # all rows are train (or there are none)
         return df.withColumn(out, F.lit("train"))
     head = _before(keys, cut)
@@ -99,7 +101,7 @@ def series_head_split(
     sizes = df.groupBy(*series).agg(F.count("*").alias("_size"))
     head = F.floor(F.col("_size") * F.lit(float(train)))
     part = F.when(F.col("_pos") <= head - gap, "train").when(F.col("_pos") <= head, "gap").otherwise("val")
-    return counted.join(sizes, list(series)).withColumn(out, part).drop("_pos", "_size")
+    return join_small(counted, sizes, series).withColumn(out, part).drop("_pos", "_size")
 
 
 def shuffled_batches(
@@ -121,8 +123,13 @@ def ordered_batches(
 def samples_at(
     df: DataFrame, positions: Sequence[int], order: Sequence[str] = ORDER, out: str = "sample_idx"
 ) -> DataFrame:
-    """The rows at 0-based positions of the given order, with their position; positions outside give no row."""
-    return row_index(df, order, out=out).where(F.col(out).isin(*[int(p) for p in positions]))
+    """The rows at 0-based positions of the given order, with their position; positions outside give no row.
+
+    Only the order columns are sorted and written; the rows are then picked by key, one key per asked position.
+    """
+    wanted = [int(p) for p in positions]
+    keys = row_index(df.select(*order), order, out=out).where(F.col(out).isin(*wanted))
+    return df.join(F.broadcast(keys), list(order))  # at most len(positions) rows
 
 
 def split_counts(df: DataFrame, split: str = "split", label: str = "label") -> DataFrame:

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vaneworks.functions.times import wall_micros
 from vaneworks.operators.scale import materialise, scratch_path
 from vaneworks.operators.windows import series_position
 from vaneworks.schema import FEATURES, JSON_CONTENT
@@ -44,13 +45,18 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def imagery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every observation but each fiftieth has an image, each twentieth a second one under a greater path."""
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("_vec"), F.col("embedding").alias("pixels"))
+    # the key below is a remainder by 500, so 500 vectors are all that can match: a bounded side to broadcast
+    vectors = (
+        table(spark, sf_dir, "embeddings")
+        .where(F.col("vec_id") < 500)
+        .select(F.col("vec_id").alias("_vec"), F.col("embedding").alias("pixels"))
+    )
 
     def taken(rows: DataFrame, folder: str, shift: int) -> DataFrame:
         path = F.concat(F.lit(f"{folder}/"), F.col("event_id").cast("string"))
         return (
             rows.withColumn("_vec", (F.col("event_id") + shift) % 500)
-            .join(vectors, "_vec")
+            .join(F.broadcast(vectors), "_vec")
             .select(F.col("user_id").alias("series_id"), F.col("ts").alias("timestamp"), path.alias("path"), "pixels")
         )
 
@@ -126,19 +132,12 @@ def write_image_files(spark: SparkSession, sf_dir: str) -> str:
     return folder
 
 
-def write_in_time_order(df: DataFrame, time: str, parts: int, name: str) -> str:
-    """Write ``df`` as ``parts`` sets of files, earlier rows in earlier files; returns the folder."""
-    spark = df.sparkSession
-    folder = scratch_path(spark, name)
-    seconds = F.unix_micros(F.col(time).cast("timestamp"))
-    rows = materialise(df.withColumn("_at", seconds), f"{name}-rows")
-    cuts = rows.agg(F.percentile_approx("_at", [i / parts for i in range(1, parts)], 10000).alias("q")).first()["q"]
-    edges = [None, *cuts, None]
-    for low, high in zip(edges, edges[1:]):
-        part = rows
-        if low is not None:
-            part = part.where(F.col("_at") > low)
-        if high is not None:
-            part = part.where(F.col("_at") <= high)
-        part.drop("_at").coalesce(1).write.mode("append").parquet(folder)
-    return folder
+def time_slices(df: DataFrame, time: str, parts: int, name: str) -> list[DataFrame]:
+    """``df`` cut at time quantiles into ``parts`` tables, the earliest first."""
+    rows = materialise(df.withColumn("_at", wall_micros(F.col(time))), name)
+    shares = [i / parts for i in range(1, parts)]
+    cuts = rows.agg(F.percentile_approx("_at", shares, 10_000).alias("q")).first()["q"]
+    piece = F.lit(0)
+    for cut in cuts:
+        piece = piece + F.when(F.col("_at") > cut, 1).otherwise(0)
+    return [rows.where(piece == i).drop("_at") for i in range(parts)]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vaneworks.functions import vectors
 from vaneworks.functions.cells import cell_means
+from vaneworks.functions.times import wall_micros
 from vaneworks.operators import history as hist
 from vaneworks.operators import metrics, models, scaling, splits, windows
 from vaneworks.operators.scale import materialise, scratch_path
@@ -45,8 +46,7 @@ def _r(column: Column | str, name: str | None = None) -> Column:
 
 
 def _micros(column: Column | str) -> Column:
-    value = F.col(column) if isinstance(column, str) else column
-    return F.unix_micros(value.cast("timestamp"))
+    return wall_micros(F.col(column) if isinstance(column, str) else column)
 
 
 def _complete(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
@@ -425,8 +425,8 @@ def _(spark, sf):
 
 
 def _fused(spark: SparkSession, sf: str) -> DataFrame:
-    best = windows.latest_images(fixtures.imagery(spark, sf))
-    pooled = windows.pool_images(best, *fixtures.IMAGE_SHAPE, grid=2)
+    # pooled while scanning: the shuffles that follow move four numbers per image instead of its pixels
+    pooled = windows.latest_images(windows.pool_images(fixtures.imagery(spark, sf), *fixtures.IMAGE_SHAPE, grid=2))
     return windows.labelled_windows(fixtures.observations(spark, sf), pooled, LENGTH, pool=POOL, cells=4)
 
 
@@ -580,11 +580,13 @@ def _(spark, sf):
 
 
 def _stream_windows(spark: SparkSession, sf: str, name: str, **options) -> WindowStream:
+    """Four deliveries of rows, each followed by a run of the stream that resumes from its checkpoint."""
     obs = fixtures.observations(spark, sf)
-    source = fixtures.write_in_time_order(obs, "timestamp", 4, f"{name}-source")
-    stream = spark.readStream.schema(obs.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    source = scratch_path(spark, f"{name}-source")
     online = WindowStream(scratch_path(spark, name), obs.schema, LENGTH, ("temperature", "humidity"), **options)
-    online.start(stream).awaitTermination()
+    for delivery in fixtures.time_slices(obs, "timestamp", 4, f"{name}-rows"):
+        delivery.write.mode("append").parquet(source)
+        online.start(spark.readStream.schema(obs.schema).parquet(source)).awaitTermination()
     return online
 
 
