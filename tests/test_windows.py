@@ -1,0 +1,132 @@
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import START, images_for, observation_rows, observations, same_rows
+from test_scale import OPTIONS
+from vaneworks.operators import windows
+from vaneworks.schema import FEATURES
+
+
+def expected(rows, has_image, length):
+    """Windows by plain loops: (series, first event) -> (per-step temperatures, label, label time)."""
+    out = {}
+    for series in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == series), key=lambda r: (r[1], r[2]))
+        for i in range(len(own) - length):
+            part = own[i : i + length]
+            if all((r[0], r[1]) in has_image for r in part):
+                out[(series, part[0][2])] = ([r[3] for r in part], own[i + length][-1], own[i + length][1])
+    return out
+
+
+@pytest.mark.parametrize("options", OPTIONS)
+def test_complete_windows_equal_the_loop(spark, options):
+    rows = observation_rows({1: 120, 2: 30, 3: 5, 4: 6, 5: 7})
+    skip = lambda i: i % 17 == 3
+    has_image = {(r[0], r[1]) for i, r in enumerate(rows) if not skip(i)}
+    want = expected(rows, has_image, 6)
+    got = windows.labelled_windows(
+        observations(spark, rows), images_for(spark, rows, skip), 6, pool=("mean", "min", "max", "last"),
+        sequence=True, **options,
+    )
+    found = {(r["series_id"], r["event_id"]): r for r in got.collect()}
+    assert set(found) == set(want)
+    for key, (temperatures, label, time) in want.items():
+        r = found[key]
+        assert [step[0] for step in r["seq"]] == temperatures
+        assert len(r["seq"]) == 6 and all(len(step) == len(FEATURES) for step in r["seq"])
+        assert r["mean_temperature"] == pytest.approx(sum(temperatures) / 6)
+        assert (r["min_temperature"], r["max_temperature"]) == (min(temperatures), max(temperatures))
+        assert r["last_temperature"] == temperatures[-1]
+        assert (r["label"], r["label_timestamp"]) == (label, time)
+
+
+@pytest.mark.parametrize("n, count", [(6, 0), (7, 1), (5, 0), (0, 0)])
+def test_window_count_at_the_edge(spark, n, count):
+    df = observations(spark, observation_rows({1: n}))
+    assert windows.labelled_windows(df, None, 6, pool=()).count() == count
+
+
+@pytest.mark.parametrize("chunk_rows", [6, 7, 50, 500])
+def test_one_giant_series_without_a_key(spark, chunk_rows):
+    rows = observation_rows({1: 200})
+    df = observations(spark, rows)
+    plain = windows.labelled_windows(df, None, 6, features=("temperature",), strategy="partition").drop("series_id")
+    cut = windows.labelled_windows(df, None, 6, features=("temperature",), series=(), chunk_rows=chunk_rows)
+    same_rows(cut, plain)
+
+
+def test_tied_times_use_the_row_id(spark):
+    rows = [(1, START, 10 - i, *[float(i)] * 8, i % 2) for i in range(8)]
+    got = windows.labelled_windows(observations(spark, rows), None, 3, features=("temperature",), sequence=True, pool=())
+    first = got.orderBy("event_id").first()
+    assert first["event_id"] == 3 and [s[0] for s in first["seq"]] == [7.0, 6.0, 5.0] and first["label"] == 0
+
+
+def test_a_missing_label_is_not_the_end_of_the_series(spark):
+    rows = observation_rows({1: 10}, labels=[None] * 10)
+    got = windows.labelled_windows(observations(spark, rows), None, 6, pool=())
+    assert [r["label"] for r in got.collect()] == [None] * 4
+
+
+def test_several_images_per_time_do_not_multiply_windows(spark):
+    rows = observation_rows({1: 20})
+    images = images_for(spark, rows)
+    twice = images.unionByName(images.withColumn("path", F.concat(F.lit("b/"), "path")))
+    df = observations(spark, rows)
+    same_rows(
+        windows.labelled_windows(df, twice, 6).select("event_id", "mean_temperature"),
+        windows.labelled_windows(df, images, 6).select("event_id", "mean_temperature"),
+    )
+
+
+def test_latest_image_has_the_greatest_path(spark):
+    rows = observation_rows({1: 3})
+    images = images_for(spark, rows)
+    newer = images.select("series_id", "timestamp", F.concat(F.lit("b/"), "path").alias("path"),
+                          F.transform("pixels", lambda v: v + 100).alias("pixels"))
+    best = windows.latest_images(newer.unionByName(images))
+    assert {r["path"] for r in best.collect()} == {"b/a/0", "b/a/1", "b/a/2"}
+    assert min(r["pixels"][0] for r in best.collect()) == 100.0
+
+
+def test_mark_images_needs_the_exact_time(spark):
+    rows = observation_rows({1: 4})
+    near = spark.createDataFrame(
+        [(1, START + dt.timedelta(seconds=1), "x"), (2, START, "y"), (1, START + dt.timedelta(hours=2), "z")],
+        "series_id bigint, timestamp timestamp_ntz, path string",
+    )
+    got = windows.mark_images(observations(spark, rows), near)
+    assert [r["has_image"] for r in got.orderBy("event_id").collect()] == [False, False, True, False]
+
+
+@pytest.mark.parametrize("options", OPTIONS[:3])
+def test_pixels_are_stacked_in_time_order(spark, options):
+    rows = observation_rows({1: 70, 2: 9})
+    got = windows.labelled_windows(
+        observations(spark, rows), images_for(spark, rows), 6, pool=(), pixels="pixels", **options
+    )
+    found = got.collect()
+    assert len(found) == 64 + 3
+    for r in found:
+        assert [p[0] for p in r["images"]] == [float(r["event_id"] + i) for i in range(6)]
+
+
+def test_cells_are_pooled_before_the_window(spark):
+    rows = observation_rows({1: 8})
+    pooled = windows.pool_images(images_for(spark, rows), 1, 2, 2, grid=2)
+    got = windows.labelled_windows(observations(spark, rows), pooled, 6, pool=(), cells=4).orderBy("event_id").first()
+    assert [got[f"mean_cell_{i}"] for i in range(4)] == [2.5, 1.0, 2.0, 4.0]
+    assert windows.window_feature_columns(windows.labelled_windows(
+        observations(spark, rows), pooled, 6, pool=("mean",), cells=1
+    )) == [*[f"mean_{f}" for f in FEATURES], "mean_cell_0"]
+
+
+def test_no_pixels_in_the_window_shuffle(spark):
+    rows = observation_rows({1: 8})
+    df = windows.labelled_windows(observations(spark, rows), images_for(spark, rows), 6)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "pixels" not in "".join(line for line in plan.splitlines() if "Exchange" in line or "Window" in line)
+    assert "SinglePartition" not in plan

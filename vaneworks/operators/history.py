@@ -28,7 +28,10 @@ def early_stopping(
     """
     if min_delta < 0 or patience < 1:
         raise ValueError("min_delta must not be negative and patience must be at least 1")
-    keyed = history.select(*run, F.col(epoch).alias("_epoch"), F.col(loss).alias("_loss"))
+    keyed = history.select(*run, F.col(epoch).cast("bigint").alias("_epoch"), F.col(loss).alias("_loss"))
+    # the epoch at which the run stops if this one turns out to be its last improvement
+    laid = lay_out(keyed, run, ["_epoch"], after=patience, **layout_options)
+    keyed = laid.own_rows(laid.df.withColumn("_stop", F.lead("_epoch", patience).over(laid.window())))
     ranked = running(
         keyed,
         run,
@@ -39,53 +42,36 @@ def early_stopping(
     # the running minimum of (loss, epoch) sits at the row itself exactly when its loss is a new record
     record = F.col("_low._epoch") == F.col("_epoch")
     per_run = ranked.groupBy(*run).agg(
-        F.collect_list(F.when(record, F.struct("_pos", "_epoch", "_loss"))).alias("_records"),
-        F.max("_pos").alias("_n"),
+        F.collect_list(F.when(record, F.struct("_pos", "_epoch", "_loss", "_stop"))).alias("_records"),
+        F.min(F.when(F.col("_pos") == patience, F.col("_epoch"))).alias("_stop_without_best"),
     )
     start = F.struct(
         F.lit(float("inf")).alias("best"),
         F.lit(-1).cast("bigint").alias("best_epoch"),
         F.lit(0).cast("bigint").alias("best_pos"),
-        F.lit(-1).cast("bigint").alias("stop_pos"),
+        F.col("_stop_without_best").alias("stop"),
+        F.lit(False).alias("stopped"),
     )
 
     def step(state, x):
-        late = x["_pos"] - state["best_pos"] > patience  # the run stopped before this epoch
-        stopped = F.struct(
-            state["best"].alias("best"),
-            state["best_epoch"].alias("best_epoch"),
-            state["best_pos"].alias("best_pos"),
-            (state["best_pos"] + patience).alias("stop_pos"),
-        )
         improved = F.struct(
             x["_loss"].alias("best"),
-            x["_epoch"].cast("bigint").alias("best_epoch"),
+            x["_epoch"].alias("best_epoch"),
             x["_pos"].alias("best_pos"),
-            state["stop_pos"].alias("stop_pos"),
-        )
-        return (
-            F.when(state["stop_pos"] >= 0, state)
-            .when(late, stopped)
-            .when(x["_loss"] < state["best"] - F.lit(float(min_delta)), improved)
-            .otherwise(state)
+            x["_stop"].alias("stop"),
+            F.lit(False).alias("stopped"),
         )
+        over = state["stopped"] | (x["_pos"] - state["best_pos"] > patience)
+        return F.when(over, state.withField("stopped", F.lit(True))).when(
+            x["_loss"] < state["best"] - F.lit(float(min_delta)), improved
+        ).otherwise(state)
 
-    folded = per_run.select(*run, "_n", F.aggregate(F.array_sort("_records"), start, step).alias("_s"))
-    stop_pos = (
-        F.when(F.col("_s.stop_pos") >= 0, F.col("_s.stop_pos"))
-        .when(F.col("_n") - F.col("_s.best_pos") >= patience, F.col("_s.best_pos") + patience)
-    )
-    decided = folded.select(
+    state = per_run.select(*run, F.aggregate(F.array_sort("_records"), start, step).alias("_s"))
+    return state.select(
         *run,
         F.col("_s.best_epoch").alias("best_epoch"),
         F.when(F.col("_s.best_epoch") >= 0, F.col("_s.best")).alias("best_loss"),
-        stop_pos.alias("_pos"),
-    )
-    at = ranked.select(*run, "_pos", F.col("_epoch").cast("bigint").alias("_stop"))
-    return (
-        decided.join(at, [*run, "_pos"], "left")
-        .withColumn("stop_epoch", F.coalesce("_stop", F.lit(-1).cast("bigint")))
-        .drop("_pos", "_stop")
+        F.coalesce("_s.stop", F.lit(-1).cast("bigint")).alias("stop_epoch"),
     )
 
 

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import Counter
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -37,6 +38,7 @@ FETCH_ROWS = 50_000
 
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row number in the lower 33 bits
 _HEX_PER_STEP = 4
+_HASH_LENGTH = 32
 _BINS_PER_STEP = 4096
 
 
@@ -169,17 +171,19 @@ def hash_cuts(
                     left -= n
             else:
                 raise ValueError(f"rank {rank} is beyond the last row")
-        if sum(held[p] for p in {p for p, _ in open_cuts.values()}) <= FETCH_ROWS:
-            inside = sorted({p for p, _ in open_cuts.values()})
-            rows = sorted(r[0] for r in hashed.where(F.substring("_hash", 1, length).isin(*inside)).collect())
+        inside = sorted({p for p, _ in open_cuts.values()})
+        if length >= _HASH_LENGTH or sum(held[p] for p in inside) <= FETCH_ROWS:
+            if length >= _HASH_LENGTH:
+                rows = {p: held[p] for p in inside}  # a prefix is a whole hash now
+            else:
+                rows = Counter(r[0] for r in hashed.where(F.substring("_hash", 1, length).isin(*inside)).collect())
+            if max(rows.values()) > 1:
+                raise ValueError("rows with equal ids: the seeded order needs unique ids")
             for rank, (prefix, left) in open_cuts.items():
-                found[rank] = [h for h in rows if h.startswith(prefix)][left - 1]
-            open_cuts = {}
-        elif length >= 32:
-            raise ValueError("rows with equal ids: the seeded order needs unique ids")
-        else:
-            length += _HEX_PER_STEP
-            counts = _prefix_counts(hashed, sorted({p for p, _ in open_cuts.values()}), length)
+                found[rank] = sorted(h for h in rows if h.startswith(prefix))[left - 1]
+            break
+        length += _HEX_PER_STEP
+        counts = _prefix_counts(hashed, inside, length)
     return [found.get(rank) for rank in wanted]
 
 
