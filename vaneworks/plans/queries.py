@@ -13,7 +13,7 @@ from vaneworks.functions.times import wall_micros
 from vaneworks.operators import history as hist
 from vaneworks.operators import metrics, models, scaling, splits, windows
 from vaneworks.operators.scale import materialise, scratch_path
-from vaneworks.plans import fixtures
+from vaneworks.plans import fixtures, training_job
 from vaneworks.schema import FEATURES, PipelineConfig
 from vaneworks.sources import images as image_files
 from vaneworks.sources import observations as observation_files
@@ -558,6 +558,18 @@ def _(spark, sf):
     )
 
 
+@query("g8_train_and_evaluate")
+def _(spark, sf):
+    return training_job.run(
+        spark,
+        fixtures.observations(spark, sf),
+        fixtures.imagery(spark, sf),
+        scratch_path(spark, "training-job"),
+        PipelineConfig(max_iter=20),
+        fixtures.IMAGE_SHAPE,
+    )
+
+
 # --- streams ---------------------------------------------------------------------------------------------------
 
 

@@ -44,6 +44,14 @@ def trailing_windows(
     return laid.own_rows(found).select(*series, *order, *[f"mean_{name}" for name in features])
 
 
+def last_rows(rows: DataFrame, n: int, series: Sequence[str] = (SERIES,), order: Sequence[str] = ORDER) -> DataFrame:
+    """The last ``n`` rows of each series. The limit is applied before the shuffle too, so a giant series sends at
+    most ``n`` rows per input partition."""
+    last_first = Window.partitionBy(*series).orderBy(*[F.desc(c) for c in order])
+    ranked = rows.withColumn("_rank", F.row_number().over(last_first))
+    return ranked.where(F.col("_rank") <= n).drop("_rank")
+
+
 class WindowStream:
     """Online windows with a stored state under ``folder`` (shared by all executors).
 
@@ -103,9 +111,7 @@ class WindowStream:
             batch.unpersist()
 
     def _write_state(self, rows: DataFrame, batch_id: int) -> None:
-        # the rank limit is applied before the shuffle too, so no task receives more than its inputs' last rows
-        last_first = Window.partitionBy(*self.series).orderBy(*[F.desc(c) for c in self.order])
-        kept = rows.withColumn("_rank", F.row_number().over(last_first)).where(F.col("_rank") <= self.length - 1)
+        kept = last_rows(rows, self.length - 1, self.series, self.order)
         if self.idle_seconds is not None:
             now = rows.agg(F.max(TIME).alias("now")).first()["now"]
             if now is not None:
