@@ -1,0 +1,54 @@
+"""The registered queries against their SQL, on the smallest tables."""
+
+import sys
+from pathlib import Path
+
+import duckdb
+import pytest
+
+from conftest import SF
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[1] / "tools"))
+
+import __spark_entry__ as contract
+from check_oracles import TABLES, rows_of
+
+# fitted models have no SQL form
+ROWS_ONLY = {"a8_model_state", "g1_fit_logistic", "g2_boosted_trees", "g3_batch_score", "g4_search", "g8_train_and_evaluate"}
+
+
+@pytest.fixture(scope="module")
+def db():
+    connection = duckdb.connect()
+    for name in TABLES.split():
+        connection.execute(f"create view {name} as select * from '{SF}/{name}.parquet'")
+    return connection
+
+
+def test_every_query_has_sql_unless_it_fits_a_model():
+    assert set(contract.queries()) - set(contract.oracle_sql()) == ROWS_ONLY
+    assert set(contract.oracle_sql()) <= set(contract.queries())
+
+
+@pytest.mark.parametrize("name", sorted(set(contract.queries()) - ROWS_ONLY))
+def test_query_equals_sql(spark, db, name):
+    got = contract.queries()[name](spark, SF)
+    cursor = db.execute(contract.oracle_sql()[name])
+    columns = [d[0] for d in cursor.description]
+    assert sorted(columns) == sorted(got.columns)
+    assert rows_of(got.columns, got.collect()) == rows_of(columns, cursor.fetchall())
+
+
+def test_flagship(spark):
+    assert contract.entry(spark).count() == 506
+
+
+def test_model_state_scores_alike(spark):
+    rows = contract.queries()["a8_model_state"](spark, SF).collect()
+    assert len(rows) == 506 and all(r["p_before"] == r["p_after"] for r in rows)
+
+
+def test_training_job_reports_every_split(spark):
+    got = {r["split"]: r for r in contract.queries()["g8_train_and_evaluate"](spark, SF).collect()}
+    assert set(got) == {"train", "gap", "val"} and sum(r["n"] for r in got.values()) == 506
+    assert all(0 <= r["auc"] <= 1 and r["loss"] >= 0 and 0 <= r["ece"] <= 1 for r in got.values())

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import observation_rows, observations, same_rows
 from vaneworks.functions import vectors
-from vaneworks.functions.cells import cell_means
+from vaneworks.functions.pixels import cell_means, standardise_image
 from vaneworks.operators import scaling
 from vaneworks.schema import FEATURES
 
@@ -32,20 +32,20 @@ def test_absent_features_are_skipped(spark):
 
 def test_image_uses_the_sample_deviation(spark):
     values = [1.0, 2.0, 4.0, 8.0]
-    got = one(spark, values, "array<float>").select(vectors.standardise_image(F.col("v")).alias("v")).first()["v"]
+    got = one(spark, values, "array<float>").select(standardise_image("v").alias("v")).first()["v"]
     mean, dev = statistics.mean(values), statistics.stdev(values)
     assert got == pytest.approx([(v - mean) / dev for v in values])
 
 
 @pytest.mark.parametrize("values", [[3.0, 3.0, 3.0], [5.0], [], None])
 def test_constant_images_have_no_standard_form(spark, values):
-    got = one(spark, values, "array<float>").select(vectors.standardise_image(F.col("v")).alias("v")).first()
+    got = one(spark, values, "array<float>").select(standardise_image("v").alias("v")).first()
     assert got["v"] is None
 
 
 def test_large_values_keep_their_small_deviations(spark):
     values = [1e8 + i for i in range(4)]
-    got = one(spark, values, "array<double>").select(vectors.standardise_image(F.col("v")).alias("v")).first()["v"]
+    got = one(spark, values, "array<double>").select(standardise_image("v").alias("v")).first()["v"]
     assert got == pytest.approx([(i - 1.5) / statistics.stdev([0, 1, 2, 3]) for i in range(4)])
 
 
@@ -88,6 +88,18 @@ def test_cell_means_equal_the_loop(spark, shape, grid):
     assert got[0] == pytest.approx(want) and got[1:] == [None, None]
 
 
+def test_images_of_one_batch_may_differ_in_size(spark):
+    images = [[1.0, 2.0], [], None, [5.0, 5.0], [0.0, 1.0, 5.0], [7.0]]
+    df = spark.createDataFrame(list(enumerate(images)), "id int, v array<double>").coalesce(1)
+    got = {r["id"]: r["m"] for r in df.select("id", standardise_image("v").alias("m")).collect()}
+    for i, values in enumerate(images):
+        if i in (0, 4):
+            mean, dev = statistics.mean(values), statistics.stdev(values)
+            assert got[i] == pytest.approx([(v - mean) / dev for v in values])
+        else:
+            assert got[i] is None
+
+
 def test_cell_grid_must_fit():
     with pytest.raises(ValueError):
         cell_means(1, 4, 4, 5)

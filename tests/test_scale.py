@@ -122,3 +122,14 @@ def test_wide_keys_are_joined_by_shuffle(spark, monkeypatch):
     small = scale.join_small(events, per_user, ["user_id"])
     assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
     same_rows(big, small)
+
+
+def test_scratch_tables_are_released(spark):
+    import os
+
+    scale.release_scratch(spark)
+    kept = scale.materialise(spark.range(3), "kept")
+    path = kept.inputFiles()[0].replace("file://", "")
+    assert kept.count() == 3 and os.path.exists(path)
+    assert scale.release_scratch(spark) == 1 and not os.path.exists(path)
+    assert scale.release_scratch(spark) == 0

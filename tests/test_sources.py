@@ -161,3 +161,14 @@ def test_tables_survive_a_round_trip(spark, tmp_path):
     state.save_table(df, str(tmp_path / "s"))
     state.save_table(df, str(tmp_path / "s"))
     same_rows(state.load_table(spark, str(tmp_path / "s")), df)
+
+
+def test_files_are_decoded_once_and_constant_images_are_rejected(spark, tmp_path):
+    for i, values in enumerate(([0.0, 1.0, 2.0, 3.0], [5.0] * 4)):
+        np.save(tmp_path / f"20240101_0{i}0000.npy", np.array(values).reshape(1, 2, 2))
+    standard = images.standardise_images(images.read_images(spark, str(tmp_path), shape=(1, 2, 2)))
+    good = standard.where("reject_reason is null")
+    plan = good._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2  # one decodes, one standardises
+    assert [r["reject_reason"] for r in standard.orderBy("path").collect()] == [None, "constant_image"]
+    assert good.first()["pixels"] == pytest.approx([-1.161895, -0.387298, 0.387298, 1.161895], abs=1e-6)

@@ -44,11 +44,11 @@ def _sum(values: Column, term) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + term(x))
 
 
-def standardise(values: Column, ddof: int) -> Column:
-    """``(x - mean) / std`` over a whole array, in double; NULL when the deviation is zero or undefined.
+def standardise(values: Column) -> Column:
+    """``(x - mean) / deviation`` over a whole array, with the population deviation; NULL for a constant array.
 
-    ``ddof`` is 1 for images (sample deviation) and 0 for sequences (population deviation). Mean first, squares
-    second: the one-pass form loses the small deviations of large values.
+    Mean first, squares second: the one-pass form loses the small deviations of large values. Sequences are short,
+    so they stay in the JVM; images go through ``pixels.standardise_image``.
     """
     n = F.size(values)
     mean = F.when(n > 0, _sum(values, lambda x: x.cast("double")) / n)
@@ -56,20 +56,15 @@ def standardise(values: Column, ddof: int) -> Column:
 
     def scale(c: Column) -> Column:
         squares = _sum(c, lambda x: x * x)
-        deviation = F.when((squares > 0) & (F.size(c) > ddof), F.sqrt(squares / (F.size(c) - ddof)))
+        deviation = F.when(squares > 0, F.sqrt(squares / F.size(c)))
         return _bind(deviation, lambda d: F.when(d.isNotNull(), F.transform(c, lambda x: x / d)))
 
     return _bind(centred, scale)
 
 
-def standardise_image(pixels: Column) -> Column:
-    """One mean and sample deviation over all pixels; NULL (reason ``constant_image``) for a constant image."""
-    return standardise(pixels, ddof=1)
-
-
 def standardise_sequence(sequence: Column) -> Column:
     """One mean and population deviation over all steps and features of a sequence, which keeps its shape."""
-    flat = standardise(F.flatten(sequence), ddof=0)
+    flat = standardise(F.flatten(sequence))
     width = F.size(F.get(sequence, F.lit(0)))
 
     def reshape(values: Column) -> Column:

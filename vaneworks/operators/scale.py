@@ -36,6 +36,7 @@ BROADCAST_ROWS = 100_000
 #: rows (not table rows but aggregated ones) that may be fetched to look up a cut
 FETCH_ROWS = 50_000
 
+_SCRATCH: list[str] = []
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row number in the lower 33 bits
 _HEX_PER_STEP = 4
 _HASH_LENGTH = 32
@@ -49,7 +50,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="vaneworks-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+def release_scratch(spark: SparkSession) -> int:
+    """Delete the scratch tables this process made; call it when the results that read them are stored."""
+    removed = 0
+    while _SCRATCH:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        removed += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return removed
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -30,7 +30,8 @@ def random_split(
     """Adds ``split``: exactly ``floor(n*train)`` and ``floor(n*val)`` rows, the rest is test.
 
     Only two hashes are searched for (aggregates over the ids); the split itself is a projection, so the rows - with
-    all their features - are neither shuffled nor sorted.
+    all their features - are neither shuffled nor sorted. The search reads ``df`` a few times: pass a written table
+    rather than a long plan.
     """
 
     def sizes(n: int) -> list[int]:
@@ -72,7 +73,8 @@ def head_split(
 ) -> DataFrame:
     """Adds ``split``: the first ``floor(n*train)`` rows in time are train, the rest val.
 
-    ``order`` holds time and integer columns and ends in a unique one. With ``end`` (the time of the last row a
+    ``order`` holds time and integer columns and ends in a unique one. The cut is one key, searched in a few passes
+    over these columns (``df`` should be a written table); the rows are neither shuffled nor sorted. With ``end`` (the time of the last row a
     window looks at) the train windows that reach into the validation part are marked ``gap``; windows overlap, so
     without it the two parts share rows.
     """

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vaneworks.functions.cells import cell_means
+from vaneworks.functions.pixels import cell_means
 from vaneworks.operators.scale import lay_out, running
 from vaneworks.schema import FEATURES, LABEL, ORDER, ROW_ID, SERIES, TIME
 

@@ -7,8 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaneworks.functions import vectors
-from vaneworks.functions.cells import cell_means
+from vaneworks.functions import pixels, vectors
 from vaneworks.functions.times import wall_micros
 from vaneworks.operators import history as hist
 from vaneworks.operators import metrics, models, scaling, splits, windows
@@ -167,10 +166,7 @@ def _(spark, sf):
 
 @query("a9_quarantine")
 def _(spark, sf):
-    decoded = request_json.decode_snapshots(fixtures.requests(spark, sf))
-    good, rejected = observation_files.split_rejected(decoded)
-    reasons = rejected.groupBy(F.col("reject_reason").alias("reason")).agg(F.count("*").alias("n"))
-    return reasons.unionByName(good.agg(F.lit("ok").alias("reason"), F.count("*").alias("n")))
+    return observation_files.count_reasons(request_json.decode_snapshots(fixtures.requests(spark, sf)))
 
 
 # --- projections and arrays ------------------------------------------------------------------------------------
@@ -199,7 +195,7 @@ def _unfold(df: DataFrame, values: str) -> DataFrame:
 @query("b3_image_standardise")
 def _(spark, sf):
     rows = fixtures.table(spark, sf, "embeddings")
-    return _unfold(rows.select("vec_id", vectors.standardise_image(F.col("embedding")).alias("v")), "v")
+    return _unfold(rows.select("vec_id", pixels.standardise_image("embedding").alias("v")), "v")
 
 
 @query("b4_pixel_scale")
@@ -421,7 +417,7 @@ def _(spark, sf):
 @query("e5_image_cells")
 def _(spark, sf):
     rows = fixtures.table(spark, sf, "embeddings")
-    return _unfold(rows.select("vec_id", cell_means(*fixtures.IMAGE_SHAPE, grid=3)("embedding").alias("v")), "v")
+    return _unfold(rows.select("vec_id", pixels.cell_means(*fixtures.IMAGE_SHAPE, grid=3)("embedding").alias("v")), "v")
 
 
 def _fused(spark: SparkSession, sf: str) -> DataFrame:
@@ -466,7 +462,7 @@ def _(spark, sf):
 
 @query("f2_window_gap_split")
 def _(spark, sf):
-    found = _complete(spark, sf, pool=())
+    found = materialise(_complete(spark, sf, pool=()), "windows")  # the cut is searched in a few passes
     rows = splits.head_split(found, order=("window_start", "event_id"), end="label_timestamp")
     return rows.select("series_id", "event_id", "split")
 

@@ -83,8 +83,9 @@ def run(
     """Run the job and return the metrics per split. Everything it produces is a table or a model under ``out``."""
     obs, rejected = observation_files.split_rejected(observation_files.with_reject_reason(obs))
     state.save_table(rejected, f"{out}/rejected")
-    if images is not None and "reject_reason" in images.columns:
-        images = images.where(F.col("reject_reason").isNull()).drop("reject_reason", "shape")
+    if images is not None:
+        images = image_files.standardise_images(images)
+        images = images.where(F.col("reject_reason").isNull()).select(SERIES, TIME, "path", "pixels")
 
     parted = split_windows(prepare(obs, images, config, image_shape, out), config, split)
     state.save_table(fit_window_scaler(obs, parted, config), f"{out}/scaler")

@@ -6,10 +6,11 @@ import io
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vaneworks.functions.pixels import lists, standardise_image
 from vaneworks.schema import IMAGE_SCHEMA, SERIES, TIME
 
 _NAME = r"([^/]+)$"
@@ -40,33 +41,51 @@ def file_time(path: Column, key_mode: str = "full") -> Column:
 
 
 def _decode_one(content: bytes, rank: int, shape: tuple[int, ...] | None) -> tuple:
+    """(shape, float32 values or None, error or None) of one file."""
     try:
         array = np.load(io.BytesIO(content), allow_pickle=False)
     except (ValueError, EOFError, OSError):
         return None, None, "undecodable"
     if array.ndim != rank:
-        return list(array.shape), None, "wrong_rank"
+        return array.shape, None, "wrong_rank"
     if shape is not None and array.shape != shape:
-        return list(array.shape), None, "wrong_shape"
+        return array.shape, None, "wrong_shape"
     if array.dtype.kind not in "fiub":
-        return list(array.shape), None, "not_numeric"
-    return list(array.shape), array.astype(np.float32, copy=False).ravel(), None
+        return array.shape, None, "not_numeric"
+    return array.shape, array.astype(np.float32, copy=False).ravel(), None
 
 
 def decode_npy(rank: int = 3, shape: Sequence[int] | None = None):
     """Arrow UDF from file bytes to ``struct<shape, pixels, error>``; pixels are float32 in row-major order."""
     wanted = tuple(shape) if shape is not None else None
 
-    @F.pandas_udf(IMAGE_SCHEMA)
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(IMAGE_SCHEMA)
+    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for contents in batches:
-            yield pd.DataFrame(
-                [_decode_one(c, rank, wanted) for c in contents], columns=["shape", "pixels", "error"]
-            )
+            decoded = [_decode_one(c.as_py(), rank, wanted) for c in contents]
+            shapes = pa.array([s and list(s) for s, _, _ in decoded], pa.list_(pa.int32()))
+            known = np.array([p is not None for _, p, _ in decoded], dtype=bool)
+            sizes = np.array([0 if p is None else len(p) for _, p, _ in decoded])
+            values = [p for _, p, _ in decoded if p is not None]
+            flat = np.concatenate(values) if values else np.empty(0, np.float32)
+            errors = pa.array([e for _, _, e in decoded], pa.string())
+            yield pa.StructArray.from_arrays([shapes, lists(flat, known, sizes), errors], IMAGE_SCHEMA.names)
 
     return decode
 
 
+def standardise_images(images: DataFrame) -> DataFrame:
+    """Standardised ``pixels``; a constant image loses its pixels and gets the reason ``constant_image``."""
+    known = F.col("reject_reason") if "reject_reason" in images.columns else F.lit(None).cast("string")
+    constant = F.col("pixels").isNotNull() & F.col("_standard").isNull()
+    return (
+        images.withColumn("_standard", standardise_image.asNondeterministic()("pixels"))
+        .withColumn("reject_reason", F.coalesce(known, F.when(constant, F.lit("constant_image"))))
+        .withColumn("pixels", F.col("_standard"))
+        .drop("_standard")
+    )
+
+
 def list_images(spark: SparkSession, path: str) -> DataFrame:
     """The ``.npy`` files directly in ``path``: the suffix is applied while listing, and no byte of a file is read."""
     return (
@@ -91,7 +110,8 @@ def read_images(
     series 0. Files that do not decode, or whose name holds no time, come back with a reason and without pixels.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path)
-    image = decode_npy(rank, shape)(F.col("content"))
+    # not deterministic for the optimizer: a later filter on the reason must not decode every file a second time
+    image = decode_npy(rank, shape).asNondeterministic()(F.col("content"))
     return (
         files.select("path", image.alias("image"))
         .withColumn(TIME, file_time(F.col("path"), key_mode))

@@ -58,6 +58,11 @@ def with_reject_reason(df: DataFrame, features: Sequence[str] = FEATURES, label:
     return df.withColumn("reject_reason", reason)
 
 
+def count_reasons(df: DataFrame) -> DataFrame:
+    """Rows per reason, good ones under ``ok``, in one pass."""
+    return df.groupBy(F.coalesce("reject_reason", F.lit("ok")).alias("reason")).agg(F.count("*").alias("n"))
+
+
 def split_rejected(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good rows, rejected rows with their reason); every input row is in exactly one of them."""
     good = df.where(F.col("reject_reason").isNull()).drop("reject_reason", CORRUPT)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vaneworks.schema import FEATURES, JSON_CONTENT, SEQUENCE_REQUEST_SCHEMA, SNAPSHOT_REQUEST_SCHEMA
 
@@ -14,13 +15,19 @@ def _first_reason(*checks: tuple[Column, str]) -> Column:
     return F.coalesce(*[F.when(condition, F.lit(reason)) for condition, reason in checks])
 
 
+def _parse(df: DataFrame, body: str, schema: T.StructType) -> DataFrame:
+    """Adds ``_request``. The generator parses a text once; as a plain column the parser would be copied into every
+    later condition on one of its fields."""
+    return df.select("*", F.explode(F.array(F.from_json(body, schema, _OPTIONS))).alias("_request"))
+
+
 def decode_snapshots(df: DataFrame, body: str = "body", content_type: str = "content_type") -> DataFrame:
     """Parse requests of one image and one snapshot: adds the features, ``image`` and ``reject_reason``.
 
     A request is rejected for its content type, for text that is not JSON of the expected types, or for a missing
     image or feature; the rest of the batch is not affected.
     """
-    parsed = df.withColumn("_request", F.from_json(body, SNAPSHOT_REQUEST_SCHEMA, _OPTIONS))
+    parsed = _parse(df, body, SNAPSHOT_REQUEST_SCHEMA)
     absent = [F.col(f"_request.weather_data.{name}").isNull() for name in FEATURES]
     any_absent = absent[0]
     for missing in absent[1:]:
@@ -41,7 +48,7 @@ def decode_snapshots(df: DataFrame, body: str = "body", content_type: str = "con
 
 def decode_sequences(df: DataFrame, body: str = "body", content_type: str = "content_type") -> DataFrame:
     """Parse requests of batched images and sequences: adds ``image``, ``sequence`` and ``reject_reason``."""
-    parsed = df.withColumn("_request", F.from_json(body, SEQUENCE_REQUEST_SCHEMA, _OPTIONS))
+    parsed = _parse(df, body, SEQUENCE_REQUEST_SCHEMA)
     width = F.lit(len(FEATURES))
     ragged = F.exists(F.flatten("_request.sequence"), lambda step: ~F.size(step).eqNullSafe(width))
     reason = _first_reason(
