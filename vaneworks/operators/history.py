@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vaneworks.operators.scale import lay_out, running
+from vaneworks.operators.scale import lay_out, running, running_in
 
 
 def early_stopping(
@@ -31,14 +32,11 @@ def early_stopping(
     keyed = history.select(*run, F.col(epoch).cast("bigint").alias("_epoch"), F.col(loss).alias("_loss"))
     # the epoch at which the run stops if this one turns out to be its last improvement
     laid = lay_out(keyed, run, ["_epoch"], after=patience, **layout_options)
-    keyed = laid.own_rows(laid.df.withColumn("_stop", F.lead("_epoch", patience).over(laid.window())))
-    ranked = running(
-        keyed,
-        run,
-        ["_epoch"],
-        {"_pos": ("sum", F.lit(1).cast("bigint")), "_low": ("min", F.struct("_loss", "_epoch"))},
-        **layout_options,
+    laid = replace(laid, df=laid.df.withColumn("_stop", F.lead("_epoch", patience).over(laid.window())))
+    laid = running_in(
+        laid, {"_pos": ("sum", F.lit(1).cast("bigint")), "_low": ("min", F.struct("_loss", "_epoch"))}
     )
+    ranked = laid.own_rows(laid.df)
     # the running minimum of (loss, epoch) sits at the row itself exactly when its loss is a new record
     record = F.col("_low._epoch") == F.col("_epoch")
     per_run = ranked.groupBy(*run).agg(

@@ -18,8 +18,7 @@ import tempfile
 import uuid
 from collections import Counter
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
-from functools import reduce
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -343,23 +342,34 @@ def running(
 ) -> DataFrame:
     """Running ``sum``/``min``/``max`` from the first row of a series to the current one.
 
-    ``totals`` maps an output column to (kind, value). In a cut series each chunk first runs for itself, then takes
-    in the combined value of the chunks before it.
+    ``totals`` maps an output column to (kind, value).
+    """
+    laid = running_in(lay_out(df, series, order, **layout_options), totals)
+    return laid.own_rows(laid.df)
+
+
+def running_in(laid: Layout, totals: dict[str, tuple[str, Column]]) -> Layout:
+    """``running`` over rows that are laid out already, without a halo of earlier rows.
+
+    In a cut series each chunk first runs for itself, then takes in the combined value of the chunks before it. Halo
+    rows follow the rows of their chunk, so they do not disturb its totals; their own are not used.
     """
-    laid = lay_out(df, series, order, **layout_options)
     w = laid.frame(Window.unboundedPreceding, Window.currentRow)
     local = laid.df.select("*", *[_COMBINE[kind][0](value).over(w).alias(name) for name, (kind, value) in totals.items()])
     if not laid.chunked:
-        return local
-    chunks = laid.df.groupBy(*laid.keys).agg(*[_COMBINE[k][0](v).alias(f"_all_{n}") for n, (k, v) in totals.items()])
+        return replace(laid, df=local)
+    chunks = (
+        laid.df.where(~F.col("_halo"))
+        .groupBy(*laid.keys)
+        .agg(*[_COMBINE[kind][0](value).alias(f"_all_{name}") for name, (kind, value) in totals.items()])
+    )
+    series = [c for c in laid.keys if c != "_chunk"]
     earlier = Window.partitionBy(*series).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     prior = chunks.select(
-        *laid.keys, *[_COMBINE[k][0](f"_all_{n}").over(earlier).alias(f"_prior_{n}") for n, (k, _) in totals.items()]
+        *laid.keys,
+        *[_COMBINE[kind][0](f"_all_{name}").over(earlier).alias(f"_prior_{name}") for name, (kind, _) in totals.items()],
     )
-    joined = local.join(prior, list(laid.keys))
-    combined = reduce(
-        lambda d, item: d.withColumn(item[0], _COMBINE[item[1][0]][1](F.col(f"_prior_{item[0]}"), F.col(item[0]))),
-        totals.items(),
-        joined,
+    combined = local.join(prior, list(laid.keys), "left").withColumns(
+        {name: _COMBINE[kind][1](F.col(f"_prior_{name}"), F.col(name)) for name, (kind, _) in totals.items()}
     )
-    return laid.own_rows(combined.drop(*[f"_prior_{n}" for n in totals]))
+    return replace(laid, df=combined.drop(*[f"_prior_{name}" for name in totals]))
