@@ -94,3 +94,32 @@ def test_request_stream_equals_batch_and_resumes(spark, tmp_path):
         scoring.read_requests(spark, "parquet", source), out, checkpoint, scaler, weights
     ).awaitTermination()
     assert spark.read.parquet(out).count() == requests.count()
+
+
+def test_sequence_requests_are_scored_in_their_row(spark):
+    import json
+    import math
+
+    step = lambda v: [float(v)] * 8
+    good = json.dumps({"image": [[[[1.0]]], [[[1.0]]]], "sequence": [[step(1), step(3)], [step(5), step(2)]]})
+    rows = [(1, "application/json", good), (2, "application/json", "{"), (3, "text/csv", good)]
+    df = spark.createDataFrame(rows, "request_id bigint, content_type string, body string")
+    weights = {"intercept": 0.5, "mean_temperature": -0.25, "max_humidity": 0.1, "last_pressure": 0.2, "min_visibility": 0.3}
+    got = {r["request_id"]: r for r in scoring.score_sequences(df, weights).collect()}
+    p = [1 / (1 + math.exp(-m)) for m in (0.5 - 0.5 + 0.3 + 0.6 + 0.3, 0.5 - 0.875 + 0.5 + 0.4 + 0.6)]
+    answer = json.loads(got[1]["response"])
+    assert [x[0] for x in answer["prediction"]] == pytest.approx(p) and answer["probability"] == pytest.approx(p[0])
+    assert got[1]["decision"] is True and got[2]["p"] is None and got[3]["response"] is None
+    plan = scoring.score_sequences(df, weights)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_raw_weights_score_like_scaled_features(spark):
+    obs = fixtures.observations(spark, SF)
+    scaler = scaling.fit_scaler(obs)
+    weights = {"intercept": 0.1, "mean_temperature": 0.5, "last_humidity": -0.3}
+    names = {"mean_temperature": "temperature", "last_humidity": "humidity"}
+    pooled = lambda df: df.withColumns({k: F.col(v) for k, v in names.items()})
+    a = models.score_linear(pooled(scaling.apply_scaler(obs, scaler)), weights).select("event_id", "p")
+    b = models.score_linear(pooled(obs), scoring.raw_weights(weights, scaler)).select("event_id", "p")
+    same_rows(a, b)

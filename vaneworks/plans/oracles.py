@@ -358,6 +358,17 @@ from history window w as (partition by run order by epoch)""",
 select event_id as request_id, reason, case when reason = 'ok' then round(p, 6) else -1e0 end as p,
  case when reason = 'ok' then round(p, 6) else -1e0 end as probability,
  case when reason = 'ok' then cast(p >= 0.5 as int) else -1 end as decision from s""",
+    "h1_sequence_scoring": _with(OBS, f"wide as (select {_WIDE} from obs)")
+    + """, s as (select o.event_id,
+  1e0 / (1e0 + exp(-(-0.25e0 + 0.75e0 * (o.temperature - m.temperature_mean) / m.temperature_scale
+    - 0.5e0 * (o.humidity - m.humidity_mean) / m.humidity_scale
+    + 0.125e0 * (o.pressure - m.pressure_mean) / m.pressure_scale))) as p,
+  1e0 / (1e0 + exp(-(-0.25e0 + 0.75e0 * (2 * o.temperature - m.temperature_mean) / m.temperature_scale
+    - 0.5e0 * (3 * o.humidity - m.humidity_mean) / m.humidity_scale
+    + 0.125e0 * (3 * o.pressure - m.pressure_mean) / m.pressure_scale))) as p2
+  from obs o, wide m)
+select event_id as request_id, round(p, 6) as p, cast(p >= 0.5 as int) as decision, round(p, 6) as first,
+ round(p2, 6) as second from s""",
     "h2_stream_windows": _with(OBS, _TRAILING)
     + "select series_id, event_id, round(mt, 6) as mean_temperature, round(mh, 6) as mean_humidity from ending where n = 24",
     "h3_stream_window_scores": _with(OBS, _TRAILING)

@@ -587,6 +587,27 @@ def _(spark, sf):
     )
 
 
+@query("h1_sequence_scoring")
+def _(spark, sf):
+    v = vectors.feature_vector()
+    growing = F.array(*[F.transform(v, _times(k)) for k in (1, 2, 3)])
+    image = F.array(F.array(F.array(F.array(F.col("temperature").cast("float")))))
+    body = F.to_json(F.struct(image.alias("image"), F.array(vectors.repeat_snapshot(v, 3), growing).alias("sequence")))
+    rows = fixtures.observations(spark, sf).select(
+        F.col("event_id").alias("request_id"), F.lit("application/json").alias("content_type"), body.alias("body")
+    )
+    scaler = scaling.fit_scaler(fixtures.observations(spark, sf))
+    answered = scoring.score_sequences(rows, scoring.raw_weights(WEIGHTS, scaler))
+    back = F.from_json("response", "prediction array<array<double>>, probability double")
+    return answered.select("request_id", _r("p"), F.col("decision").cast("int").alias("decision"), back.alias("back")).select(
+        "request_id", "p", "decision", _r(F.col("back.prediction")[0][0], "first"), _r(F.col("back.prediction")[1][0], "second")
+    )
+
+
+def _times(factor: int):
+    return lambda x: x * factor
+
+
 def _stream_windows(spark: SparkSession, sf: str, name: str, **options) -> WindowStream:
     """Four deliveries of rows, each followed by a run of the stream that resumes from its checkpoint."""
     obs = fixtures.observations(spark, sf)

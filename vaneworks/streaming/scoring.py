@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -13,7 +13,9 @@ from vaneworks.functions.vectors import feature_vector, repeat_snapshot
 from vaneworks.operators.models import score_linear
 from vaneworks.operators.scaling import apply_scaler
 from vaneworks.schema import FEATURES
-from vaneworks.sources.requests import decode_snapshots, encode_responses
+from vaneworks.sources.requests import decode_sequences, decode_snapshots, encode_responses
+
+_KINDS = ("mean", "min", "max", "last")
 
 REQUEST_SCHEMA = T.StructType(
     [
@@ -39,23 +41,71 @@ def read_requests(
     return reader.schema(schema).load(path)
 
 
-def _step_value(place: int):
-    return lambda step: step[place]
+def _pooled(sequence: Column, kind: str, place: int) -> Column:
+    """Statistic over the steps of a sequence of the feature at ``place``."""
+    steps = F.transform(sequence, lambda step: step[place])
+    if kind == "mean":
+        return F.aggregate(steps, F.lit(0.0), lambda acc, x: acc + x) / F.size(steps)
+    return {"min": F.array_min, "max": F.array_max, "last": lambda x: F.element_at(x, -1)}[kind](steps)
 
 
 def snapshot_features(df: DataFrame, length: int, features: Sequence[str] = FEATURES) -> DataFrame:
     """A snapshot stands for a whole window: it is repeated ``length`` times and pooled like one."""
     repeated = df.withColumn("seq", repeat_snapshot(feature_vector(features), length))
-    pooled = {}
-    for place, name in enumerate(features):
-        steps = F.transform("seq", _step_value(place))
-        pooled[f"mean_{name}"] = F.aggregate(steps, F.lit(0.0), lambda acc, x: acc + x) / F.size("seq")
-        pooled[f"min_{name}"] = F.array_min(steps)
-        pooled[f"max_{name}"] = F.array_max(steps)
-        pooled[f"last_{name}"] = F.element_at(steps, -1)
+    pooled = {
+        f"{kind}_{name}": _pooled(F.col("seq"), kind, place) for place, name in enumerate(features) for kind in _KINDS
+    }
     return repeated.withColumns(pooled).drop("seq")
 
 
+def raw_weights(coefficients: dict[str, float], scaler: DataFrame) -> dict[str, float]:
+    """Weights for unscaled pooled features that score like ``coefficients`` do on scaled ones."""
+    fitted = {r["feature"]: (r["mean"], r["scale"]) for r in scaler.select("feature", "mean", "scale").collect()}
+    weights = {"intercept": float(coefficients.get("intercept", 0.0))}
+    for name, weight in coefficients.items():
+        if name != "intercept":
+            mean, scale = fitted[name.split("_", 1)[1]]
+            weights[name] = weight / scale
+            weights["intercept"] -= weight * mean / scale
+    return weights
+
+
+def sequence_scores(sequences: Column, weights: dict[str, float], features: Sequence[str] = FEATURES) -> Column:
+    """Probability of each sequence in an array of sequences, without leaving the row."""
+    places = {name: i for i, name in enumerate(features)}
+
+    def one(sequence: Column) -> Column:
+        margin = F.lit(float(weights.get("intercept", 0.0)))
+        for name, weight in weights.items():
+            if name != "intercept":
+                kind, feature = name.split("_", 1)
+                margin = margin + F.lit(float(weight)) * _pooled(sequence, kind, places[feature])
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
+
+    return F.transform(sequences, one)
+
+
+def score_sequences(requests: DataFrame, weights: dict[str, float], threshold: float = 0.5) -> DataFrame:
+    """Score requests that bring whole sequences: one response per request, with one prediction per sequence.
+
+    ``p`` and ``decision`` belong to the first sequence of the request.
+    """
+    decoded = decode_sequences(requests)
+    scored = decoded.withColumn("predictions", sequence_scores(F.col("sequence"), weights))
+    accepted = F.col("reject_reason").isNull()
+    p = F.when(accepted, F.get("predictions", F.lit(0)))
+    answer = F.struct(
+        F.transform("predictions", lambda x: F.array(x)).alias("prediction"), F.get("predictions", F.lit(0)).alias("probability")
+    )
+    return scored.select(
+        "request_id",
+        "reject_reason",
+        p.alias("p"),
+        (p >= threshold).alias("decision"),
+        F.when(accepted, F.to_json(answer)).alias("response"),
+    )
+
+
 def score_snapshots(
     requests: DataFrame,
     scaler: DataFrame,
