@@ -7,11 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window
 
 from vaneworks.functions.times import wall_micros
 from vaneworks.operators.scale import hash_cuts, hash_rank, join_small, key_at_rank, row_index, running, seeded_hash
-from vaneworks.schema import ORDER, ROW_ID, SERIES, TIME
+from vaneworks.schema import ORDER, ROW_ID, SERIES
 
 
 def part_size(n: int, ratio: float) -> int:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from vaneworks.functions.pixels import cell_means
 from vaneworks.operators.scale import lay_out, running
-from vaneworks.schema import FEATURES, LABEL, ORDER, ROW_ID, SERIES, TIME
+from vaneworks.schema import FEATURES, LABEL, ORDER, SERIES, TIME
 
 _POOL = {"mean": F.avg, "min": F.min, "max": F.max, "last": None}
 

@@ -599,8 +599,12 @@ def _(spark, sf):
     scaler = scaling.fit_scaler(fixtures.observations(spark, sf))
     answered = scoring.score_sequences(rows, scoring.raw_weights(WEIGHTS, scaler))
     back = F.from_json("response", "prediction array<array<double>>, probability double")
-    return answered.select("request_id", _r("p"), F.col("decision").cast("int").alias("decision"), back.alias("back")).select(
-        "request_id", "p", "decision", _r(F.col("back.prediction")[0][0], "first"), _r(F.col("back.prediction")[1][0], "second")
+    return answered.withColumn("back", back).select(
+        "request_id",
+        _r("p"),
+        F.col("decision").cast("int").alias("decision"),
+        _r(F.col("back.prediction")[0][0], "first"),
+        _r(F.col("back.prediction")[1][0], "second"),
     )
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vaneworks.operators import metrics, models, scaling, splits, windows
-from vaneworks.schema import FEATURES, ROW_ID, SERIES, TIME, PipelineConfig
+from vaneworks.schema import ROW_ID, SERIES, TIME, PipelineConfig
 from vaneworks.session import get_session
 from vaneworks.sources import images as image_files
 from vaneworks.sources import observations as observation_files

@@ -95,7 +95,8 @@ def score_sequences(requests: DataFrame, weights: dict[str, float], threshold: f
     accepted = F.col("reject_reason").isNull()
     p = F.when(accepted, F.get("predictions", F.lit(0)))
     answer = F.struct(
-        F.transform("predictions", lambda x: F.array(x)).alias("prediction"), F.get("predictions", F.lit(0)).alias("probability")
+        F.transform("predictions", lambda x: F.array(x)).alias("prediction"),
+        F.get("predictions", F.lit(0)).alias("probability"),
     )
     return scored.select(
         "request_id",
