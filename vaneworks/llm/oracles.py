@@ -65,4 +65,16 @@ select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
 from base
 """
 
-ORACLES = {"op3_line_dedup": OP3, "op4_chat_formatting": OP4, "op7_quality_rules": OP7}
+OP10 = rf"""
+with d as (select doc_id, {_WORDS} as ws from documents),
+w as (select doc_id, i, array_to_string(ws[i:i + 19], ' ') as win from (select doc_id, ws, unnest(range(1, len(ws) - 18)) as i from d)),
+r as (select doc_id, i, row_number() over (partition by win order by doc_id, i) as nth from w),
+g as (select doc_id, list(distinct i + j) as gone from r, range(0, 20) as k(j) where nth > 1 group by doc_id),
+p as (select doc_id, unnest(range(1, len(ws) + 1)) as i, unnest(ws) as word from d),
+x as (select distinct doc_id, unnest(gone) as i from g),
+kept as (select p.doc_id, string_agg(word, ' ' order by p.i) as kept from p anti join x on p.doc_id = x.doc_id and p.i = x.i group by p.doc_id)
+select d.doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(len(gone), 0) as bigint) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from d left join g on d.doc_id = g.doc_id left join kept on d.doc_id = kept.doc_id
+"""
+
+ORACLES = {"op10_substring_dedup": OP10, "op3_line_dedup": OP3, "op4_chat_formatting": OP4, "op7_quality_rules": OP7}
