@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaneworks.llm import line_dedup, quality_rules
-from vaneworks.llm.common import has_word, stored, table
+from vaneworks.llm import decontaminate, line_dedup, packing, part_enum, quality_rules
+from vaneworks.llm.common import has_word, stored, table, text_key
+from vaneworks.llm.queries import tokenizer_path
 
 ORACLE_SQL = None
 
@@ -30,7 +31,31 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _as_documents(docs, left)
 
 
-STAGES = [("quality_rules", quality_stage), ("line_dedup", line_stage)]
+def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest doc_id stays; documents without words are left to the next stage."""
+    found = part_enum.similarity_components(docs.select("doc_id", "text")).where("doc_id = component_id or component_id is null")
+    stay = found.select(F.col("doc_id").alias("_stay")).distinct()
+    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi")
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).select("_id", "_key").distinct()
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key(F.col("text")) == F.col("_key")), "left_anti")
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left as pieces of token sequences: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    return packing.best_two_fit(packing.token_pieces(docs, tokenizer_path()))
+
+
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("line_dedup", line_stage),
+    ("ngram_jaccard_join", jaccard_stage),
+    ("benchmark_decontamination", benchmark_stage),
+    ("best_fit_packing", packing_stage),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
