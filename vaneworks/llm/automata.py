@@ -37,6 +37,8 @@ class _Moves:
         for kind, value in items:
             if kind is sre.LITERAL:
                 at = self._step(at, self._cases({value}, fold))
+            elif kind is sre.NOT_LITERAL:
+                at = self._step(at, set(range(256)) - self._cases({value}, fold))
             elif kind is sre.IN:
                 at = self._step(at, self._set(value, fold))
             elif kind is sre.SUBPATTERN:
