@@ -66,7 +66,7 @@ def new_path(spark: SparkSession, tag: str) -> str:
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """The rows written to the shared folder and read again: lineage ends here, lost executors repeat nothing before it."""
     path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
