@@ -102,26 +102,46 @@ def test_too_many_oversized_series_cut_everything(spark, monkeypatch):
 
 def test_chunks_must_hold_a_frame(spark):
     df = observations(spark, observation_rows({1: 30}))
-    with pytest.raises(ValueError):
-        scale.lay_out(df, ["series_id"], ["timestamp"], after=9, strategy="chunk", chunk_rows=8)
     with pytest.raises(ValueError):
         scale.lay_out(df, ["series_id"], ["timestamp"], strategy="other")
 
 
-def test_wide_keys_are_joined_by_shuffle(spark, monkeypatch):
-    events = fixtures.table(spark, SF, "events")
-    per_user = events.groupBy("user_id").count()
-    monkeypatch.setattr(scale, "BROADCAST_ROWS", 3)
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        big = scale.join_small(events, per_user, ["user_id"])
-        assert "BroadcastHashJoin" not in big._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    monkeypatch.setattr(scale, "BROADCAST_ROWS", 100)
-    small = scale.join_small(events, per_user, ["user_id"])
-    assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
-    same_rows(big, small)
+def test_values_per_key_meet_null_keys(spark):
+    rows = spark.createDataFrame([(1, "a"), (None, "b"), (2, "c")], "k int, v string")
+    per_key = spark.createDataFrame([(1, 10), (None, 20)], "k int, w int")
+    assert sorted(map(tuple, scale.join_small(rows, per_key, ["k"], "left").collect()), key=repr) == [(1, "a", 10), (2, "c", None), (None, "b", 20)]
+    assert [r.v for r in scale.join_small(rows, per_key, ["k"], "left_anti").collect()] == ["c"]
+
+
+@pytest.mark.parametrize("options", [
+    {"strategy": "partition"}, {"strategy": "chunk", "chunk_rows": 2}, {"max_series_rows": 3, "chunk_rows": 2},
+    {"max_series_rows": 100}, {"strategy": "chunk", "chunk_rows": 1000},
+])
+def test_every_layout_counts_a_null_series_through(spark, options):
+    rows = spark.createDataFrame([(s, i) for s in (None, 1, 2) for i in range(6)], "s int, i int")
+    got = scale.running(rows, ["s"], ["i"], {"n": ("sum", F.lit(1))}, **options).collect()
+    assert sorted((repr(r.s), r.i, r.n) for r in got) == sorted((repr(s), i, i + 1) for s in (None, 1, 2) for i in range(6))
+
+
+def test_a_frame_may_be_longer_than_a_chunk(spark):
+    rows = spark.createDataFrame([(1, i) for i in range(40)], "s int, i int")
+    laid = scale.lay_out(rows, ["s"], ["i"], after=9, strategy="chunk", chunk_rows=4)
+    got = laid.own_rows(laid.df.withColumn("far", F.lead("i", 9).over(laid.window()))).collect()
+    assert all(r.far == (r.i + 9 if r.i < 31 else None) for r in got) and len(got) == 40
+
+
+def test_ranks_in_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(scale, "_TOP_BITS", 2)
+    ranked = scale.hash_rank(spark.range(500).withColumnRenamed("id", "k"), ["k"], 3, bucket_rows=10).collect()
+    by_hash = spark.range(500).withColumnRenamed("id", "k").withColumn("h", scale.seeded_hash(["k"], 3)).orderBy("h").collect()
+    assert [r.k for r in sorted(ranked, key=lambda r: r.rank)] == [r.k for r in by_hash]
+
+
+def test_cuts_among_repeated_ids(spark):
+    rows = spark.range(100).selectExpr("id div 4 as k")
+    cut = scale.hash_cuts(rows, ["k"], 1, lambda n: [n // 2])[0]
+    below = rows.withColumn("h", scale.seeded_hash(["k"], 1)).where(F.col("h") <= cut).count()
+    assert 50 <= below < 54
 
 
 def test_scratch_tables_are_released(spark):

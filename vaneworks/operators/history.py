@@ -5,10 +5,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vaneworks.operators.scale import lay_out, running, running_in
+from vaneworks.operators.scale import join_small, lay_out, running, running_in
+
+
+def _comparable(loss: str) -> Column:
+    """The loss with missing ones above all others."""
+    value = F.col(loss).cast("double")
+    return F.when(value.isNull() | F.isnan(value), F.lit(float("inf"))).otherwise(value)
 
 
 def early_stopping(
@@ -25,11 +31,12 @@ def early_stopping(
     An epoch improves when its loss is below the best so far by more than ``min_delta``; ``patience`` epochs in a row
     without improvement stop the run. Whether an epoch improves depends on the improvements before it, so the rule
     needs a fold - but only over record losses: a loss that is not below every earlier one cannot improve. The
-    records are found with running minima, and only they (with their position) enter the fold of a run.
+    records are found with running minima, and only they (with their position) enter the fold of a run. A NULL or NaN
+    loss is no improvement.
     """
     if min_delta < 0 or patience < 1:
         raise ValueError("min_delta must not be negative and patience must be at least 1")
-    keyed = history.select(*run, F.col(epoch).cast("bigint").alias("_epoch"), F.col(loss).alias("_loss"))
+    keyed = history.select(*run, F.col(epoch).cast("bigint").alias("_epoch"), _comparable(loss).alias("_loss"))
     # the epoch at which the run stops if this one turns out to be its last improvement
     laid = lay_out(keyed, run, ["_epoch"], after=patience, **layout_options)
     laid = replace(laid, df=laid.df.withColumn("_stop", F.lead("_epoch", patience).over(laid.window())))
@@ -38,7 +45,7 @@ def early_stopping(
     )
     ranked = laid.own_rows(laid.df)
     # the running minimum of (loss, epoch) sits at the row itself exactly when its loss is a new record
-    record = F.col("_low._epoch") == F.col("_epoch")
+    record = (F.col("_low._epoch") == F.col("_epoch")) & (F.col("_loss") < float("inf"))
     per_run = ranked.groupBy(*run).agg(
         F.collect_list(F.when(record, F.struct("_pos", "_epoch", "_loss", "_stop"))).alias("_records"),
         F.min(F.when(F.col("_pos") == patience, F.col("_epoch"))).alias("_stop_without_best"),
@@ -79,8 +86,8 @@ def best_checkpoint(
     """Per run the epoch whose state is kept (``best_epoch``, last improvement before the stop) beside the epoch of
     the overall lowest loss (``min_epoch``); they differ after a late dip or a gain below ``min_delta``."""
     kept = early_stopping(history, run, epoch, loss, **options)
-    lowest = history.groupBy(*run).agg(F.min(F.struct(loss, epoch)).alias("_low"))
-    return kept.join(lowest, list(run)).select(
+    lowest = history.groupBy(*run).agg(F.min(F.struct(_comparable(loss).alias("_cmp"), epoch, loss)).alias("_low"))
+    return join_small(kept, lowest, run).select(
         *run, "best_epoch", "best_loss", F.col(f"_low.{epoch}").alias("min_epoch"), F.col(f"_low.{loss}").alias("min_loss")
     )
 

@@ -15,6 +15,9 @@ from pyspark.sql import Window
 
 from vaneworks.functions.vectors import above
 
+#: distinct scores in a piece of the order, about; totals of so many pieces may be sent to every executor
+PIECE_ROWS = 500_000
+BROADCAST_PIECES = 100_000
 _LOG_FLOOR = -100.0  # fixed value: lower bound of a log term
 
 
@@ -58,7 +61,8 @@ def with_ratios(df: DataFrame) -> DataFrame:
 
 
 def _scored(df: DataFrame, p: str, y: str) -> DataFrame:
-    return df.where(F.col(p).isNotNull() & F.col(y).isNotNull())
+    """Rows with a score and a label; NaN is no score."""
+    return df.where(F.col(p).isNotNull() & ~F.isnan(p) & F.col(y).isNotNull())
 
 
 def pointwise(
@@ -93,8 +97,8 @@ def score_table(
     and piece), so no task holds the whole order.
     """
     rows = _scored(df, p, y).select(*by, F.col(p).alias("p"), F.col(y).alias("y"))
-    if pieces is None:
-        pieces = min(4096, max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    if pieces is None:  # so many that a piece has a bounded number of distinct scores, whatever the table's size
+        pieces = max(2, -(-rows.agg(F.approx_count_distinct("p")).first()[0] // PIECE_ROWS))
     bounds = _score_bounds(rows, "p", pieces)
     table = rows.groupBy(*by, "p").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") != 1).alias("neg"))
     splits = [float("-inf"), *bounds, float("inf")]
@@ -114,7 +118,11 @@ def score_table(
         F.sum("_pos").over(group).alias("all_pos"),
         F.sum("_neg").over(group).alias("all_neg"),
     )
-    if not by:
+    totals = totals.withColumnsRenamed({c: f"_key_{c}" for c in piece})
+    same = F.lit(True)
+    for c in piece:
+        same = same & F.col(f"`{c}`").eqNullSafe(F.col(f"`_key_{c}`"))
+    if not by and pieces <= BROADCAST_PIECES:
         totals = F.broadcast(totals)  # one row per piece
     return (
         table.withColumns(
@@ -123,7 +131,7 @@ def score_table(
                 "_neg_in": F.coalesce(F.sum("neg").over(inside), zero),
             }
         )
-        .join(totals, piece)
+        .join(totals, same)
         .select(
             *by,
             "p",

@@ -30,8 +30,6 @@ MAX_SERIES_ROWS = 2_000_000
 CHUNK_ROWS = 100_000
 #: with more oversized series than this, every series is cut (their list is no longer small)
 MAX_LISTED_SERIES = 10_000
-#: narrow rows that may be sent to every executor (about 25 MB)
-BROADCAST_ROWS = 100_000
 #: rows (not table rows but aggregated ones) that may be fetched to look up a cut
 FETCH_ROWS = 50_000
 
@@ -39,6 +37,8 @@ _SCRATCH: list[str] = []
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row number in the lower 33 bits
 _HEX_PER_STEP = 4
 _HASH_LENGTH = 32
+_HASH_PREFIX = 12  # 48 bits of a hash number its bucket
+_TOP_BITS = 16
 _BINS_PER_STEP = 4096
 
 
@@ -71,14 +71,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def join_small(df: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join values that exist once per key, and are narrow, to many rows.
+    """Join values that exist once per key to many rows; a NULL key meets a NULL key.
 
-    ``per_key`` is broadcast if a count shows it within ``BROADCAST_ROWS``. Beyond that both sides are shuffled, and
-    adaptive execution splits the partition of a key that holds many of the rows.
+    Adaptive execution broadcasts ``per_key`` when its measured bytes allow it; beyond, both sides are shuffled and the
+    partition of a key that holds many of the rows is split. Nothing is computed twice to find out.
     """
-    if per_key.select(*keys).limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        per_key = F.broadcast(per_key)
-    return df.join(per_key, list(keys), how)
+    condition = F.lit(True)
+    for key in keys:
+        condition = condition & F.col(f"`{key}`").eqNullSafe(F.col(f"`_key_{key}`"))
+    renamed = per_key.withColumnsRenamed({key: f"_key_{key}" for key in keys})
+    return df.join(renamed, condition, how).drop(*[f"_key_{key}" for key in keys])
 
 
 # --- global order ----------------------------------------------------------------------------------------------
@@ -133,37 +135,48 @@ def hash_rank(df: DataFrame, ids: Sequence[str], seed: int, out: str = "rank", b
     Hash prefixes are buckets of near equal size whatever the data looks like, so the rank is the rank inside the
     bucket plus the rows of all lower buckets. Both are functions of the row values: a lost task recomputes the same.
     """
-    spark = df.sparkSession
     hashed = df.withColumn("_hash", seeded_hash(ids, seed))
-    counts = _prefix_counts(hashed.select("_hash"), (), _HEX_PER_STEP)
-    total = sum(n for _, n in counts)
-    bits = 4 * _HEX_PER_STEP
-    used = min(bits, max(0, (total // bucket_rows).bit_length()))
-    shift = bits - used
-    starts: dict[int, int] = {}
-    before = 0
-    for prefix, n in counts:
-        starts.setdefault(int(prefix, 16) >> shift, before)
-        before += n
-    offsets = spark.createDataFrame(sorted(starts.items()) or [(0, 0)], "_bucket int, _start bigint")
-    prefix = F.conv(F.substring("_hash", 1, _HEX_PER_STEP), 16, 10).cast("int")
+    total = hashed.count()
+    bits = max(0, (total // bucket_rows).bit_length())
+    long_prefix = F.conv(F.substring("_hash", 1, _HASH_PREFIX), 16, 10).cast("bigint")
+    hashed = hashed.withColumn("_bucket", F.shiftright(long_prefix, 4 * _HASH_PREFIX - min(bits, 4 * _HASH_PREFIX)))
+    offsets = _bucket_offsets(hashed.groupBy("_bucket").agg(F.count("*").alias("_n")), max(0, bits - _TOP_BITS))
+    if bits <= _TOP_BITS:
+        offsets = F.broadcast(offsets)  # at most 65,536 rows
     inside = Window.partitionBy("_bucket").orderBy("_hash", *ids)
     return (
-        hashed.withColumn("_bucket", F.shiftright(prefix, shift))
-        .withColumn("_local", F.row_number().over(inside))
-        .join(F.broadcast(offsets), "_bucket")  # at most 65,536 rows
+        hashed.withColumn("_local", F.row_number().over(inside))
+        .join(offsets, "_bucket")
         .withColumn(out, F.col("_start") + F.col("_local"))
         .drop("_hash", "_bucket", "_local", "_start")
     )
 
 
+def _bucket_offsets(counts: DataFrame, low_bits: int) -> DataFrame:
+    """Rows in all lower buckets, per bucket. At most 65,536 sums are fetched; below each of them a window adds up the rest."""
+    top = F.shiftright("_bucket", low_bits)
+    starts, before = [], 0
+    for part, n in sorted((r["t"], r["n"]) for r in counts.groupBy(top.alias("t")).agg(F.sum("_n").alias("n")).collect()):
+        starts.append((part, before))
+        before += n
+    upper = counts.sparkSession.createDataFrame(starts or [(0, 0)], "_top bigint, _upper bigint")
+    lower = Window.partitionBy("_top").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        counts.withColumn("_top", top)
+        .withColumn("_lower", F.coalesce(F.sum("_n").over(lower), F.lit(0)))
+        .join(F.broadcast(upper), "_top")  # at most 65,536 rows
+        .select("_bucket", (F.col("_upper") + F.col("_lower")).alias("_start"))
+    )
+
+
 def hash_cuts(
     df: DataFrame, ids: Sequence[str], seed: int, ranks: Callable[[int], Sequence[int]]
 ) -> list[str | None]:
     """Hash of the ``rank``-th row (1-based) of the seeded order for each rank; None for ranks below 1.
 
     ``ranks`` gets the number of rows. Counts per prefix find the prefix that holds a rank, then only rows below that
-    prefix are looked at again.
+    prefix are looked at again. Rows with equal ids have equal hashes: they fall on one side of a cut together, so a part
+    may be larger than asked for by the copies of its last row. Their number is not checked at any size.
     """
     hashed = df.select(seeded_hash(ids, seed).alias("_hash"))
     length = _HEX_PER_STEP
@@ -188,10 +201,12 @@ def hash_cuts(
                 rows = {p: held[p] for p in inside}  # a prefix is a whole hash now
             else:
                 rows = Counter(r[0] for r in hashed.where(F.substring("_hash", 1, length).isin(*inside)).collect())
-            if max(rows.values()) > 1:
-                raise ValueError("rows with equal ids: the seeded order needs unique ids")
             for rank, (prefix, left) in open_cuts.items():
-                found[rank] = sorted(h for h in rows if h.startswith(prefix))[left - 1]
+                for h, n in sorted((h, n) for h, n in rows.items() if h.startswith(prefix)):
+                    if left <= n:
+                        found[rank] = h
+                        break
+                    left -= n
             break
         length += _HEX_PER_STEP
         counts = _prefix_counts(hashed, inside, length)
@@ -295,14 +310,13 @@ def lay_out(
     if strategy == "partition":
         return Layout(df, series, order, chunked=False)
 
-    if chunk_rows < max(before, after, 1):
-        raise ValueError("chunk_rows must be at least as long as the frame")
+    chunk_rows = max(chunk_rows, before, after, 1)  # a frame reaches into the next chunk, not beyond
     rest = None
     if strategy == "auto":
         schema = T.StructType([df.schema[c] for c in series])
-        listed = F.broadcast(df.sparkSession.createDataFrame(big, schema))  # at most MAX_LISTED_SERIES rows
-        rest = df.join(listed, list(series), "left_anti")
-        df = df.join(listed, list(series), "left_semi")
+        listed = df.sparkSession.createDataFrame(big, schema)  # at most MAX_LISTED_SERIES rows
+        rest = join_small(df, F.broadcast(listed), series, "left_anti")
+        df = join_small(df, F.broadcast(listed), series, "left_semi")
 
     indexed = row_index(df, [*series, *order], out="_idx")
     own = F.expr(f"_idx div {chunk_rows}") + 1
@@ -369,7 +383,7 @@ def running_in(laid: Layout, totals: dict[str, tuple[str, Column]]) -> Layout:
         *laid.keys,
         *[_COMBINE[kind][0](f"_all_{name}").over(earlier).alias(f"_prior_{name}") for name, (kind, _) in totals.items()],
     )
-    combined = local.join(prior, list(laid.keys), "left").withColumns(
+    combined = join_small(local, prior, laid.keys, "left").withColumns(
         {name: _COMBINE[kind][1](F.col(f"_prior_{name}"), F.col(name)) for name, (kind, _) in totals.items()}
     )
     return replace(laid, df=combined.drop(*[f"_prior_{name}" for name in totals]))

@@ -45,18 +45,14 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def imagery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every observation but each fiftieth has an image, each twentieth a second one under a greater path."""
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
-    # the key below is a remainder by 500, so 500 vectors are all that can match: a bounded side to broadcast
-    vectors = (
-        table(spark, sf_dir, "embeddings")
-        .where(F.col("vec_id") < 500)
-        .select(F.col("vec_id").alias("_vec"), F.col("embedding").alias("pixels"))
-    )
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("_vec"), F.col("embedding").alias("pixels"))
+    n = max(1, vectors.count())  # ids have no gaps: a remainder by their number reaches every vector
 
     def taken(rows: DataFrame, folder: str, shift: int) -> DataFrame:
         path = F.concat(F.lit(f"{folder}/"), F.col("event_id").cast("string"))
         return (
-            rows.withColumn("_vec", (F.col("event_id") + shift) % 500)
-            .join(F.broadcast(vectors), "_vec")
+            rows.withColumn("_vec", (F.col("event_id") + shift) % n)
+            .join(vectors, "_vec")
             .select(F.col("user_id").alias("series_id"), F.col("ts").alias("timestamp"), path.alias("path"), "pixels")
         )
 

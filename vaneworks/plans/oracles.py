@@ -16,10 +16,10 @@ OBS = """obs as (
 IMAGERY = """imagery as (
   select e.user_id as series_id, e.ts as timestamp, concat('a/', cast(e.event_id as varchar)) as path,
          v.embedding as pixels, v.vec_id
-  from events e join embeddings v on v.vec_id = e.event_id % 500 where e.event_id % 50 <> 0
+  from events e join embeddings v on v.vec_id = e.event_id % (select count(*) from embeddings) where e.event_id % 50 <> 0
   union all
   select e.user_id, e.ts, concat('b/', cast(e.event_id as varchar)), v.embedding, v.vec_id
-  from events e join embeddings v on v.vec_id = (e.event_id + 1) % 500 where e.event_id % 20 = 0)"""
+  from events e join embeddings v on v.vec_id = (e.event_id + 1) % (select count(*) from embeddings) where e.event_id % 20 = 0)"""
 
 PREDS = """preds as (
   select event_id, ts, user_id, 1e0 / (1e0 + exp(-(value - 50) / 40)) as p,
@@ -367,8 +367,12 @@ select event_id as request_id, reason, case when reason = 'ok' then round(p, 6)
     - 0.5e0 * (3 * o.humidity - m.humidity_mean) / m.humidity_scale
     + 0.125e0 * (3 * o.pressure - m.pressure_mean) / m.pressure_scale))) as p2
   from obs o, wide m)
-select event_id as request_id, round(p, 6) as p, cast(p >= 0.5 as int) as decision, round(p, 6) as first,
- round(p2, 6) as second from s""",
+select event_id as request_id, reason, case when reason = 'ok' then round(p, 6) end as p,
+ case when reason = 'ok' then cast(p >= 0.5 as int) end as decision, case when reason = 'ok' then round(p, 6) end as first,
+ case when reason = 'ok' then round(p2, 6) end as second
+from (select *, case when event_id % 29 = 0 then 'empty_sequence' when event_id % 31 = 0 then 'missing_sequence'
+  when event_id % 11 = 0 then 'wrong_width' when event_id % 13 = 0 then 'missing_value' when event_id % 17 = 0 then 'empty_sequence'
+  when event_id % 19 = 0 then 'wrong_length' when event_id % 23 = 0 then 'empty_sequence' else 'ok' end as reason from s)""",
     "h2_stream_windows": _with(OBS, _TRAILING)
     + "select series_id, event_id, round(mt, 6) as mean_temperature, round(mh, 6) as mean_humidity from ending where n = 24",
     "h3_stream_window_scores": _with(OBS, _TRAILING)

@@ -592,15 +592,23 @@ def _(spark, sf):
     v = vectors.feature_vector()
     growing = F.array(*[F.transform(v, _times(k)) for k in (1, 2, 3)])
     image = F.array(F.array(F.array(F.array(F.col("temperature").cast("float")))))
-    body = F.to_json(F.struct(image.alias("image"), F.array(vectors.repeat_snapshot(v, 3), growing).alias("sequence")))
+    rid = F.col("event_id")
+    none = F.lit(None).cast("array<array<double>>")
+    short = F.transform(growing, lambda step: F.slice(step, 1, 7))
+    holes = F.transform(growing, lambda step: F.transform(step, lambda x, i: F.when(i != 2, x)))
+    second = F.when(rid % 11 == 0, short).when(rid % 13 == 0, holes).when(rid % 17 == 0, F.slice(growing, 1, 0)).when(
+        rid % 19 == 0, F.slice(growing, 1, 2)).when(rid % 23 == 0, none).otherwise(growing)
+    both = F.when(rid % 29 == 0, F.array().cast("array<array<array<double>>>")).when(rid % 31 != 0, F.array(vectors.repeat_snapshot(v, 3), second))
+    body = F.to_json(F.struct(image.alias("image"), both.alias("sequence")), {"ignoreNullFields": "true"})
     rows = fixtures.observations(spark, sf).select(
         F.col("event_id").alias("request_id"), F.lit("application/json").alias("content_type"), body.alias("body")
     )
     scaler = scaling.fit_scaler(fixtures.observations(spark, sf))
-    answered = scoring.score_sequences(rows, scoring.raw_weights(WEIGHTS, scaler))
+    answered = scoring.score_sequences(rows, scoring.raw_weights(WEIGHTS, scaler), length=3)
     back = F.from_json("response", "prediction array<array<double>>, probability double")
     return answered.withColumn("back", back).select(
         "request_id",
+        F.coalesce("reject_reason", F.lit("ok")).alias("reason"),
         _r("p"),
         F.col("decision").cast("int").alias("decision"),
         _r(F.col("back.prediction")[0][0], "first"),

@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vaneworks.functions.times import ntz
 from vaneworks.operators import metrics, models, scaling, splits, windows
 from vaneworks.schema import ROW_ID, SERIES, TIME, PipelineConfig
 from vaneworks.session import get_session
@@ -56,7 +57,7 @@ def fit_window_scaler(obs: DataFrame, parted: DataFrame, config: PipelineConfig)
     if config.fit_on == "train":
         end = parted.where(F.col("split") == "train").agg(F.max("label_timestamp").alias("end")).first()["end"]
         if end is not None:
-            obs = obs.where(F.col(TIME) <= F.lit(end).cast("timestamp_ntz"))
+            obs = obs.where(F.col(TIME) <= ntz(end))
     elif config.fit_on != "all":
         raise ValueError(f"unknown fit_on {config.fit_on!r}")
     return scaling.fit_scaler(obs)

@@ -46,17 +46,30 @@ def decode_snapshots(df: DataFrame, body: str = "body", content_type: str = "con
     )
 
 
-def decode_sequences(df: DataFrame, body: str = "body", content_type: str = "content_type") -> DataFrame:
-    """Parse requests of batched images and sequences: adds ``image``, ``sequence`` and ``reject_reason``."""
+def decode_sequences(
+    df: DataFrame, body: str = "body", content_type: str = "content_type", length: int | None = None
+) -> DataFrame:
+    """Parse requests of batched images and sequences: adds ``image``, ``sequence`` and ``reject_reason``.
+
+    Every sequence needs steps of the right width without missing values, and ``length`` of them if it is given.
+    """
     parsed = _parse(df, body, SEQUENCE_REQUEST_SCHEMA)
     width = F.lit(len(FEATURES))
-    ragged = F.exists(F.flatten("_request.sequence"), lambda step: ~F.size(step).eqNullSafe(width))
+    sequences = F.col("_request.sequence")
+    steps = lambda test: F.exists(sequences, lambda s: F.exists(s, test))
+    empty = (F.size(sequences) == 0) | F.exists(sequences, lambda s: s.isNull() | (F.size(s) == 0))
+    ragged = steps(lambda step: step.isNull() | (F.size(step) != width))
+    missing = steps(lambda step: F.exists(step, lambda x: x.isNull() | F.isnan(x)))
+    other_length = F.exists(sequences, lambda s: F.size(s) != length) if length else F.lit(False)
     reason = _first_reason(
         (~F.col(content_type).eqNullSafe(JSON_CONTENT), "unsupported_content_type"),
         (F.col("_request").isNull() | F.col("_request._corrupt_record").isNotNull(), "malformed"),
         (F.col("_request.image").isNull(), "missing_image"),
         (F.col("_request.sequence").isNull(), "missing_sequence"),
+        (empty, "empty_sequence"),
         (ragged, "wrong_width"),
+        (missing, "missing_value"),
+        (other_length, "wrong_length"),
     )
     return parsed.select(
         *df.columns,

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from vaneworks.functions.vectors import feature_vector, repeat_snapshot
 from vaneworks.operators.models import score_linear
 from vaneworks.operators.scaling import apply_scaler
 from vaneworks.schema import FEATURES
@@ -43,19 +42,17 @@ def read_requests(
 
 def _pooled(sequence: Column, kind: str, place: int) -> Column:
     """Statistic over the steps of a sequence of the feature at ``place``."""
-    steps = F.transform(sequence, lambda step: step[place])
+    steps = F.transform(sequence, lambda step: F.get(step, F.lit(place)))
     if kind == "mean":
-        return F.aggregate(steps, F.lit(0.0), lambda acc, x: acc + x) / F.size(steps)
-    return {"min": F.array_min, "max": F.array_max, "last": lambda x: F.element_at(x, -1)}[kind](steps)
+        return F.try_divide(F.aggregate(steps, F.lit(0.0), lambda acc, x: acc + x), F.size(steps))
+    return {"min": F.array_min, "max": F.array_max, "last": lambda x: F.try_element_at(x, F.lit(-1))}[kind](steps)
 
 
 def snapshot_features(df: DataFrame, length: int, features: Sequence[str] = FEATURES) -> DataFrame:
-    """A snapshot stands for a whole window: it is repeated ``length`` times and pooled like one."""
-    repeated = df.withColumn("seq", repeat_snapshot(feature_vector(features), length))
-    pooled = {
-        f"{kind}_{name}": _pooled(F.col("seq"), kind, place) for place, name in enumerate(features) for kind in _KINDS
-    }
-    return repeated.withColumns(pooled).drop("seq")
+    """A snapshot stands for a whole window of ``length`` equal steps, of which every statistic is the value itself."""
+    if length < 1:
+        raise ValueError("a window has at least one step")
+    return df.withColumns({f"{kind}_{name}": F.col(name).cast("double") for name in features for kind in _KINDS})
 
 
 def raw_weights(coefficients: dict[str, float], scaler: DataFrame) -> dict[str, float]:
@@ -85,14 +82,16 @@ def sequence_scores(sequences: Column, weights: dict[str, float], features: Sequ
     return F.transform(sequences, one)
 
 
-def score_sequences(requests: DataFrame, weights: dict[str, float], threshold: float = 0.5) -> DataFrame:
+def score_sequences(
+    requests: DataFrame, weights: dict[str, float], threshold: float = 0.5, length: int | None = None
+) -> DataFrame:
     """Score requests that bring whole sequences: one response per request, with one prediction per sequence.
 
-    ``p`` and ``decision`` belong to the first sequence of the request.
+    ``p`` and ``decision`` belong to the first sequence of the request. Rejected requests are not computed on.
     """
-    decoded = decode_sequences(requests)
-    scored = decoded.withColumn("predictions", sequence_scores(F.col("sequence"), weights))
+    decoded = decode_sequences(requests, length=length)
     accepted = F.col("reject_reason").isNull()
+    scored = decoded.withColumn("predictions", sequence_scores(F.when(accepted, F.col("sequence")), weights))
     p = F.when(accepted, F.get("predictions", F.lit(0)))
     answer = F.struct(
         F.transform("predictions", lambda x: F.array(x)).alias("prediction"),

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 from pyspark.sql.streaming import StreamingQuery
 
+from vaneworks.functions.times import ntz
 from vaneworks.operators.scale import lay_out
 from vaneworks.schema import FEATURES, ORDER, SERIES, TIME
 
@@ -116,7 +117,7 @@ class WindowStream:
             now = rows.agg(F.max(TIME).alias("now")).first()["now"]
             if now is not None:
                 heard = kept.groupBy(*self.series).agg(F.max(TIME).alias("_heard"))
-                oldest = F.lit(now).cast("timestamp_ntz") - F.expr(f"interval {int(self.idle_seconds)} seconds")
+                oldest = ntz(now) - F.expr(f"interval {int(self.idle_seconds)} seconds")
                 kept = kept.join(heard.where(F.col("_heard") >= oldest), list(self.series), "left_semi")
         (
             kept.select(*self.columns, F.lit(batch_id).cast("bigint").alias("state_of"))
