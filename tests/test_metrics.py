@@ -134,3 +134,10 @@ def test_scores_are_never_ordered_in_one_task(spark):
     for i, line in enumerate(lines):
         if "SinglePartition" in line:  # only over one row per piece
             assert "HashAggregate(keys=[_piece" in lines[i + 1]
+
+
+def test_null_group_and_nan_scores(spark):
+    rows = [(None, 0.9, 1), (None, 0.1, 0), ("a", 0.2, 1), ("a", 0.8, 0), ("a", float("nan"), 1), ("a", None, 1)]
+    df = spark.createDataFrame(rows, "g string, p double, y int")
+    assert {r.g: r.auc for r in metrics.roc_auc(df, by=["g"]).collect()} == {None: 1.0, "a": 0.0}
+    assert {r.g: r.n for r in metrics.pointwise(df, by=["g"]).collect()} == {None: 2, "a": 2}

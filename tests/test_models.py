@@ -78,10 +78,38 @@ def test_search_picks_the_lowest_loss(planted, family):
     assert len(rows) == 3 and sum(r["is_best"] for r in rows) == 1
     assert min(rows, key=lambda r: r["val_loss"])["is_best"]
     assert models.score(df, best).where("p between 0 and 1").count() == df.count()
+    assert set(trials.columns) == {"trial", "family", "val_loss", "is_best"} | ({"weight_decay", "dropout"} if family == "logistic" else {"num_layers", "learning_rate"})
+    again = models.search(df.repartition(1), names, family=family, trials=3, max_iter=3)[1].collect()
+    assert [r["val_loss"] for r in again] == pytest.approx([r["val_loss"] for r in rows], abs=1e-6)
     with pytest.raises(ValueError):
         models.search(df, names, family="other")
 
 
+def test_search_keeps_to_the_given_split(planted):
+    df, names = planted
+    parted = df.withColumn("split", F.when(F.col("event_id") % 3 == 0, "val").when(F.col("event_id") % 3 == 1, "gap").otherwise("train"))
+    broken = parted.withColumn("label", F.when(F.col("split") == "gap", 1 - F.col("label")).otherwise(F.col("label")))
+    losses = [[r["val_loss"] for r in models.search(d, names, trials=2, max_iter=3)[1].collect()] for d in (parted, broken)]
+    assert losses[0] == pytest.approx(losses[1])
+
+
+def test_gradient_tells_a_broken_model(planted):
+    df, names = planted
+    weights = models.linear_coefficients(models.fit_logistic(df, names, weight_decay=1e-2))
+    assert max(abs(g) for g in models.loss_gradient(df, weights, weight_decay=1e-2).values()) < 1e-3
+    weights["mean_temperature"] += 0.5
+    assert max(abs(g) for g in models.loss_gradient(df, weights, weight_decay=1e-2).values()) > 1e-2
+
+
+def test_missing_losses_do_not_stop_a_run(spark):
+    for gap in (None, float("nan")):
+        rows = [(0, i + 1, v) for i, v in enumerate((0.9, gap, 0.5, 0.3, 0.2))] + [(None, 1, gap), (None, 2, 0.4)]
+        df = spark.createDataFrame(rows, "run int, epoch int, val_loss double")
+        got = {r.run: r for r in history.best_checkpoint(df, patience=3).collect()}
+        assert (got[0].best_epoch, got[0].min_epoch, got[None].best_epoch, got[None].min_loss) == (5, 5, 2, 0.4)
+        assert {r.run: r.stop_epoch for r in history.early_stopping(df, patience=3).collect()} == {0: -1, None: -1}
+
+
 def test_draws_stay_in_their_ranges_and_follow_the_seed():
     drawn = models.draw_trials(50, seed=3)
     assert drawn == models.draw_trials(50, seed=3) != models.draw_trials(50, seed=4)

@@ -172,3 +172,54 @@ def test_files_are_decoded_once_and_constant_images_are_rejected(spark, tmp_path
     assert plan.count("ArrowEvalPython") == 2  # one decodes, one standardises
     assert [r["reject_reason"] for r in standard.orderBy("path").collect()] == [None, "constant_image"]
     assert good.first()["pixels"] == pytest.approx([-1.161895, -0.387298, 0.387298, 1.161895], abs=1e-6)
+
+
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    df = observations(spark, observation_rows({1: 5}))
+    shuffled = df.select("storm_event", "humidity", *[c for c in df.columns if c not in ("storm_event", "humidity")][::-1])
+    shuffled.withColumn("note", F.lit("x")).write.option("header", True).csv(str(tmp_path / "o"))
+    same_rows(obs_source.read_observations(spark, str(tmp_path / "o")).drop("_corrupt_record"), df)
+    bare = df.drop("series_id", "event_id")
+    bare.write.option("header", True).csv(str(tmp_path / "b"))
+    with pytest.raises(ValueError, match="series_id"):
+        obs_source.read_observations(spark, str(tmp_path / "b"))
+    read = obs_source.read_observations(spark, str(tmp_path / "b"), optional=("series_id", "event_id"))
+    same_rows(read.select(*bare.columns), bare)
+    assert read.where("series_id = 0").select("event_id").distinct().count() == 5
+
+
+def test_rows_without_a_series_are_set_aside(spark):
+    rows = observations(spark, observation_rows({1: 2})).withColumn("series_id", F.when(F.col("event_id") == 0, 1))
+    assert [r.reject_reason for r in obs_source.with_reject_reason(rows).orderBy("event_id").collect()] == [None, "missing_series"]
+
+
+def test_wall_clock_of_skipped_and_repeated_hours(spark):
+    from vaneworks.functions.times import ntz, wall_micros
+
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        found = []
+        for name in ("UTC", "America/New_York", "Asia/Kathmandu"):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            times = spark.sql("select explode(array(timestamp_ntz'2024-03-10 02:30:00.000001', timestamp_ntz'2024-03-10 03:30:00', timestamp_ntz'1969-12-31 23:59:59.5')) as t")
+            found.append([r[0] for r in times.select(wall_micros(F.col("t"))).collect()])
+            import datetime as dt
+
+            assert spark.range(1).select(ntz(dt.datetime(2024, 3, 10, 2, 30)).cast("string")).first()[0] == "2024-03-10 02:30:00"
+        assert found[0] == found[1] == found[2] and found[0][1] - found[0][0] == 3_600_000_000 - 1 and found[0][2] == -500_000
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_bad_sequences_have_a_reason(spark):
+    import json
+
+    from vaneworks.streaming import scoring
+
+    good = [[1.0] * 8, [2.0] * 8]
+    bodies = {"ok": [good], "empty_sequence": [], "wrong_width": [good, [[1.0] * 7]], "missing_value": [[[None] * 8] * 2], "wrong_length": [good[:1]], "missing_sequence": None}
+    rows = [(i, "application/json", json.dumps({"image": [[[[1.0]]]], "sequence": s})) for i, s in enumerate(bodies.values())]
+    rows += [(90, "application/json", json.dumps({"image": [[[[1.0]]]], "sequence": [[]]})), (91, "application/json", json.dumps({"image": [[[[1.0]]]], "sequence": [[None]]})), (92, "application/json", "{")]
+    got = scoring.score_sequences(spark.createDataFrame(rows, "request_id long, content_type string, body string"), {"intercept": 0.0, "mean_temperature": 1.0}, length=2).collect()
+    assert {r.request_id: r.reject_reason or "ok" for r in got} == dict(enumerate(bodies)) | {90: "empty_sequence", 91: "wrong_width", 92: "malformed"}
+    assert [r.request_id for r in got if r.response is not None] == [0]

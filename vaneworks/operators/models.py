@@ -11,11 +11,12 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import TrainValidationSplit
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vaneworks.functions.vectors import above
+from vaneworks.operators.splits import random_split
+from vaneworks.schema import ROW_ID, SERIES
 
 # Search ranges (low, high) and whether they are drawn on a log scale.
 SEARCH_RANGES = {
@@ -113,54 +114,73 @@ def draw_trials(n: int, seed: int = 42) -> list[dict[str, float]]:
     return trials
 
 
+def loss_gradient(
+    df: DataFrame, coefficients: dict[str, float], label: str = "label", weight_decay: float = 1e-5
+) -> dict[str, float]:
+    """Slope of the penalised loss at exported weights, per weight in units of its feature's deviation: near 0 at the optimum."""
+    names = [name for name in coefficients if name != "intercept"]
+    rows = score_linear(complete_rows(df, names, label), coefficients)
+    error = F.col("p") - F.col(label)
+    found = rows.agg(
+        F.avg(error).alias("intercept"),
+        *[F.avg(error * F.col(n)).alias(f"g_{n}") for n in names],
+        *[F.stddev_samp(n).alias(f"s_{n}") for n in names],
+    ).first()
+    slopes = {"intercept": found["intercept"]}
+    for n in names:
+        deviation = found[f"s_{n}"] or 0.0
+        slopes[n] = found[f"g_{n}"] / deviation + weight_decay * coefficients[n] * deviation if deviation else 0.0
+    return slopes
+
+
 def search(
     df: DataFrame,
     features: Sequence[str],
     label: str = "label",
     family: str = "logistic",
     trials: int = 20,
-    parallelism: int = 4,
     train_ratio: float = 0.8,
     max_iter: int = 20,
     seed: int = 42,
+    ids: Sequence[str] = (SERIES, ROW_ID),
 ) -> tuple[PipelineModel, DataFrame]:
     """Random search that minimises the validation log loss.
 
-    Returns the best model, fitted on all rows, and one row per trial: ``trial``, its parameters, ``val_loss``,
-    ``is_best``. The drawn weight decay is the L2/L1 penalty of the logistic model, its dropout the L1 share; the
-    trees use the drawn layers as depth and the learning rate, scaled to boosting steps, as step size.
+    A ``split`` column says what is ``train`` and ``val`` (other rows, as those in the gap of a head split, are used for
+    neither); without one the rows are split by a hash of ``ids``, whatever their partitions. Returns the best model, fitted
+    on train and validation rows, and one row per trial: ``trial``, the parameters that the family uses, ``val_loss``,
+    ``is_best`` (of equal losses the first trial). The drawn weight decay is the L2/L1 penalty of the logistic model, its
+    dropout the L1 share; the trees use the drawn layers as depth and the learning rate, scaled to boosting steps, as step size.
     """
     drawn = draw_trials(trials, seed)
     if family == "logistic":
+        used = ("weight_decay", "dropout")
         est = LogisticRegression(featuresCol="features", labelCol=label, maxIter=max_iter)
         settings = [{est.regParam: t["weight_decay"], est.elasticNetParam: t["dropout"]} for t in drawn]
     elif family == "trees":
+        used = ("num_layers", "learning_rate")
         est = GBTClassifier(featuresCol="features", labelCol=label, maxIter=max_iter, seed=seed)
         settings = [{est.maxDepth: t["num_layers"], est.stepSize: min(1.0, 10 * t["learning_rate"])} for t in drawn]
     else:
         raise ValueError(f"unknown family {family!r}")
-    loss = MulticlassClassificationEvaluator(labelCol=label, metricName="logLoss", probabilityCol="probability")
-    rows = complete_rows(df, features, label).select(*features, label)
-    fitted = TrainValidationSplit(
-        estimator=Pipeline(stages=[_assembler(features), est]),
-        estimatorParamMaps=settings,
-        evaluator=loss,
-        trainRatio=train_ratio,
-        parallelism=parallelism,
-        seed=seed,
-    ).fit(rows)
-    losses = [float(v) for v in fitted.validationMetrics]
-    best = min(range(len(losses)), key=losses.__getitem__)
+    if "split" not in df.columns:
+        df = random_split(df, ids, train_ratio, 1 - train_ratio, seed)
+        df = df.withColumn("split", F.when(F.col("split") == "train", "train").otherwise("val"))
+    evaluator = MulticlassClassificationEvaluator(labelCol=label, metricName="logLoss", probabilityCol="probability")
+    assembled = _assembler(features).transform(complete_rows(df, features, label).select(*features, label, "split"))
+    rows = assembled.select("features", label, "split").where(F.col("split").isin("train", "val")).persist()
+    try:
+        train, held_out = rows.where(F.col("split") == "train"), rows.where(F.col("split") == "val")
+        losses = [float(evaluator.evaluate(est.fit(train, s).transform(held_out))) for s in settings]
+        best = min(range(len(losses)), key=lambda i: (losses[i], i))
+        model = PipelineModel([_assembler(features), est.fit(rows, settings[best])])
+    finally:
+        rows.unpersist()
     table = df.sparkSession.createDataFrame(
-        [
-            (i, family, *[float(t[name]) for name in SEARCH_RANGES], losses[i], i == best)
-            for i, t in enumerate(drawn)
-        ],
-        "trial int, family string, "
-        + ", ".join(f"{name} double" for name in SEARCH_RANGES)
-        + ", val_loss double, is_best boolean",
+        [(i, family, *[float(t[name]) for name in used], losses[i], i == best) for i, t in enumerate(drawn)],
+        "trial int, family string, " + ", ".join(f"{name} double" for name in used) + ", val_loss double, is_best boolean",
     )
-    return fitted.bestModel, table
+    return model, table
 
 
 def objective_history(model: PipelineModel, run: str, df: DataFrame) -> DataFrame:

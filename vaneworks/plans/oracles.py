@@ -55,6 +55,8 @@ framed as (
   from marked
   window f as (partition by series_id order by timestamp, event_id rows between current row and 23 following))"""
 
+_LABELLED = "where n_images = 24 and label is not null"
+
 LATEST = """latest as (
   select series_id, timestamp, max(path) as path, arg_max(pixels, path) as pixels, arg_max(vec_id, path) as vec_id
   from imagery group by series_id, timestamp)"""
@@ -373,6 +375,21 @@ select event_id as request_id, reason, case when reason = 'ok' then round(p, 6)
 from (select *, case when event_id % 29 = 0 then 'empty_sequence' when event_id % 31 = 0 then 'missing_sequence'
   when event_id % 11 = 0 then 'wrong_width' when event_id % 13 = 0 then 'missing_value' when event_id % 17 = 0 then 'empty_sequence'
   when event_id % 19 = 0 then 'wrong_length' when event_id % 23 = 0 then 'empty_sequence' else 'ok' end as reason from s)""",
+    "a8_model_state": _with(OBS, IMAGERY, FRAMES) + f"select series_id, event_id, 1 as same, 1 as decided from framed {_LABELLED}",
+    "g1_fit_logistic": _with(OBS, IMAGERY, FRAMES) + f"select series_id, event_id, 1 as same, 1 as flat from framed {_LABELLED}",
+    "g3_batch_score": _with(OBS, IMAGERY, FRAMES) + f"select series_id, event_id, 1 as same, 1 as decided from framed {_LABELLED}",
+    "g2_boosted_trees": _with(OBS, IMAGERY, FRAMES.replace("count(*) over f as n_rows,", "count(*) over f as n_rows, avg(temperature) over f as m,"))
+    + f""", r as (select cast(m > 50 as int) as label, count(*) over () as total,
+  row_number() over (order by md5(concat('42:', cast(series_id as varchar), ':', cast(event_id as varchar)))) as r from framed {_LABELLED})
+select case when r <= floor(total * 0.8e0) then 'train' when r <= floor(total * 0.8e0) + floor(total * 0.1e0) then 'val' else 'test' end as split,
+ label, count(*) as n, 1 as learned from r group by 1, 2""",
+    "g4_search": "select cast(t as int) as trial, 1 as chosen, 1 as repeated from range(8) as r(t)",
+    "g8_train_and_evaluate": _with(OBS, IMAGERY, FRAMES)
+    + """, win as (select *, row_number() over (order by timestamp, event_id) as r, count(*) over () as total
+  from framed where n_images = 24 and label is not null),
+cut as (select min(timestamp) as t from win where r > floor(total * 0.8e0))
+select case when r > floor(total * 0.8e0) then 'val' when label_time >= cut.t then 'gap' else 'train' end as split, count(*) as n, 1 as sound
+from win, cut group by 1""",
     "h2_stream_windows": _with(OBS, _TRAILING)
     + "select series_id, event_id, round(mt, 6) as mean_temperature, round(mh, 6) as mean_humidity from ending where n = 24",
     "h3_stream_window_scores": _with(OBS, _TRAILING)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vaneworks.functions import pixels, vectors
@@ -60,7 +61,8 @@ def _complete(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
 @query("a1_read_csv")
 def _(spark, sf):
     path = scratch_path(spark, "observations-csv")
-    writer = fixtures.observations(spark, sf).write.option("header", True)
+    obs = fixtures.observations(spark, sf)
+    writer = obs.select(*sorted(obs.columns), F.lit("x").alias("note")).write.option("header", True)
     writer.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").csv(path)
     read = observation_files.read_observations(spark, path)
     good, _ = observation_files.split_rejected(observation_files.with_reject_reason(read))
@@ -161,7 +163,9 @@ def _(spark, sf):
     loaded, config = state.load_model(spark, path)
     before = models.score(rows, fitted).select("series_id", "event_id", F.col("p").alias("p_before"))
     both = models.score(before.join(rows, ["series_id", "event_id"]), loaded, config.threshold)
-    return both.select("series_id", "event_id", "p_before", F.col("p").alias("p_after"), "decision")
+    same = F.col("p_before").isNotNull() & F.col("p_before").eqNullSafe(F.col("p"))
+    decided = F.col("decision") == (F.col("p") >= config.threshold)
+    return both.select("series_id", "event_id", same.cast("int").alias("same"), decided.cast("int").alias("decided"))
 
 
 @query("a9_quarantine")
@@ -486,6 +490,10 @@ def _(spark, sf):
 # --- models ----------------------------------------------------------------------------------------------------
 
 
+#: a window is in the planted class above this mean temperature
+PLANTED_ABOVE = 50.0
+
+
 def _training_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
     """Fused windows, written once because fitting, scoring and evaluating all read them."""
     fused = materialise(_fused(spark, sf), "fused-windows")
@@ -495,24 +503,36 @@ def _training_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
 @query("g1_fit_logistic")
 def _(spark, sf):
     rows, names = _training_rows(spark, sf)
-    weights = models.linear_coefficients(models.fit_logistic(rows, names, max_iter=20))
-    return spark.createDataFrame(sorted(weights.items()), "feature string, weight double")
+    penalty = 1e-3
+    fitted = models.fit_logistic(rows, names, weight_decay=penalty, max_iter=100)
+    weights = models.linear_coefficients(fitted)
+    linear = models.score_linear(rows, weights).select("series_id", "event_id", F.col("p").alias("p_linear"))
+    both = models.score(rows, fitted).join(linear, ["series_id", "event_id"])
+    flat = max(abs(g) for g in models.loss_gradient(rows, weights, weight_decay=penalty).values()) < 1e-3
+    same = F.abs(F.col("p") - F.col("p_linear")) < 1e-9
+    return both.select("series_id", "event_id", same.cast("int").alias("same"), F.lit(int(flat)).alias("flat"))
 
 
 @query("g2_boosted_trees")
 def _(spark, sf):
     rows, names = _training_rows(spark, sf)
+    rows = rows.withColumn("label", (F.col("mean_temperature") > PLANTED_ABOVE).cast("int"))
     parts = splits.random_split(rows, ids=("series_id", "event_id"))
     fitted = models.fit_boosted_trees(parts.where(F.col("split") == "train"), names, max_iter=5)
     scored = models.score(parts, fitted)
-    return metrics.roc_auc(scored, y="label", by=["split"])
+    auc = metrics.roc_auc(scored, y="label", by=["split"]).select("split", (F.col("auc") > 0.9).cast("int").alias("learned"))
+    return scored.groupBy("split", "label").agg(F.count("*").alias("n")).join(auc, "split")
 
 
 @query("g3_batch_score")
 def _(spark, sf):
     rows, names = _training_rows(spark, sf)
-    scored = models.score(rows, models.fit_logistic(rows, names, max_iter=20), threshold=0.5)
-    return scored.select("series_id", "event_id", "p", "decision")
+    fitted = models.fit_logistic(rows, names, max_iter=20)
+    linear = models.score_linear(rows, models.linear_coefficients(fitted)).select("series_id", "event_id", F.col("p").alias("p_linear"))
+    scored = models.score(rows, fitted, threshold=0.5).join(linear, ["series_id", "event_id"])
+    same = F.abs(F.col("p") - F.col("p_linear")) < 1e-9
+    decided = F.col("decision") == (F.col("p_linear") >= 0.5)
+    return scored.select("series_id", "event_id", same.cast("int").alias("same"), decided.cast("int").alias("decided"))
 
 
 @query("g3_linear_score")
@@ -529,8 +549,14 @@ def _(spark, sf):
 @query("g4_search")
 def _(spark, sf):
     rows, names = _training_rows(spark, sf)
+    rows = splits.head_split(rows, order=("window_start", "event_id"), end="label_timestamp")
     _, trials = models.search(rows, names, trials=8, max_iter=10)
-    return trials
+    _, again = models.search(rows.repartition(5), names, trials=8, max_iter=10)
+    lowest = F.min(F.struct("val_loss", "trial")).over(Window.partitionBy("family"))  # one row per trial
+    chosen = F.col("is_best") == (lowest["trial"] == F.col("trial"))
+    both = trials.withColumn("chosen", chosen).join(again.select("trial", F.col("val_loss").alias("_again")), "trial")
+    repeated = F.abs(F.col("val_loss") - F.col("_again")) < 1e-6
+    return both.select("trial", F.col("chosen").cast("int").alias("chosen"), repeated.cast("int").alias("repeated"))
 
 
 @query("g5_early_stopping")
@@ -556,7 +582,7 @@ def _(spark, sf):
 
 @query("g8_train_and_evaluate")
 def _(spark, sf):
-    return training_job.run(
+    found = training_job.run(
         spark,
         fixtures.observations(spark, sf),
         fixtures.imagery(spark, sf),
@@ -564,6 +590,8 @@ def _(spark, sf):
         PipelineConfig(max_iter=20),
         fixtures.IMAGE_SHAPE,
     )
+    sound = F.col("auc").between(0, 1) & (F.col("loss") >= 0) & F.col("ece").between(0, 1)
+    return found.select("split", "n", sound.cast("int").alias("sound"))
 
 
 # --- streams ---------------------------------------------------------------------------------------------------
