@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: White space that separates words, as a class of a regular expression (same meaning in Java, Python and SQL engines).
 SPACES = r"[\x20\x09-\x0D]+"
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _TRIMMED = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 
 
@@ -48,6 +49,15 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(whole(text))
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Arrow batches of whole texts: so few rows that a worker's memory does not follow from the default of 10,000.
+
+    A number that the session has been given is left as it is.
+    """
+    if spark.conf.get(_BATCH_ROWS) == "10000":
+        spark.conf.set(_BATCH_ROWS, "1000")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only in local sessions without it."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vaneworks.llm.common import stored, whole
+from vaneworks.llm.common import stored, text_batches, whole
 
 LENGTH = 1024
 END_ID = 2
@@ -59,6 +59,7 @@ def encoder(path: str):
 def token_pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, in ``docs``' order."""
     kind = docs.schema[doc_id].dataType.simpleString()
+    text_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vaneworks.llm.automata import compile_backward, compile_rules
-from vaneworks.llm.common import whole
+from vaneworks.llm.common import text_batches, whole
 from vaneworks.llm.tokens import chunks
 
 
@@ -149,6 +149,7 @@ def scanner_for(rules: tuple[Rule, ...]) -> Scanner:
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Per row: doc_id and ``found``, array of (kind, start, end) in order of start and rule."""
     kind = docs.schema[doc_id].dataType.simpleString()
+    text_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = scanner_for(rules)

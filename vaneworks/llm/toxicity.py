@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vaneworks.llm.common import text_key, whole
+from vaneworks.llm.common import text_batches, text_key, whole
 
 #: Labelled rows that are learned from, at most (a bounded sample: 0.1 GB of text or so).
 FIT_ROWS = 20_000
@@ -248,6 +248,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 def text_features(rows: DataFrame, terms: dict[str, float]) -> DataFrame:
     """The first column of ``rows`` and the features of the second."""
     first = rows.schema[0]
+    text_batches(rows.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(terms)

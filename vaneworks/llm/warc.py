@@ -25,7 +25,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaneworks.llm.common import new_path, whole
+from vaneworks.llm.common import new_path, text_batches, whole
 
 ROLL_BYTES = 32_000_000
 SHARD_BYTES = 64_000_000
@@ -103,6 +103,7 @@ def write_warc(pages: DataFrame, out: str, page_id: str = "page_id", url: str =
                shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, date: str = DATE) -> DataFrame:
     """Write the archive below ``out``; returns the manifest: file, shard, records, bytes, sha256."""
     spark = pages.sparkSession
+    text_batches(spark)
     rows = with_first(pages, page_id, url, html, min_bytes).withColumn("_shard", _shards(pages, page_id, html, shard_bytes))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
