@@ -61,7 +61,7 @@ base as (select d.doc_id, cast(len(ws) as bigint) as n_words, cast(length(array_
                 cast(coalesce(cov.n, 0) as bigint) as n_repeat_words, cast(coalesce(lost.n, 0) as bigint) as removed_words
          from d left join dup on dup.doc_id = d.doc_id left join cov on cov.doc_id = d.doc_id left join lost on lost.doc_id = d.doc_id)
 select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
-       not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and n_words - removed_words >= 20 and 100 * removed_words <= 70 * n_words as kept
+       not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and 100 * removed_words <= 70 * n_words as kept
 from base
 """
 

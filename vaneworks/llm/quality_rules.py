@@ -3,7 +3,7 @@
 A line is compared lower-cased, with white space runs as one space and digits as 0. For each host it is counted in how
 many different texts it stands; copies of a whole text count once. Lines in more texts than the limit are boilerplate and
 are removed, except where they stand first (smallest doc_id of the host), so that of a group of near copies one
-document stays whole. A document left with too few of its words is rejected.
+document stays whole. A document that loses more than ``MAX_REMOVED_PERCENT`` of its words is rejected.
 
 Rows: nulls in ``text`` are empty texts, nulls in ``host`` are a host of their own, a null ``doc_id`` comes before all
 others. Rows with equal doc_id and equal text are the same document, rows with equal doc_id and other text are not.
@@ -120,7 +120,7 @@ def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: s
         base = base.drop(text)
     met = base.join(gone, F.col(f"`{doc_id}`").eqNullSafe(F.col("_gone_id")) & (F.col("_key") == F.col("_gone_key")), "left")
     out = met.withColumn("removed_words", F.coalesce("_gone_words", F.lit(0)).cast("long"))
-    depleted = (F.col("n_words") - F.col("removed_words") < MIN_WORDS) | (100 * F.col("removed_words") > MAX_REMOVED_PERCENT * F.col("n_words"))
+    depleted = 100 * F.col("removed_words") > MAX_REMOVED_PERCENT * F.col("n_words")
     out = out.withColumn("kept", ~F.col("base_failed") & ~depleted)
     if keep_text:
         split = F.split(whole(F.col(text)), "\n")
