@@ -123,3 +123,41 @@ def test_raw_weights_score_like_scaled_features(spark):
     a = models.score_linear(pooled(scaling.apply_scaler(obs, scaler)), weights).select("event_id", "p")
     b = models.score_linear(pooled(obs), scoring.raw_weights(weights, scaler)).select("event_id", "p")
     same_rows(a, b)
+
+
+@pytest.mark.parametrize("family", ["logistic", "trees"])
+def test_a_stored_model_with_images_scores_requests(spark, tmp_path, family):
+    import json
+    import random
+
+    from vaneworks.operators import models, scaling
+    from vaneworks.schema import FEATURES, PipelineConfig
+    from vaneworks.sources import state
+    from vaneworks.streaming import scoring
+
+    rng = random.Random(2)
+    rows = []
+    for i in range(60):
+        image = [[[rng.random() + (2.0 if (r < 2) == (i % 2 == 0) else 0.0) for _ in range(4)] for r in range(4)]]
+        weather = {name: rng.random() for name in FEATURES}
+        rows.append((i, "application/json", json.dumps({"satellite_image": image, "weather_data": weather})))
+    rows.append((90, "application/json", json.dumps({"satellite_image": [[[1.0]]], "weather_data": dict.fromkeys(FEATURES, 1.0)})))
+    requests = spark.createDataFrame(rows, scoring.REQUEST_SCHEMA)
+    parsed = scoring.decode_snapshots(requests)
+    scaler = scaling.fit_scaler(parsed.where("request_id < 60")).cache()
+    train = scoring.image_features(scoring.snapshot_features(scaling.apply_scaler(parsed, scaler), 3), "image", (1, 4, 4), 2)
+    train = train.where("request_id < 60").withColumn("label", (F.col("request_id") % 2).cast("int")).cache()
+    names = [f"mean_{name}" for name in FEATURES] + [f"mean_cell_{i}" for i in range(4)]
+    fitted = models.fit_logistic(train, names, weight_decay=1e-2) if family == "logistic" else models.fit_boosted_trees(train, names, max_iter=3)
+    state.save_model(fitted, PipelineConfig(), str(tmp_path / "m"))
+    loaded, _ = state.load_model(spark, str(tmp_path / "m"))
+    want = {r.request_id: r.p for r in models.score(train, fitted).collect()}
+
+    requests.repartition(2).write.parquet(str(tmp_path / "in"))
+    stream = scoring.read_requests(spark, "parquet", str(tmp_path / "in"))
+    scoring.run_scoring(stream, str(tmp_path / "out"), str(tmp_path / "c"), scaler, loaded, length=3, image_shape=(1, 4, 4), grid=2).awaitTermination()
+    got = {r.request_id: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got[90].reject_reason == "wrong_image_size" and got[90].response is None
+    assert all(abs(got[i].p - want[i]) < 1e-9 and got[i].decision == (i % 2 == 1) for i in range(60))
+    with pytest.raises(ValueError, match="image_shape"):
+        scoring.score_with_model(requests, scaler, loaded)

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from vaneworks.operators.models import score_linear
+from vaneworks.functions.pixels import cell_means, standardise_image
+from vaneworks.operators.models import score, score_linear
 from vaneworks.operators.scaling import apply_scaler
 from vaneworks.schema import FEATURES
 from vaneworks.sources.requests import decode_sequences, decode_snapshots, encode_responses
@@ -128,12 +130,58 @@ def score_snapshots(
     )
 
 
+def image_features(df: DataFrame, image: str, shape: tuple[int, int, int], grid: int) -> DataFrame:
+    """``mean_cell_<i>`` of the request's image, standardised and pooled as images are for training; NULL for another size."""
+    pixels = F.transform(F.flatten(F.flatten(image)), lambda x: x.cast("float"))
+    pooled = df.withColumn("_cells", cell_means(*shape, grid)(standardise_image(pixels)))
+    cells = {f"mean_cell_{i}": F.get("_cells", F.lit(i)) for i in range(shape[0] * grid * grid)}
+    return pooled.withColumns(cells).drop("_cells")
+
+
+def score_with_model(
+    requests: DataFrame,
+    scaler: DataFrame,
+    model: PipelineModel,
+    length: int = 24,
+    threshold: float = 0.5,
+    image_shape: tuple[int, int, int] | None = None,
+    grid: int = 1,
+) -> DataFrame:
+    """As ``score_snapshots`` with a fitted model, of any family and with or without image cells (see ``load_model``).
+
+    A request whose image does not have ``image_shape`` is rejected as ``wrong_image_size`` if the model looks at images.
+    """
+    decoded = decode_snapshots(requests)
+    rows = snapshot_features(apply_scaler(decoded, scaler), length)
+    reason = F.col("reject_reason")
+    if any(name.startswith("mean_cell_") for name in model.stages[0].getInputCols()):
+        if image_shape is None:
+            raise ValueError("the model looks at images: give image_shape")
+        rows = image_features(rows, "image", image_shape, grid)
+        reason = F.coalesce(reason, F.when(F.col("mean_cell_0").isNull(), "wrong_image_size"))
+    accepted = F.col("reject_reason").isNull()
+    scored = score(rows.withColumn("reject_reason", reason), model)
+    scored = scored.withColumn("p", F.when(accepted, F.col("p"))).withColumn("decision", F.col("p") >= threshold)
+    return encode_responses(scored).select(
+        "request_id", "reject_reason", "p", "decision", F.when(accepted, F.col("response")).alias("response")
+    )
+
+
 def run_scoring(
-    requests: DataFrame, out: str, checkpoint: str, scaler: DataFrame, coefficients: dict[str, float], **options
+    requests: DataFrame,
+    out: str,
+    checkpoint: str,
+    scaler: DataFrame,
+    model: PipelineModel | dict[str, float],
+    **options,
 ) -> StreamingQuery:
-    """Score everything available now and append the answers to parquet; rerunning continues after the last batch."""
+    """Score everything available now and append the answers to parquet; rerunning continues after the last batch.
+
+    ``model`` is a stored model or the exported weights of one.
+    """
+    score_rows = score_snapshots if isinstance(model, dict) else score_with_model
     return (
-        score_snapshots(requests, scaler, coefficients, **options)
+        score_rows(requests, scaler, model, **options)
         .writeStream.format("parquet")
         .outputMode("append")
         .option("path", out)
