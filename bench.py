@@ -13,6 +13,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from vaneworks.operators.scale import release_scratch  # noqa: E402
 from vaneworks.plans.queries import QUERIES  # noqa: E402
 from vaneworks.session import get_session  # noqa: E402
 
@@ -62,6 +63,7 @@ def main() -> None:
         started = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - started, 3)
+        release_scratch(spark)
         print(f"{name} {seconds[name]}", file=sys.stderr, flush=True)
     print(
         json.dumps(

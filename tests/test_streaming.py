@@ -161,3 +161,15 @@ def test_a_stored_model_with_images_scores_requests(spark, tmp_path, family):
     assert all(abs(got[i].p - want[i]) < 1e-9 and got[i].decision == (i % 2 == 1) for i in range(60))
     with pytest.raises(ValueError, match="image_shape"):
         scoring.score_with_model(requests, scaler, loaded)
+
+
+def test_untouched_series_pass_through_and_null_series_counts(spark, tmp_path):
+    from vaneworks.streaming.windows import WindowStream
+
+    rows = observations(spark, observation_rows({1: 9, 2: 9})).withColumn("series_id", F.when(F.col("series_id") == 1, 1).cast("bigint"))
+    online = WindowStream(str(tmp_path / "s"), rows.schema, 3, ("temperature",))
+    for i, part in enumerate((rows.where("hour(timestamp) < 5"), rows.where("series_id = 1 and hour(timestamp) >= 5"), rows.where("series_id is null and hour(timestamp) >= 5"))):
+        online.process(part, i)
+    got = spark.read.parquet(f"{tmp_path}/s/windows").groupBy("series_id").count().collect()
+    assert {r.series_id: r["count"] for r in got} == {1: 7, None: 7}
+    assert spark.read.parquet(f"{tmp_path}/s/late").count() == 0

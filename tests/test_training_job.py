@@ -61,3 +61,11 @@ def test_job_from_the_command_line(files, tmp_path):
     done = subprocess.run(command, cwd=Path(__file__).resolve().parents[1], capture_output=True, text=True, timeout=240)
     assert done.returncode == 0, done.stderr[-2000:]
     assert "average_precision" in done.stdout and (tmp_path / "out" / "scores").exists()
+
+
+def test_job_searches_on_its_own_split(spark, files, tmp_path):
+    folder, df = files
+    out = str(tmp_path / "out")
+    training_job.run(spark, df, None, out, PipelineConfig(sequence_length=6, max_iter=5), None, "time", trials=2)
+    tried = spark.read.parquet(f"{out}/trials").collect()
+    assert len(tried) == 2 and sum(r["is_best"] for r in tried) == 1

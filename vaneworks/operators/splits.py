@@ -126,11 +126,22 @@ def samples_at(
 ) -> DataFrame:
     """The rows at 0-based positions of the given order, with their position; positions outside give no row.
 
-    Only the order columns are sorted and written; the rows are then picked by key, one key per asked position.
+    ``order`` holds time and integer columns and ends in a unique one. The key at each position is found by counting
+    (see ``key_at_rank``); nothing is sorted, and the rows are picked by a filter on the asked keys. Meant for a handful of
+    positions: ``df`` is read a few times for each.
     """
-    wanted = [int(p) for p in positions]
-    keys = row_index(df.select(*order), order, out=out).where(F.col(out).isin(*wanted))
-    return df.join(F.broadcast(keys), list(order))  # at most len(positions) rows
+    keys = [_as_long(df, c) for c in order]
+    place = None
+    for position in sorted({int(p) for p in positions}):
+        found = key_at_rank(df, keys, lambda n, at=position: at) if position >= 0 else None
+        if found is not None:
+            here = F.lit(True)
+            for column, value in zip(keys, found):
+                here = here & (column == F.lit(value))
+            place = F.when(here, F.lit(position).cast("bigint")) if place is None else place.when(here, F.lit(position).cast("bigint"))
+    if place is None:
+        return df.withColumn(out, F.lit(None).cast("bigint")).where(F.lit(False))
+    return df.withColumn(out, place).where(F.col(out).isNotNull())
 
 
 def split_counts(df: DataFrame, split: str = "split", label: str = "label") -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from vaneworks.functions.times import ntz
 from vaneworks.operators import metrics, models, scaling, splits, windows
+from vaneworks.operators.scale import release_scratch
 from vaneworks.schema import ROW_ID, SERIES, TIME, PipelineConfig
 from vaneworks.session import get_session
 from vaneworks.sources import images as image_files
@@ -80,8 +81,13 @@ def run(
     config: PipelineConfig = PipelineConfig(),
     image_shape: tuple[int, int, int] | None = None,
     split: str = "time",
+    trials: int = 0,
 ) -> DataFrame:
-    """Run the job and return the metrics per split. Everything it produces is a table or a model under ``out``."""
+    """Run the job and return the metrics per split. Everything it produces is a table or a model under ``out``.
+
+    With ``trials`` the model's settings are searched on the job's own train and validation parts; the table of trials is kept
+    and the model is then fitted on the train part with the best penalty.
+    """
     obs, rejected = observation_files.split_rejected(observation_files.with_reject_reason(obs))
     state.save_table(rejected, f"{out}/rejected")
     if images is not None:
@@ -94,8 +100,13 @@ def run(
     names = windows.window_feature_columns(parted)
     scaled = scaling.apply_scaler(parted, _pooled_parameters(params), names)
 
+    penalty = config.weight_decay
+    if trials:
+        _, tried = models.search(scaled, names, trials=trials, max_iter=config.max_iter, seed=config.seed)
+        state.save_table(tried, f"{out}/trials")
+        penalty = tried.where("is_best").first()["weight_decay"]
     model = models.fit_logistic(
-        scaled.where(F.col("split") == "train"), names, weight_decay=config.weight_decay, max_iter=config.max_iter
+        scaled.where(F.col("split") == "train"), names, weight_decay=penalty, max_iter=config.max_iter
     )
     state.save_model(model, config, f"{out}/model")
     state.save_table(models.objective_history(model, "logistic", scaled), f"{out}/history")
@@ -122,6 +133,7 @@ def main() -> None:
     parser.add_argument("--key-mode", default="full", choices=("full", "first_token"))
     parser.add_argument("--split", default="time", choices=("time", "random"))
     parser.add_argument("--config", help="JSON file of settings")
+    parser.add_argument("--search", type=int, default=0, metavar="TRIALS", help="search the settings in so many trials")
     parser.add_argument("--out", required=True)
     args = parser.parse_args()
 
@@ -133,7 +145,8 @@ def main() -> None:
         series = F.regexp_extract("path", args.series_pattern, 1) if args.series_pattern else None
         images = image_files.read_images(spark, args.images, 3, args.image_shape, args.key_mode, series)
     shape = tuple(args.image_shape) if args.image_shape else None
-    run(spark, obs, images, args.out, config, shape, args.split).show(truncate=False)
+    run(spark, obs, images, args.out, config, shape, args.split, args.search).show(truncate=False)
+    release_scratch(spark)
     spark.stop()
 
 

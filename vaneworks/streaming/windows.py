@@ -1,8 +1,8 @@
 """Sliding windows over a stream of observations.
 
 The state of a series is its last ``length - 1`` rows. It is kept as a table, one version per micro-batch: a batch
-reads the previous version, builds its windows with the batch operators over (held rows + new rows) and writes the
-next one. So a series with a third of the traffic is cut into chunks like in batch, where a per-key state function
+reads the previous version, builds the windows of the series it brings with the batch operators over (held rows + new
+rows) and writes the next one, into which the rows of all other series pass as they are. So a series with a third of the traffic is cut into chunks like in batch, where a per-key state function
 would put it into one task, and a batch that is run again after a failure reads and writes the same things.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import Window
 from pyspark.sql.streaming import StreamingQuery
 
 from vaneworks.functions.times import ntz
-from vaneworks.operators.scale import lay_out
+from vaneworks.operators.scale import join_small, lay_out
 from vaneworks.schema import FEATURES, ORDER, SERIES, TIME
 
 _SLOTS = 2  # versions of the state that are kept: the one being read and the one being written
@@ -94,31 +94,34 @@ class WindowStream:
             held = self._state(spark, batch_id - 1).drop("state_of")
             key = F.struct(*self.order)
             newest = held.groupBy(*self.series).agg(F.max(key).alias("_newest"))
-            judged = batch.join(newest, list(self.series), "left")
+            judged = join_small(batch, newest, self.series, "left")
             on_time = F.col("_newest").isNull() | (key > F.col("_newest"))
             fresh = judged.where(on_time).drop("_newest")
             late = judged.where(~on_time).drop("_newest")
             late.write.mode("overwrite").parquet(f"{self.folder}/late/batch_id={batch_id}")
 
-            rows = held.withColumn("_new", F.lit(False)).unionByName(fresh.withColumn("_new", F.lit(True)))
+            # only series that the batch brings are laid out again; the rows of the others pass through
+            touched = batch.select(*self.series).distinct()
+            mine, others = (join_small(held, touched, self.series, how) for how in ("left_semi", "left_anti"))
+            rows = mine.withColumn("_new", F.lit(False)).unionByName(fresh.withColumn("_new", F.lit(True)))
             windows = trailing_windows(
                 rows, self.length, self.features, self.series, self.order, only="_new", **self.layout_options
             )
             if self.transform is not None:
                 windows = self.transform(windows)
             windows.write.mode("overwrite").parquet(f"{self.folder}/windows/batch_id={batch_id}")
-            self._write_state(rows.drop("_new"), batch_id)
+            self._write_state(rows.drop("_new"), others, batch_id)
         finally:
             batch.unpersist()
 
-    def _write_state(self, rows: DataFrame, batch_id: int) -> None:
-        kept = last_rows(rows, self.length - 1, self.series, self.order)
+    def _write_state(self, rows: DataFrame, others: DataFrame, batch_id: int) -> None:
+        kept = last_rows(rows, self.length - 1, self.series, self.order).unionByName(others)
         if self.idle_seconds is not None:
-            now = rows.agg(F.max(TIME).alias("now")).first()["now"]
+            now = rows.select(TIME).unionByName(others.select(TIME)).agg(F.max(TIME).alias("now")).first()["now"]
             if now is not None:
                 heard = kept.groupBy(*self.series).agg(F.max(TIME).alias("_heard"))
                 oldest = ntz(now) - F.expr(f"interval {int(self.idle_seconds)} seconds")
-                kept = kept.join(heard.where(F.col("_heard") >= oldest), list(self.series), "left_semi")
+                kept = join_small(kept, heard.where(F.col("_heard") >= oldest), self.series, "left_semi")
         (
             kept.select(*self.columns, F.lit(batch_id).cast("bigint").alias("state_of"))
             .write.mode("overwrite")
