@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from vaneworks.llm.common import SPACES, stored, text_key, whole
+from vaneworks.llm.common import SPACES, stored, text_batches, text_key, whole
 from vaneworks.llm.tokens import Chunk, chunks, mix, runs
 
 WINDOW = 20
@@ -268,6 +268,7 @@ def cut(texts: DataFrame, window: int) -> DataFrame:
 
 def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, run: int = RUN, group_windows: int = GROUP_WINDOWS) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_removed and the kept words joined by one space, ``kept``."""
+    text_batches(docs.sparkSession)
     bare = F.trim(F.regexp_replace(whole(F.col(text)), SPACES, " "))
     rows = docs.select(F.col(doc_id).alias("_id"), text_key(F.col(text)).alias("_key"), bare.alias("_words"))
     firsts = stored(rows.groupBy("_key").agg(F.min(F.struct("_id")).alias("_first"), F.count(F.lit(1)).alias("_c")), "firsts")
@@ -279,14 +280,15 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     gone = later_windows(suffixes, window, group_windows).groupBy("_id", "_key").agg(F.flatten(F.collect_list("_starts")).alias("_starts"))
     gone = gone.withColumnsRenamed({"_id": "_gid", "_key": "_gkey"})
     touched = cut(affected.drop("_anchors").join(gone, F.col("_id").eqNullSafe(F.col("_gid")) & (F.col("_key") == F.col("_gkey"))), window)
-    touched = touched.withColumnsRenamed({"_id": "_tid", "_key": "_tkey"})
-    copies = firsts.where(F.col("_c") > 1).select(F.col("_key").alias("_ckey"), F.col("_first._id").alias("_cid"), F.lit(True).alias("_copied"))
-    n_words = F.when(F.col("_words") == "", F.lit(0)).otherwise(F.length("_words") - F.length(F.translate("_words", " ", "")) + 1)
-    met = rows.withColumn("_n", n_words.cast("long"))
-    met = met.join(copies, F.col("_key") == F.col("_ckey"), "left")
-    met = met.join(touched, F.col("_id").eqNullSafe(F.col("_tid")) & (F.col("_key") == F.col("_tkey")), "left")
-    lost = F.coalesce("_copied", F.lit(False)) & ~F.col("_id").eqNullSafe(F.col("_cid")) & (F.col("_n") >= window)
+    # copies are known by narrow columns; the texts themselves meet what is changed of them once
+    n_words = F.when(F.col("_words") == "", F.lit(0)).otherwise(F.length("_words") - F.length(F.translate("_words", " ", "")) + 1).cast("long")
+    copied = firsts.where(F.col("_c") > 1).select(F.col("_key").alias("_ckey"), F.col("_first._id").alias("_cid"))
+    narrow = rows.select("_id", "_key", n_words.alias("_removed")).where(F.col("_removed") >= window).distinct()
+    lost = narrow.join(copied, F.col("_key") == F.col("_ckey")).where(~F.col("_id").eqNullSafe(F.col("_cid")))
+    changed = touched.unionByName(lost.select("_id", "_key", "_removed", F.lit("").alias("_kept")))
+    changed = changed.withColumnsRenamed({"_id": "_tid", "_key": "_tkey"})
+    met = rows.join(changed, F.col("_id").eqNullSafe(F.col("_tid")) & (F.col("_key") == F.col("_tkey")), "left")
     return met.select(
-        F.col("_id").alias(doc_id), F.col("_n").alias("n_words"), F.when(lost, F.col("_n")).otherwise(F.coalesce("_removed", F.lit(0))).alias("n_removed"),
-        F.when(lost, F.lit("")).otherwise(F.when(F.col("_tkey").isNotNull(), F.col("_kept")).otherwise(F.col("_words"))).alias("kept"),
+        F.col("_id").alias(doc_id), n_words.alias("n_words"), F.coalesce("_removed", F.lit(0)).alias("n_removed"),
+        F.when(F.col("_tkey").isNotNull(), F.col("_kept")).otherwise(F.col("_words")).alias("kept"),
     )
