@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vaneworks.llm.common import stored
+from vaneworks.llm.common import stored, text_batches
 from vaneworks.llm.components import components
 from vaneworks.llm.tokens import Chunk, chunks, group_sets, mix
 
@@ -201,6 +201,7 @@ def candidate_edges(docs: DataFrame, text: str, shingle: int, threshold: int) ->
 def similarity_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD,
                           group_elements: int = GROUP_ELEMENTS) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id that links reach)."""
+    text_batches(docs.sparkSession)
     rows = stored(class_rows(docs, doc_id, text, shingle), "classes")
     classes = stored(rows.where(F.col("_cls").isNotNull()).groupBy("_cls").agg(F.min("_id").alias("_first"), F.max("_n").alias("_n")), "members")
     gathered = components(candidate_edges(docs, text, shingle, threshold))

@@ -9,7 +9,7 @@ import pyarrow as pa
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Texts are worked on in groups of about so many bytes, whatever an Arrow batch holds.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
