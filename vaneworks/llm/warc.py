@@ -71,16 +71,22 @@ def _open(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
 
 
-def with_first(pages: DataFrame, page_id: str, url: str, html: str, min_bytes: int) -> DataFrame:
-    """_page, _url, _html (null for revisits), _size, _sha1 (hex), _refers."""
-    rows = pages.select(F.col(page_id).alias("_page"), F.col(url).cast("string").alias("_url"), whole(F.col(html)).alias("_html"))
-    rows = rows.withColumn("_size", F.octet_length("_html").cast("long")).withColumn("_sha1", F.sha1(F.col("_html").cast("binary")))
-    named = rows.where(F.col("_size") >= min_bytes).groupBy("_sha1").agg(F.min("_page").alias("_first"), F.count(F.lit(1)).alias("_c"))
-    firsts = named.where(F.col("_c") > 1).select(F.col("_sha1").alias("_s2"), "_first")
-    met = rows.join(firsts, F.col("_sha1") == F.col("_s2"), "left")
-    refers = F.when(F.col("_first").isNotNull() & ~F.col("_page").eqNullSafe(F.col("_first")), F.col("_first"))
-    met = met.withColumn("_refers", refers)
-    return met.select("_page", "_url", F.when(F.col("_refers").isNull(), F.col("_html")).alias("_html"), "_size", "_sha1", "_refers")
+def records(pages: DataFrame, page_id: str, url: str, html: str, min_bytes: int) -> DataFrame:
+    """The pages with their digests (_kind 1), and before those that repeat a payload a row that says which (_kind 0, _refers).
+
+    Only digests meet to find the repeats; the payloads themselves are moved once, to their shards.
+    """
+    digest = F.sha1(whole(F.col(html)).cast("binary")).alias("_sha1")
+    size = F.octet_length(whole(F.col(html))).cast("long").alias("_size")
+    known = pages.select(F.col(page_id).alias("_page"), digest, size).where(F.col("_size") >= min_bytes)
+    named = known.groupBy("_sha1").agg(F.min("_page").alias("_first"), F.count(F.lit(1)).alias("_c"))
+    firsts = named.where((F.col("_c") > 1) & F.col("_first").isNotNull()).select(F.col("_sha1").alias("_s2"), "_first")
+    again = known.join(firsts, F.col("_sha1") == F.col("_s2")).where(~F.col("_page").eqNullSafe(F.col("_first")))
+    none = F.lit(None).cast("string")
+    told = again.select("_page", none.alias("_url"), none.alias("_html"), "_size", "_sha1", F.col("_first").alias("_refers"), F.lit(0).alias("_kind")).distinct()
+    own = F.lit(None).cast(pages.schema[page_id].dataType)
+    rows = pages.select(F.col(page_id).alias("_page"), F.col(url).cast("string").alias("_url"), whole(F.col(html)).alias("_html"), size, digest, own.alias("_refers"), F.lit(1).alias("_kind"))
+    return rows.unionAll(told)
 
 
 def _shards(pages: DataFrame, page_id: str, html: str, shard_bytes: int) -> Column:
@@ -104,7 +110,7 @@ def write_warc(pages: DataFrame, out: str, page_id: str = "page_id", url: str =
     """Write the archive below ``out``; returns the manifest: file, shard, records, bytes, sha256."""
     spark = pages.sparkSession
     text_batches(spark)
-    rows = with_first(pages, page_id, url, html, min_bytes).withColumn("_shard", _shards(pages, page_id, html, shard_bytes))
+    rows = records(pages, page_id, url, html, min_bytes).withColumn("_shard", _shards(pages, page_id, html, shard_bytes))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = _open(out)
@@ -126,12 +132,18 @@ def write_warc(pages: DataFrame, out: str, page_id: str = "page_id", url: str =
                 done.append((name, shard, count, size, digest.hexdigest()))
                 stream, number = None, number + 1
 
+        repeats: tuple = (None, None, None)
         name = temporary = ""
         number = count = size = 0
         digest = hashlib.sha256()
         for batch in batches:
-            for r in zip(*[batch.column(i).to_pylist() for i in range(7)], strict=True):
-                page, address, text, length, sha1, refers, own = r
+            for r in zip(*[batch.column(i).to_pylist() for i in range(8)], strict=True):
+                page, address, text, length, sha1, refers, kind, own = r
+                if kind == 0:
+                    repeats = (page, sha1, refers)
+                    continue
+                if repeats[:2] == (page, sha1):
+                    refers = repeats[2]
                 if own != shard:
                     finish()
                     shard, number = own, 0
@@ -146,8 +158,8 @@ def write_warc(pages: DataFrame, out: str, page_id: str = "page_id", url: str =
         finish()
         yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string()))], ["file", "shard", "records", "bytes", "sha256"])
 
-    columns = ("_page", "_url", "_html", "_size", "_sha1", "_refers", "_shard")
-    laid = rows.select(*columns).repartition("_shard").sortWithinPartitions("_shard", "_page", "_sha1", "_url", "_size")
+    columns = ("_page", "_url", "_html", "_size", "_sha1", "_refers", "_kind", "_shard")
+    laid = rows.select(*columns).repartition("_shard").sortWithinPartitions("_shard", "_page", "_sha1", "_kind", "_url")
     manifest = laid.mapInArrow(work, "file string, shard int, records long, bytes long, sha256 string")
     manifest.write.parquet(f"{out}/_manifest")
     return spark.read.parquet(f"{out}/_manifest")
