@@ -27,36 +27,40 @@ BROADCAST_SEEDS = 1_000_000
 
 
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(whole(text)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    bare = F.regexp_replace(F.lower(whole(text)), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"[^\p{L}\p{N}]+"))
 
 
 def _hashes(toks: Column) -> Column:
     return F.transform(toks, lambda w: F.xxhash64(w))
 
 
-def _seeds(h: Column, masks: tuple[str, ...]) -> list[Column]:
-    """For each mask the hashes of its placements, in order."""
-    def placed(m: int, mask: str) -> Column:
-        at = [k for k, c in enumerate(mask) if c == "1"]
-        return F.transform(upto(F.size(h) - (len(mask) - 1)), lambda i: F.xxhash64(F.lit(m), *[F.get(h, i + k) for k in at]))
+def _seed_rows(hashed: DataFrame, tokens_column: str, keys: tuple[str, ...], masks: tuple[str, ...], pos: str) -> DataFrame:
+    """One row per placement of a mask: the keys, the place and ``_seed``.
 
-    return [placed(m, mask) for m, mask in enumerate(masks)]
+    The token hashes are zipped with themselves shifted, so a row holds a whole span and its masks are hashed in generated code.
+    """
+    span = max(len(m) for m in masks)
+    h = F.col(tokens_column)
+    shifted = F.arrays_zip(*[F.slice(h, k + 1, F.greatest(F.size(h), F.lit(1))).alias(f"t{k}") for k in range(span)])
+    rows = hashed.select(*keys, F.posexplode(shifted).alias(pos, "_t"))
+    seeds = []
+    for m, mask in enumerate(masks):
+        counted = [F.col(f"_t.t{k}") for k, c in enumerate(mask) if c == "1"]
+        seeds.append(F.when(F.col(f"_t.t{len(mask) - 1}").isNotNull(), F.xxhash64(F.lit(m), *counted)))
+    return rows.select(*keys, pos, F.explode(F.array(*seeds)).alias("_seed")).where(F.col("_seed").isNotNull())
 
 
 def item_seeds(items: DataFrame, item_id: str, text: str, masks: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
     """Item tokens, and one row per seed hash: _seed, _item, _ikey, _ipos."""
     hashed = items.select(F.col(item_id).alias("_item"), text_key(F.col(text)).alias("_ikey"), _hashes(tokens(F.col(text))).alias("_ih")).distinct()
-    parts = None
-    for seeds in _seeds(F.col("_ih"), masks):
-        rows = hashed.select("_item", "_ikey", F.posexplode(seeds).alias("_ipos", "_seed"))
-        parts = rows if parts is None else parts.unionAll(rows)
-    return hashed, parts
+    return hashed, _seed_rows(hashed, "_ih", ("_item", "_ikey"), masks, "_ipos")
 
 
 def hits(docs: DataFrame, seeds: DataFrame, doc_id: str, text: str, masks: tuple[str, ...], small: bool) -> DataFrame:
     """Offsets at which an item shares a seed with a document: _id, _key, _item, _ikey, _off."""
-    hashed = docs.select(F.col(doc_id).alias("_id"), text_key(F.col(text)).alias("_key"), let(_hashes(tokens(F.col(text))), lambda h: F.array(*_seeds(h, masks))).alias("_s"))
-    rows = hashed.select("_id", "_key", F.explode("_s").alias("_m")).select("_id", "_key", F.posexplode("_m").alias("_dpos", "_seed"))
+    hashed = docs.select(F.col(doc_id).alias("_id"), text_key(F.col(text)).alias("_key"), _hashes(tokens(F.col(text))).alias("_h"))
+    rows = _seed_rows(hashed, "_h", ("_id", "_key"), masks, "_dpos")
     met = rows.join(F.broadcast(seeds) if small else seeds, "_seed")
     return met.select("_id", "_key", "_item", "_ikey", (F.col("_dpos") - F.col("_ipos")).alias("_off")).distinct()
 
