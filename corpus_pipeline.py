@@ -11,6 +11,10 @@ from vaneworks.llm.queries import tokenizer_path
 
 ORACLE_SQL = None
 
+#: Near copies in the stages: sets of five-word shingles with a similarity of 0.8 or more (op9's own limits are its defaults).
+SHINGLE = 5
+THRESHOLD = 80
+
 
 def _as_documents(docs: DataFrame, df: DataFrame, text: str = "text"):
     """The columns of ``docs`` with the given text; n_chars follows it."""
@@ -33,7 +37,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest doc_id stays; documents without words are left to the next stage."""
-    found = part_enum.similarity_components(docs.select("doc_id", "text")).where("doc_id = component_id or component_id is null")
+    found = part_enum.similarity_components(docs.select("doc_id", "text"), shingle=SHINGLE, threshold=THRESHOLD).where("doc_id = component_id or component_id is null")
     stay = found.select(F.col("doc_id").alias("_stay")).distinct()
     return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi")
 
