@@ -29,10 +29,27 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later occurrences of three-line windows go; a document of which less than half of the words is left was a copy and goes."""
-    before = docs.withColumn("_before", F.length("text"))
-    left = line_dedup.line_dedup(before).where((F.col("n_removed") == 0) | (has_word(F.col("text")) & (2 * F.length("text") >= F.col("_before"))))
-    return _as_documents(docs, left)
+    """Later occurrences of three-line windows go, and so does a document without a word left.
+
+    One of which less than half is left goes only as a near copy: when links on the stage's input lead from it to an
+    earlier document among those like it and the documents that its windows stood in first.
+    """
+    before = docs.withColumn("_before", F.length("text")).withColumn("_was", text_key(F.col("text")))
+    repeated = stored(line_dedup.repeated_windows(line_dedup.line_windows(docs)), "repeated")
+    left = stored(line_dedup.line_dedup(before, repeated=repeated).where((F.col("n_removed") == 0) | has_word(F.col("text"))), "lines")
+    short = (F.col("n_removed") > 0) & (2 * F.length("text") < F.col("_before"))
+
+    doubtful = stored(left.where(short).select(F.col("doc_id").alias("_i"), F.col("_was").alias("_k")).distinct(), "doubtful")
+    own = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_k"))
+    sources = repeated.join(doubtful, own, "left_semi").select(F.col("_first.i").alias("_i"), F.col("_first.k").alias("_k"))
+    members = doubtful.union(sources).distinct()
+    texts = docs.select("doc_id", "text", text_key(F.col("text")).alias("_key"))
+    texts = texts.join(members, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_k")), "left_semi")
+    texts = stored(texts.select(F.struct("doc_id", F.col("_key").alias("key")).alias("id"), "text"), "sources")
+    linked = part_enum.similarity_components(texts, "id", shingle=SHINGLE, threshold=THRESHOLD).where("id != component_id")
+    copies = linked.select(F.col("id.doc_id").alias("_i"), F.col("id.key").alias("_k")).distinct()
+    copy = F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_was") == F.col("_k")) & short
+    return _as_documents(docs, left.join(copies, copy, "left_anti"))
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,3 +28,20 @@ def test_near_copies_of_five_words_at_four_fifths(spark):
             stay.append(i)
     got = sorted(r.doc_id for r in corpus_pipeline.jaccard_stage(spark, frame(spark, rows), SF).collect())
     assert got == stay == [1, 3]
+
+
+def test_a_shared_passage_takes_no_unique_lines(spark):
+    line = lambda tag, k: " ".join(f"{tag}{k}x{j}" for j in range(8))
+    passage = [line("shared", k) for k in range(12)]
+    own = [line("own", k) for k in range(4)]
+    copy = [s.replace("shared3x4", "typo") for s in passage]
+    rows = [
+        (1, "\n".join([line("first", 0), *passage])),
+        (2, "\n".join([*own, *passage])),  # less than half is left, and that is nowhere else
+        (3, "\n".join([line("first", 0), *copy])),  # a near copy of 1
+        (4, "\n".join(passage)),  # nothing is left
+        (None, "\n".join([line("none", 0), line("none", 1)])),
+    ]
+    assert similarity(rows[1][1], rows[0][1], 5) < 0.8 < similarity(rows[2][1], rows[0][1], 5)
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, frame(spark, rows), SF).collect()}
+    assert got == {1: rows[0][1], 2: "\n".join(own), None: rows[4][1]}

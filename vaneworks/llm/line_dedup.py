@@ -44,19 +44,21 @@ def line_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
 
 
 def repeated_windows(windows: DataFrame) -> DataFrame:
-    """Windows that are not the first of their kind: _id, _key, _at. A hot window meets its first occurrence in ``SALTS`` parts."""
+    """Windows that are not the first of their kind: _id, _key, _at, _first (i, k, a: where that is). A hot window meets its first occurrence in ``SALTS`` parts."""
     place = F.struct(F.col("_id").alias("i"), F.col("_key").alias("k"), F.col("_at").alias("a"))
     firsts = windows.groupBy("_h", "_g").agg(F.count(F.lit(1)).alias("_n"), F.min(place).alias("_first")).where(F.col("_n") > 1)
     firsts = firsts.select(F.col("_h").alias("_h2"), F.col("_g").alias("_g2"), "_first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_s2"))
     spread = windows.withColumn("_salt", F.pmod(F.xxhash64("_id", "_key"), F.lit(SALTS)).cast("int"))
     met = spread.join(firsts, (F.col("_h") == F.col("_h2")) & (F.col("_g") == F.col("_g2")) & (F.col("_salt") == F.col("_s2")))
     first = F.col("_id").eqNullSafe(F.col("_first.i")) & (F.col("_key") == F.col("_first.k")) & (F.col("_at") == F.col("_first.a"))
-    return met.where(~first).select("_id", "_key", "_at")
+    return met.where(~first).select("_id", "_key", "_at", "_first")
 
 
-def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = LINES) -> DataFrame:
-    """``docs`` with the text that is left, and n_lines and n_removed."""
-    gone = repeated_windows(line_windows(docs, doc_id, text, n)).groupBy("_id", "_key").agg(F.collect_set("_at").alias("_gone"))
+def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = LINES, repeated: DataFrame | None = None) -> DataFrame:
+    """``docs`` with the text that is left, and n_lines and n_removed; ``repeated``: their repeated windows, where these are known."""
+    if repeated is None:
+        repeated = repeated_windows(line_windows(docs, doc_id, text, n))
+    gone = repeated.groupBy("_id", "_key").agg(F.collect_set("_at").alias("_gone"))
     gone = gone.withColumnsRenamed({"_id": "_gone_id", "_key": "_gone_key"})
     keyed = docs.withColumn("_key", text_key(F.col(text)))
     met = keyed.join(gone, F.col(f"`{doc_id}`").eqNullSafe(F.col("_gone_id")) & (F.col("_key") == F.col("_gone_key")), "left")
