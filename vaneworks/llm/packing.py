@@ -35,13 +35,20 @@ BATCH = 256
 def encoder(path: str):
     """A function from texts to id arrays, for a byte-level BPE in the ``tokenizers`` format.
 
-    Where the same vocabulary lies beside it as ranks (``.tiktoken``) the faster library reads those; the ids are equal.
+    Where the same vocabulary lies beside it as ranks (``.tiktoken``) the faster library reads those; the ids are equal. A
+    text that this one refuses, such as one with a run of a million spaces, is encoded by ``tokenizers``.
     """
     import os
 
     import public_tokenizers
     from tokenizers import Tokenizer
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+
+    @functools.cache
+    def tokenizer() -> Tokenizer:
+        return Tokenizer.from_file(path)
+
     ranks_path = path.removesuffix(".json") + ".tiktoken"
     if path.endswith("byte_bpe_50k.json") and os.path.exists(ranks_path):
         import tiktoken
@@ -50,10 +57,15 @@ def encoder(path: str):
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         special = {"<|endoftext|>": 50256}
         fast = tiktoken.Encoding(os.path.basename(path), pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        return lambda texts: [fast.encode(t, allowed_special="all") for t in texts]
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    tokenizer = Tokenizer.from_file(path)
-    return lambda texts: [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+        def ids(text: str) -> list[int]:
+            try:
+                return fast.encode(text, allowed_special="all")
+            except ValueError:  # its regular expressions have a bounded stack
+                return tokenizer().encode(text, add_special_tokens=False).ids
+
+        return lambda texts: [ids(t) for t in texts]
+    return lambda texts: [e.ids for e in tokenizer().encode_batch(texts, add_special_tokens=False)]
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
