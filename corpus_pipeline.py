@@ -53,10 +53,16 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays; documents without words are left to the next stage."""
-    found = part_enum.similarity_components(docs.select("doc_id", "text"), shingle=SHINGLE, threshold=THRESHOLD).where("doc_id = component_id or component_id is null")
-    stay = found.select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi")
+    """Of each group of linked documents the one with the smallest doc_id stays, once; documents without words are left to the next stage.
+
+    A document is a doc_id with a text: of rows that repeat both one stays, and texts that share a doc_id are told apart.
+    """
+    keyed = docs.withColumn("_key", text_key(F.col("text")))
+    texts = keyed.select(F.struct("doc_id", F.col("_key").alias("key")).alias("id"), "text")
+    found = part_enum.similarity_components(texts, "id", shingle=SHINGLE, threshold=THRESHOLD).where("id = component_id")
+    stay = found.select(F.col("id.doc_id").alias("_stay"), F.col("id.key").alias("_as")).distinct()
+    left = keyed.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")) & (F.col("_key") == F.col("_as")), "left_semi")
+    return left.dropDuplicates(["doc_id", "_key"]).drop("_key")
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,3 +45,10 @@ def test_a_shared_passage_takes_no_unique_lines(spark):
     assert similarity(rows[1][1], rows[0][1], 5) < 0.8 < similarity(rows[2][1], rows[0][1], 5)
     got = {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, frame(spark, rows), SF).collect()}
     assert got == {1: rows[0][1], 2: "\n".join(own), None: rows[4][1]}
+
+
+def test_a_document_is_a_doc_id_with_a_text(spark):
+    a, b, c = (" ".join(f"{tag}{i}" for i in range(40)) for tag in "abc")
+    rows = [(1, a), (2, b), (2, b), (2, a + " z"), (None, c), (None, c), (None, "")]
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.jaccard_stage(spark, frame(spark, rows), SF).collect()]
+    assert sorted(got, key=repr) == sorted([(1, a), (2, b), (None, c), (None, "")], key=repr)
