@@ -7,7 +7,7 @@ from conftest import SF
 from vaneworks.llm.oracles import ORACLES
 from vaneworks.llm.queries import QUERIES
 
-TABLES = ("documents", "pages", "benchmark", "labels", "conversations")
+TABLES = ("documents", "pages", "benchmark", "labels", "conversations", "embeddings")
 
 
 @pytest.fixture(scope="module")
@@ -18,8 +18,8 @@ def db():
     return connection
 
 
-def test_ten_queries():
-    assert sorted({int(name[2:].split("_")[0]) for name in QUERIES}) == list(range(1, 11))
+def test_thirteen_queries():
+    assert sorted({int(name[2:].split("_")[0]) for name in QUERIES}) == list(range(1, 14))
     assert set(ORACLES) <= set(QUERIES)
 
 

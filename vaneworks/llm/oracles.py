@@ -77,4 +77,74 @@ select d.doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(len(gone), 0)
 from d left join g on d.doc_id = g.doc_id left join kept on d.doc_id = kept.doc_id
 """
 
-ORACLES = {"op10_substring_dedup": OP10, "op3_line_dedup": OP3, "op4_chat_formatting": OP4, "op7_quality_rules": OP7}
+OP11 = r"""
+with recursive v as (
+  select vec_id, label, cast(embedding as double[]) as v from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.v) = len(b.v)
+      where list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v)) / sqrt(list_dot_product(b.v, b.v)) >= 0.98),
+reach as (select vec_id as a, vec_id as b from embeddings union select reach.a, l.b from reach join l on l.a = reach.b),
+least as (select a, min(b) as component_id from reach group by a),
+n as (select a, count(*) as n from l group by a)
+select vec_id, cast(coalesce(n, 0) as bigint) as n_links, component_id, vec_id = component_id as kept
+from embeddings join least on least.a = vec_id left join n on n.a = vec_id
+"""
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: CTEs of the table of CRC-32, made by its rule, and the CRC of a text by its UTF-8 bytes.
+_CRC_TABLE = """
+crc_rule as (select list(v order by i) as tab from (
+  select i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as v from range(256) as r(i)))
+"""
+_BYTES = """flatten(list_transform(string_split({0}, ''), lambda c: case when ord(c) < 128 then [ord(c)]
+  when ord(c) < 2048 then [192 + (ord(c) >> 6), 128 + (ord(c) & 63)]
+  when ord(c) < 65536 then [224 + (ord(c) >> 12), 128 + ((ord(c) >> 6) & 63), 128 + (ord(c) & 63)]
+  else [240 + (ord(c) >> 18), 128 + ((ord(c) >> 12) & 63), 128 + ((ord(c) >> 6) & 63), 128 + (ord(c) & 63)] end))"""
+_CRC = "xor(list_reduce(list_prepend(cast(4294967295 as bigint), cast(" + _BYTES + " as bigint[])), lambda c, b: xor(c >> 8, tab[1 + (xor(c, b) & 255)])), 4294967295)"
+
+OP12 = rf"""
+with recursive {_CRC_TABLE.strip()},
+o as (select doc_id, {_LOWER.format("unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+'))")} as run from documents),
+u as (select doc_id, run, count(*) as c from o where length(run) >= 7 group by all),
+h as (select run, c, {_CRC.format("doc_id || ':' || run")} as h from u, crc_rule),
+d as (select case when h % 31 = 0 then substr(run, 1, cast(h % length(run) as int)) || substr(run, cast(h % length(run) as int) + 2) else run end as word, c from h),
+w as materialized (select word, cast(sum(c) as bigint) as n from d where length(word) >= 7 group by word having sum(c) >= 2),
+k as (select word, n, unnest(range(1, length(word) + 1)) as i from w),
+star as materialized (select word, n, substr(word, 1, i - 1) || '*' || substr(word, i + 1) as key, substr(word, 1, i - 1) || substr(word, i + 1) as short from k),
+p as materialized (
+  select a.word, b.word as near, b.n as near_n from star a join star b on a.key = b.key and a.word <> b.word
+  union select a.word, b.word, b.n from star a join w b on a.short = b.word
+  union select b.word, a.word, a.n from star a join w b on a.short = b.word),
+b as (select word, count(*) as n_near, arg_min(near, (-near_n, near)) as near, max(near_n) as near_n from p group by word),
+f as materialized (select w.word, case when near_n >= 10 * n then near end as form, n, coalesce(n_near, 0) as n_near, case when near_n >= 10 * n then near_n end as form_n
+      from w left join b on w.word = b.word),
+walk as (select word, word as here, 0 as step from f union all select walk.word, f.form, step + 1 from walk join f on f.word = walk.here where f.form is not null),
+r as (select word, arg_max(here, step) as root from walk group by word)
+select f.word, form, root, n, n_near, form_n from f join r on f.word = r.word
+"""
+
+_FEATURES = r"unnest(regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'))"
+
+OP13 = rf"""
+with {_CRC_TABLE.strip()},
+o as materialized (select doc_id, {_FEATURES} as word from documents),
+t as materialized (select {_FEATURES} as word from benchmark),
+v as materialized (select word, {_CRC.format("word")} % 10000 as bucket from (select word from o union select word from t), crc_rule),
+s as (select bucket, count(*) as s from o join v on o.word = v.word group by bucket),
+g as (select bucket, count(*) as t from t join v on t.word = v.word group by bucket),
+gain as materialized (select bucket, cast(floor(1000 * ln((coalesce(t, 0) + 1.0::double) * ((select count(*) from o) + 10000)
+             / ((coalesce(s, 0) + 1.0::double) * ((select count(*) from t) + 10000)))) as bigint) as gain
+         from (select unnest(range(10000)) as bucket) left join s using (bucket) left join g using (bucket)),
+m as (select doc_id, count(*) as n, cast(floor(sum(gain)::double / count(*)) as bigint) as weight from o join v on o.word = v.word join gain using (bucket) group by doc_id),
+d as (select documents.doc_id, coalesce(n, 0) as n_features, coalesce(weight, 0) as weight, ('0x' || substr(sha256('2024:' || documents.doc_id), 1, 8))::bigint as h
+      from documents left join m on documents.doc_id = m.doc_id),
+c as (select *, weight + cast(floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296))) as bigint) as score from d),
+r as (select *, row_number() over (order by n_features >= 20 desc, score desc, doc_id) as place, 10 * count(*) filter (where n_features >= 20) over () // 100 as drawn from c)
+select doc_id, n_features, weight, score, case when n_features >= 20 and place <= drawn then place end as rank from r
+"""
+
+ORACLES = {
+    "op11_embedding_near_dedup": OP11, "op12_spelling_variants": OP12, "op13_importance_resampling": OP13,
+    "op10_substring_dedup": OP10, "op3_line_dedup": OP3, "op4_chat_formatting": OP4, "op7_quality_rules": OP7,
+}

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaneworks.llm import chat_format, decontaminate, line_dedup, packing, part_enum, quality_rules, secret_scan, substring_dedup, toxicity, warc
+from vaneworks.llm import (
+    chat_format, decontaminate, itq, line_dedup, packing, part_enum, permuterm, quality_rules, resampling, secret_scan, substring_dedup, toxicity, warc,
+)
 from vaneworks.llm.common import table, whole
 
 #: The conversation added to the table, whose texts hold control strings.
@@ -81,6 +83,20 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return permuterm.variant_groups(permuterm.word_counts(docs, one_in=permuterm.DAMAGED_ONE_IN))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return resampling.resample(docs, table(spark, sf_dir, "benchmark").select("text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_toxicity": op2_toxicity,
@@ -92,4 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_embedding_near_dedup": op11_embedding_near_dedup,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_importance_resampling": op13_importance_resampling,
 }
