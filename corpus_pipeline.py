@@ -23,33 +23,22 @@ def _as_documents(docs: DataFrame, df: DataFrame, text: str = "text"):
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; the others lose the lines above the limits of their host."""
+    """Rejected documents go, null, empty and short ones among them; the others lose the lines above the limits of their host.
+
+    A null source is a host of its own; equal rows are judged alike and all stay.
+    """
     judged = quality_rules.quality(docs, keep_text=True).where("kept")
     return _as_documents(docs, judged, "clean_text")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later occurrences of three-line windows go, and so does a document without a word left.
+    """Later occurrences of three-line windows go, and so does a document without a word left of what it had.
 
-    One of which less than half is left goes only as a near copy: when links on the stage's input lead from it to an
-    earlier document among those like it and the documents that its windows stood in first.
+    What is left of a document stays, however little; whether that is a near copy is the next stage's question. A document
+    that lost nothing stays as it is, a null or empty one too; equal rows are one document and lose the same.
     """
-    before = docs.withColumn("_before", F.length("text")).withColumn("_was", text_key(F.col("text")))
-    repeated = stored(line_dedup.repeated_windows(line_dedup.line_windows(docs)), "repeated")
-    left = stored(line_dedup.line_dedup(before, repeated=repeated).where((F.col("n_removed") == 0) | has_word(F.col("text"))), "lines")
-    short = (F.col("n_removed") > 0) & (2 * F.length("text") < F.col("_before"))
-
-    doubtful = stored(left.where(short).select(F.col("doc_id").alias("_i"), F.col("_was").alias("_k")).distinct(), "doubtful")
-    own = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_k"))
-    sources = repeated.join(doubtful, own, "left_semi").select(F.col("_first.i").alias("_i"), F.col("_first.k").alias("_k"))
-    members = doubtful.union(sources).distinct()
-    texts = docs.select("doc_id", "text", text_key(F.col("text")).alias("_key"))
-    texts = texts.join(members, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_k")), "left_semi")
-    texts = stored(texts.select(F.struct("doc_id", F.col("_key").alias("key")).alias("id"), "text"), "sources")
-    linked = part_enum.similarity_components(texts, "id", shingle=SHINGLE, threshold=THRESHOLD).where("id != component_id")
-    copies = linked.select(F.col("id.doc_id").alias("_i"), F.col("id.key").alias("_k")).distinct()
-    copy = F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_was") == F.col("_k")) & short
-    return _as_documents(docs, left.join(copies, copy, "left_anti"))
+    left = line_dedup.line_dedup(docs).where((F.col("n_removed") == 0) | has_word(F.col("text")))
+    return _as_documents(docs, left)
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,13 +55,13 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of the benchmark go."""
+    """Documents that hold a passage of the benchmark go; null and empty texts hold none. Rows with equal doc_id and text go together."""
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).select("_id", "_key").distinct()
     return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key(F.col("text")) == F.col("_key")), "left_anti")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left as pieces of token sequences: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """What is left as pieces of token sequences: doc_id, piece, start, length, ids_crc32, sequence_id, offset. An empty text is one piece, its end mark."""
     return packing.best_two_fit(packing.token_pieces(docs, tokenizer_path()))
 
 
