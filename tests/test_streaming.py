@@ -66,10 +66,82 @@ def test_idle_series_are_forgotten(spark, folders):
     online = WindowStream(out, OBSERVATION_SCHEMA, 3, FEATURE, idle_seconds=3600 * 5)
     rows = observation_rows({1: 4, 2: 30})
     online.process(observations(spark, rows), 0)
-    held = {r["series_id"]: r["count"] for r in online._state(spark, 0).groupBy("series_id").count().collect()}
+    held = {r["series_id"]: r["count"] for r in online.held_rows(spark, 0).groupBy("series_id").count().collect()}
     assert held == {2: 2}
 
 
+def test_idle_series_start_again(spark, folders):
+    _, out = folders
+    online = WindowStream(out, OBSERVATION_SCHEMA, 3, FEATURE, idle_seconds=3600 * 5, max_versions=1)
+    rows = observation_rows({1: 40, 2: 30})
+    first = [r for r in rows if r[0] == 1][:4]
+    back = [r for r in rows if r[0] == 1][20:24]
+    online.process(observations(spark, first + [r for r in rows if r[0] == 2]), 0)
+    online.process(observations(spark, back), 1)
+    got = [r["event_id"] for r in online.windows(spark).where("series_id = 1").collect()]
+    assert sorted(got) == [2, 3, 22, 23]
+
+
+def _stored(folder):
+    """(files, rows) under a folder of the state."""
+    import pyarrow.parquet as pq
+    from pathlib import Path
+
+    files = list(Path(folder).rglob("*.parquet"))
+    return len(files), sum(pq.read_metadata(f).num_rows for f in files)
+
+
+def test_a_batch_writes_only_the_series_it_brings(spark, folders):
+    _, out = folders
+    rows = spark.range(10_000 * 6).selectExpr("id % 10000 as series_id", "timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, cast(id div 10000 as int)) as timestamp", "id as event_id", "cast(id as double) as temperature")
+    online = WindowStream(out, rows.schema, 5, FEATURE, buckets=16, max_versions=3)
+    online.process(rows.where("event_id < 40000"), 0)
+    assert _stored(f"{out}/state/rows/batch_id=0") == (16, 40_000)
+    one = rows.where("series_id = 77")
+    for batch_id, at in ((1, 40_077), (2, 50_077)):
+        online.process(one.where(f"event_id = {at}"), batch_id)
+        assert _stored(f"{out}/state/rows/batch_id={batch_id}") == (1, 4)
+    assert online.held_rows(spark, 2).count() == 40_000
+    held = online.held_rows(spark, 2).where("series_id = 77").select("event_id").collect()
+    assert sorted(r[0] for r in held) == [20_077, 30_077, 40_077, 50_077]
+    # the bucket has three versions now: the next batch rewrites it, and the one after deletes what it left out
+    late = one.where("event_id = 77")
+    online.process(late, 3)
+    files, kept = _stored(f"{out}/state/rows/batch_id=3")
+    assert files == 1 and 4 < kept < 4 * 10_000
+    assert online.held_rows(spark, 3).count() == 40_000 and _stored(f"{out}/state/rows/batch_id=1") == (1, 4)
+    online.process(late, 4)
+    assert _stored(f"{out}/state/rows/batch_id=1") == (0, 0) and online.held_rows(spark, 4).count() == 40_000
+    online.process(late, 4)
+    assert online.held_rows(spark, 4).count() == 40_000 and online.late_rows(spark).count() == 2
+
+
+@pytest.mark.parametrize("options", [{"buckets": 1, "max_versions": 1}, {"buckets": 3, "max_versions": 2}])
+def test_any_bucketing_gives_the_batch_windows(spark, folders, options):
+    rows = observation_rows({1: 40, 2: 17, 3: 9, 4: 30})
+    _, out = folders
+    online = WindowStream(out, OBSERVATION_SCHEMA, 6, FEATURE, pool=("mean", "min", "max", "last"), **options)
+    for i, low in enumerate(range(0, 40, 7)):
+        online.process(observations(spark, [r for r in rows if low <= (r[1] - START) / dt.timedelta(hours=1) < low + 7]), i)
+        if i % 2:  # a batch that runs again
+            online.process(observations(spark, [r for r in rows if low <= (r[1] - START) / dt.timedelta(hours=1) < low + 7]), i)
+    same_rows(online.windows(spark).drop("batch_id"), trailing_windows(observations(spark, rows), 6, FEATURE, pool=("mean", "min", "max", "last")))
+
+
+def test_labelled_trailing_windows_are_the_labelled_windows(spark):
+    from conftest import images_for
+    from vaneworks.operators.windows import labelled_windows, mark_images
+
+    rows = observation_rows({1: 40, 2: 17, 3: 5})
+    obs = observations(spark, rows)
+    pics = images_for(spark, rows, lambda i: i % 13 == 0).selectExpr("series_id", "timestamp", "pixels as cells")
+    want = labelled_windows(obs, pics, 5, FEATURE, pool=("mean", "last"), cells=4)
+    flagged = mark_images(obs, pics).join(pics, ["series_id", "timestamp"], "left")
+    got = trailing_windows(flagged, 5, FEATURE, pool=("mean", "last"), images="has_image", cells=4, label="storm_event")
+    same_rows(got, want)
+    assert want.count() > 5
+
+
 def test_held_rows_are_limited_before_the_shuffle(spark):
     kept = last_rows(observations(spark, observation_rows({1: 50, 2: 3})), 4)
     assert sorted(r["event_id"] for r in kept.collect()) == [46, 47, 48, 49, 50, 51, 52]
