@@ -245,3 +245,101 @@ def test_untouched_series_pass_through_and_null_series_counts(spark, tmp_path):
     got = spark.read.parquet(f"{tmp_path}/s/windows").groupBy("series_id").count().collect()
     assert {r.series_id: r["count"] for r in got} == {1: 7, None: 7}
     assert spark.read.parquet(f"{tmp_path}/s/late").count() == 0
+
+
+@pytest.mark.parametrize("family", ["logistic", "trees"])
+def test_a_compiled_model_scores_like_the_model(spark, family):
+    import random
+
+    rng = random.Random(4)
+    rows = [(i, *[round(rng.random(), 1) for _ in range(3)], i % 3 == 0) for i in range(400)]
+    rows += [(900, None, 0.1, 0.2, True), (901, float("nan"), 0.1, 0.2, True), (902, float("inf"), -1.0, 0.0, False)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, c double, y boolean").withColumn("label", ((F.col("a") + F.col("b") > 1.0) != F.col("y")).cast("int"))
+    train = df.where("id < 900")
+    fit = models.fit_logistic if family == "logistic" else models.fit_boosted_trees
+    fitted = fit(train, ["a", "b", "c"], max_iter=12)
+    got = {r.id: (r.p, r.decision) for r in models.score_compiled(df, fitted, 0.5).collect()}
+    for r in models.score(df, fitted, 0.5).collect():
+        p, decision = got[r.id]
+        assert decision == r.decision and (p == r.p or abs(p - r.p) < 1e-12), r
+    assert got[900][0] is None and got[901][0] is None and got[902][0] is not None
+
+
+def test_sequence_requests_with_images_and_a_model(spark):
+    import json
+    import random
+
+    from vaneworks.functions.pixels import cell_means, standardise_image
+    from vaneworks.schema import FEATURES
+
+    rng = random.Random(6)
+    image = lambda: [[[round(rng.random(), 3) for _ in range(4)] for _ in range(4)]]
+    step = lambda: [round(rng.random(), 3) for _ in FEATURES]
+    rows = [(i, [image(), image()], [[step(), step()], [step(), step()]]) for i in range(40)]
+    names = ["mean_humidity", "min_pressure", "max_visibility", "last_temperature", "mean_cell_0", "mean_cell_3"]
+    scaler = spark.createDataFrame([(f, 0.5, 2.0, 1) for f in FEATURES], "feature string, mean double, scale double, n long")
+    flat = [(i, k, [x for c in im[k] for r in c for x in r], *[(v - 0.5) / 2 for v in (sum(s[1] for s in q[k]) / 2, min(s[2] for s in q[k]), max(s[7] for s in q[k]), q[k][-1][0])]) for i, im, q in rows for k in (0, 1)]
+    train = spark.createDataFrame(flat, "id int, k int, pixels array<float>, " + ", ".join(f"{n} double" for n in names[:4]))
+    train = train.withColumn("_c", cell_means(1, 4, 4, 2)(standardise_image("pixels")))
+    train = train.withColumns({"mean_cell_0": F.get("_c", F.lit(0)), "mean_cell_3": F.get("_c", F.lit(3)), "label": F.col("id") % 2}).cache()
+    for fitted in (models.fit_logistic(train, names), models.fit_boosted_trees(train, names, max_iter=4)):
+        want = {(r.id, r.k): r.p for r in models.score(train, fitted).collect()}
+        bodies = [(i, "application/json", json.dumps({"image": im, "sequence": q})) for i, im, q in rows]
+        good = rows[0]
+        bodies += [
+            (100, "application/json", json.dumps({"image": good[1][:1], "sequence": good[2]})),
+            (101, "application/json", json.dumps({"image": [good[1][0], [[[1.0]]]], "sequence": good[2]})),
+            (102, "application/json", json.dumps({"image": [good[1][0], [[[1.0] * 4] * 4]], "sequence": good[2]})),
+            (103, "text/csv", json.dumps({"image": good[1], "sequence": good[2]})),
+            (104, "application/json", json.dumps({"image": good[1], "sequence": [[[1.0]], [[1.0]]]})),
+        ]
+        requests = spark.createDataFrame(bodies, scoring.REQUEST_SCHEMA)
+        got = {r.request_id: r for r in scoring.score_sequences_with_model(requests, scaler, fitted, 2, image_shape=(1, 4, 4), grid=2).collect()}
+        for i in range(40):
+            answer = json.loads(got[i].response)["prediction"]
+            assert [x[0] for x in answer] == pytest.approx([want[i, 0], want[i, 1]], abs=1e-9) and got[i].p == pytest.approx(want[i, 0], abs=1e-9)
+        assert [got[i].reject_reason for i in range(100, 105)] == ["wrong_image_count", "wrong_image_size", "wrong_image_size", "unsupported_content_type", "wrong_width"]
+        assert all(got[i].response is None and got[i].p is None for i in range(100, 105))
+        with pytest.raises(ValueError, match="image_shape"):
+            scoring.score_sequences_with_model(requests, scaler, fitted)
+    with pytest.raises(ValueError, match="mean_cell_0"):
+        scoring.sequence_scores(F.col("x"), {"mean_cell_0": 1.0})
+
+
+def test_images_settle_before_with_and_after_their_rows(spark, tmp_path):
+    from conftest import images_for
+    from pyspark.sql import types as T
+    from vaneworks.operators.windows import labelled_windows
+    from vaneworks.streaming.images import settle_images
+
+    rows = observation_rows({1: 40, 2: 17, 3: 30})
+    rows.append((*rows[5][:2], 500, *rows[5][3:]))  # two rows of one series and time
+    obs = observations(spark, rows)
+    pics = images_for(spark, rows, lambda i: i % 13 == 0).withColumnRenamed("pixels", "cells").dropDuplicates(["series_id", "timestamp"])
+    twice = pics.where("path = 'a/9'").selectExpr("series_id", "timestamp", "'A/lower' as path", "array(9f, 9f, 9f, 9f) as cells")
+    want = labelled_windows(obs, pics, 5, FEATURE, pool=("mean", "last"), cells=4)
+    pics = pics.unionByName(twice)
+    schema = T.StructType([*obs.schema.fields, T.StructField("has_image", T.BooleanType()), T.StructField("cells", T.ArrayType(T.FloatType()))])
+    online = WindowStream(str(tmp_path / "o"), schema, 5, FEATURE, pool=("mean", "last"), images="has_image", cells=4, label="storm_event")
+    slot = F.floor((F.unix_seconds(F.col("timestamp").cast("timestamp")) - F.unix_seconds(F.lit(START).cast("timestamp"))) / 36_000).cast("int")
+    shift = F.pmod(F.xxhash64("path"), F.lit(3)).cast("int") - 1
+    pics = pics.withColumn("_slot", F.greatest(F.lit(0), slot + shift))
+    sources = str(tmp_path / "rows"), str(tmp_path / "images")
+    stale = spark.createDataFrame([(1, START, "zz", [0.0] * 4)], "series_id bigint, timestamp timestamp_ntz, path string, cells array<float>")
+    far = START + dt.timedelta(days=400)
+    dropped = 0
+    for i in range(6):
+        o, p = obs.where(slot == i), pics.where(F.col("_slot") == i).drop("_slot")
+        if i == 5:  # an image of a settled time, and a row and an image that settle the rest
+            o = o.unionByName(observations(spark, [(None, far, None, *[None] * 8, None)]))
+            p = p.unionByName(stale).unionByName(stale.withColumns({"series_id": F.lit(None).cast("bigint"), "timestamp": F.lit(far).cast("timestamp_ntz")}))
+        o.write.mode("append").parquet(sources[0])
+        p.write.mode("append").parquet(sources[1])
+        streams = [spark.readStream.schema(x.schema).parquet(y) for x, y in zip((o, p), sources)]
+        run = online.start(settle_images(*streams, "11 hours", ("cells",)))
+        run.awaitTermination()
+        dropped += sum(s["numRowsDroppedByWatermark"] for x in run.recentProgress for s in x["stateOperators"])
+    same_rows(online.windows(spark).drop("batch_id"), want)
+    assert want.count() > 20 and dropped == 1 and online.late_rows(spark).count() == 0
+    with pytest.raises(ValueError, match="has_image"):
+        settle_images(obs.withColumn("has_image", F.lit(True)), pics, "1 hour")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,23 @@ def _values(lists: pa.Array) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
 
 
+def _standardised(pixels: pa.Array) -> pa.Array:
+    sizes = pc.fill_null(pc.list_value_length(pixels), 0).to_numpy(zero_copy_only=False)
+    full = sizes > 0
+    lengths = sizes[full]
+    values = _values(pixels)
+    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
+    means = np.add.reduceat(values, starts) / lengths if len(lengths) else lengths
+    centred = values - np.repeat(means, lengths)
+    squares = np.add.reduceat(centred * centred, starts) if len(lengths) else lengths.astype(np.float64)
+    usable = (lengths > 1) & (squares > 0)
+    deviation = np.sqrt(squares[usable] / (lengths[usable] - 1))
+    kept = centred[np.repeat(usable, lengths)] / np.repeat(deviation, lengths[usable])
+    known = np.zeros(len(sizes), dtype=bool)
+    known[full] = usable
+    return lists(kept, known, sizes)
+
+
 @F.arrow_udf(_DOUBLES)
 def standardise_image(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """``(x - mean) / deviation`` over all pixels of an image, with the sample deviation; NULL for a constant image.
@@ -30,20 +47,7 @@ def standardise_image(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     Images of a batch may differ in size: each is a segment of the batch's values.
     """
     for pixels in batches:
-        sizes = pc.fill_null(pc.list_value_length(pixels), 0).to_numpy(zero_copy_only=False)
-        full = sizes > 0
-        lengths = sizes[full]
-        values = _values(pixels)
-        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
-        means = np.add.reduceat(values, starts) / lengths if len(lengths) else lengths
-        centred = values - np.repeat(means, lengths)
-        squares = np.add.reduceat(centred * centred, starts) if len(lengths) else lengths.astype(np.float64)
-        usable = (lengths > 1) & (squares > 0)
-        deviation = np.sqrt(squares[usable] / (lengths[usable] - 1))
-        kept = centred[np.repeat(usable, lengths)] / np.repeat(deviation, lengths[usable])
-        known = np.zeros(len(sizes), dtype=bool)
-        known[full] = usable
-        yield lists(kept, known, sizes)
+        yield _standardised(pixels)
 
 
 def _cell_matrix(size: int, grid: int) -> np.ndarray:
@@ -53,24 +57,47 @@ def _cell_matrix(size: int, grid: int) -> np.ndarray:
     return member / member.sum(axis=0)
 
 
-def cell_means(channels: int, height: int, width: int, grid: int):
-    """Arrow UDF: mean of every cell of a ``grid`` x ``grid`` raster per channel, in (channel, row, column) order.
-
-    A batch of images is one block of memory, averaged with two small matrix products. An image of another size
-    gives NULL.
-    """
+def _pooling(channels: int, height: int, width: int, grid: int) -> Callable[[pa.Array], pa.Array]:
+    """Cell means of a batch of images: one block of memory, averaged with two small matrix products."""
     if grid < 1 or grid > min(height, width):
         raise ValueError("grid must be between 1 and the image size")
     size, cells = channels * height * width, channels * grid * grid
     rows, cols = _cell_matrix(height, grid), _cell_matrix(width, grid)
 
+    def pooled(pixels: pa.Array) -> pa.Array:
+        fits = pc.fill_null(pc.equal(pc.list_value_length(pixels), size), False)
+        block = _values(pixels.filter(fits)).reshape(-1, channels, height, width)
+        values = np.matmul(np.matmul(block, cols).swapaxes(2, 3), rows).swapaxes(2, 3)
+        known = fits.to_numpy(zero_copy_only=False)
+        return lists(values.ravel(), known, np.full(len(known), cells))
+
+    return pooled
+
+
+def cell_means(channels: int, height: int, width: int, grid: int):
+    """Arrow UDF: mean of every cell of a ``grid`` x ``grid`` raster per channel, in (channel, row, column) order.
+
+    An image of another size gives NULL.
+    """
+    pooled = _pooling(channels, height, width, grid)
+
     @F.arrow_udf(_DOUBLES)
     def means(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for pixels in batches:
-            fits = pc.fill_null(pc.equal(pc.list_value_length(pixels), size), False)
-            block = _values(pixels.filter(fits)).reshape(-1, channels, height, width)
-            values = np.matmul(np.matmul(block, cols).swapaxes(2, 3), rows).swapaxes(2, 3)
-            known = fits.to_numpy(zero_copy_only=False)
-            yield lists(values.ravel(), known, np.full(len(known), cells))
+            yield pooled(pixels)
 
     return means
+
+
+def stacked_cells(channels: int, height: int, width: int, grid: int):
+    """Arrow UDF over arrays of images: each image standardised, then its cell means; NULL in place of one of another size or a constant one."""
+    pooled = _pooling(channels, height, width, grid)
+
+    @F.arrow_udf(T.ArrayType(_DOUBLES))
+    def stacked(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for stacks in batches:
+            sizes = pc.fill_null(pc.list_value_length(stacks), 0).to_numpy(zero_copy_only=False)
+            ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            yield pa.ListArray.from_arrays(ends, pooled(_standardised(stacks.flatten())), mask=pc.is_null(stacks))
+
+    return stacked

@@ -396,3 +396,11 @@ from win, cut group by 1""",
     + """, s as (select *, 1e0 / (1e0 + exp(-(-1e0 + 0.0625e0 * mt - 0.03125e0 * mh))) as p from ending where n = 24)
 select series_id, event_id, round(p, 6) as p, cast(p >= 0.5 as int) as decision from s""",
 }
+ORACLES["h3_stream_image_windows"] = ORACLES["e3_complete_windows"]
+ORACLES["h3_stream_model_scores"] = (
+    _with(OBS, _TRAILING) + "select series_id, event_id, round(mt, 6) as mean_temperature, 1 as same, 1 as decided from ending where n = 24"
+)
+ORACLES["h1_model_sequences"] = (
+    ORACLES["e3_complete_windows"].split("select series_id, event_id, round(m, 6)")[0].replace(", 24)", ", 6)").replace("23 following", "5 following")
+    + "select series_id, event_id, family, 1 as same, 1 as decided from w, (values ('logistic'), ('trees')) as f(family) where n = 6 and y is not null"
+)

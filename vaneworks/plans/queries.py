@@ -20,7 +20,8 @@ from vaneworks.sources import observations as observation_files
 from vaneworks.sources import requests as request_json
 from vaneworks.sources import state
 from vaneworks.streaming import scoring
-from vaneworks.streaming.windows import WindowStream
+from vaneworks.streaming.images import settle_images
+from vaneworks.streaming.windows import WindowStream, trailing_windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -644,6 +645,47 @@ def _(spark, sf):
     )
 
 
+def _planted(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("label", (F.col("mean_temperature") > PLANTED_ABOVE).cast("int"))
+
+
+@query("h1_model_sequences")
+def _(spark, sf):
+    """Requests of one sequence and one image each, scored in their row by stored models of both families."""
+    steps, shape = 6, fixtures.IMAGE_SHAPE
+    obs = fixtures.observations(spark, sf)
+    best = windows.latest_images(fixtures.imagery(spark, sf))
+    found = windows.labelled_windows(obs, best, steps, pool=POOL, sequence=True)
+    scaler = materialise(scaling.fit_scaler(obs), "scaler")
+    first = best.select("series_id", F.col("timestamp").alias("window_start"), "pixels")
+    rows = _planted(found.join(first, ["series_id", "window_start"]))
+    cells = pixels.cell_means(*shape, grid=2)(pixels.standardise_image("pixels"))
+    rows = rows.withColumn("_cells", cells).withColumns({f"mean_cell_{i}": F.get("_cells", F.lit(i)) for i in range(4)}).drop("_cells")
+    rows = materialise(rows, "sequence-windows")
+    names = windows.window_feature_columns(rows)
+    scaled = scaling.apply_scaler(rows, training_job.pooled_parameters(scaler), [n for n in names if "cell" not in n])
+    scaled = materialise(scaled, "scaled-windows")
+
+    image = F.transform(F.sequence(F.lit(0), F.lit(shape[1] - 1)), lambda r: F.slice("pixels", r * shape[2] + 1, shape[2]))
+    body = F.to_json(F.struct(F.array(F.array(image)).alias("image"), F.array("seq").alias("sequence")))
+    key = F.concat_ws(":", "series_id", "event_id")
+    requests = rows.select(key.alias("request_id"), F.lit("application/json").alias("content_type"), body.alias("body"))
+    source = scratch_path(spark, "sequence-requests")
+    requests.repartition(4, "request_id").write.parquet(source)
+    out = []
+    for family, fit in (("logistic", models.fit_logistic), ("trees", models.fit_boosted_trees)):
+        state.save_model(fit(scaled, names, max_iter=10), PipelineConfig(), path := scratch_path(spark, "sequence-model"))
+        model, config = state.load_model(spark, path)
+        answers, checkpoint = (scratch_path(spark, n) for n in ("sequence-answers", "sequence-checkpoint"))
+        stream = scoring.read_requests(spark, "parquet", source, requests.schema, maxFilesPerTrigger="2")
+        scoring.run_scoring(stream, answers, checkpoint, scaler, model, sequences=True, length=steps, image_shape=shape, grid=2).awaitTermination()
+        direct = models.score(scaled, model, config.threshold).select(key.alias("request_id"), "series_id", "event_id", F.col("p").alias("_p"), F.col("decision").alias("_d"))
+        both = spark.read.parquet(answers).join(direct, "request_id")
+        same = F.coalesce(F.abs(F.col("p") - F.col("_p")) < 1e-9, F.lit(False))
+        out.append(both.select("series_id", "event_id", F.lit(family).alias("family"), same.cast("int").alias("same"), (F.col("decision") == F.col("_d")).cast("int").alias("decided")))
+    return out[0].unionByName(out[1])
+
+
 def _times(factor: int):
     return lambda x: x * factor
 
@@ -673,3 +715,57 @@ def _(spark, sf):
     return online.windows(spark).select(
         "series_id", "event_id", _r("p"), F.col("decision").cast("int").alias("decision")
     )
+
+
+@query("h3_stream_model_scores")
+def _(spark, sf):
+    """Online windows scored by a stored tree ensemble, loaded by its path, against the batch scorer."""
+    obs = fixtures.observations(spark, sf)
+    features = ("temperature", "humidity")
+    batch = materialise(_planted(trailing_windows(obs, LENGTH, features, pool=POOL)), "trailing-windows")
+    names = windows.window_feature_columns(batch)
+    fitted = models.fit_boosted_trees(batch, names, max_iter=5)
+    state.save_model(fitted, PipelineConfig(), path := scratch_path(spark, "window-model"))
+    online = _stream_windows(spark, sf, "online-model-scores", pool=POOL, transform=scoring.stored_scorer(spark, path))
+    direct = models.score(batch, fitted, 0.5).select("series_id", "event_id", F.col("p").alias("_p"), F.col("decision").alias("_d"))
+    both = online.windows(spark).join(direct, ["series_id", "event_id"])
+    same = F.coalesce(F.abs(F.col("p") - F.col("_p")) < 1e-9, F.lit(False))
+    return both.select("series_id", "event_id", _r("mean_temperature"), same.cast("int").alias("same"), (F.col("decision") == F.col("_d")).cast("int").alias("decided"))
+
+
+@query("h3_stream_image_windows")
+def _(spark, sf):
+    """Complete labelled windows online: of the images a third arrive one delivery before their rows, a third with them, a third one after."""
+    parts = 4
+    obs = fixtures.observations(spark, sf)
+    pics = fixtures.imagery(spark, sf).select("series_id", "timestamp", "path")
+    rows = fixtures.time_slices(obs, "timestamp", parts, "settled-rows")
+    upto = [part.agg(F.max("timestamp").alias("t")).first()["t"] for part in rows]
+    slot = F.lit(0)
+    for end in upto[:-1]:
+        slot = slot + (F.col("timestamp") > F.lit(end)).cast("int")
+    shift = F.pmod(F.xxhash64("path"), F.lit(3)).cast("int") - 1
+    pics = materialise(pics.withColumn("_slot", F.greatest(F.lit(0), slot + shift)), "settled-images")
+    span = max(b - a for a, b in zip([obs.agg(F.min("timestamp").alias("t")).first()["t"], *upto], upto))
+    delay = f"{int(span.total_seconds()) * 2 + 60} seconds"
+
+    sources = [scratch_path(spark, n) for n in ("settled-rows-source", "settled-images-source")]
+    schema = obs.withColumn("has_image", F.lit(True)).schema
+    online = WindowStream(
+        scratch_path(spark, "online-image-windows"), schema, LENGTH, ("temperature",), images="has_image", label="storm_event"
+    )
+    # a last delivery of one row and one image of no series, late enough to settle all times before it
+    end = F.lit(max(upto)).cast("timestamp_ntz") + F.expr(f"interval {delay}") * 3
+    closing = spark.range(1).select(end.alias("timestamp"))
+    for i in range(parts + 1):
+        if i < parts:
+            rows[i].write.mode("append").parquet(sources[0])
+        else:
+            closing.select(*[("timestamp" if f.name == "timestamp" else F.lit(None).cast(f.dataType).alias(f.name)) for f in obs.schema]).write.mode("append").parquet(sources[0])
+        brought = pics.where(F.col("_slot") == i).drop("_slot")
+        if i == parts:
+            brought = brought.unionByName(closing.withColumns({"series_id": F.lit(None).cast("bigint"), "path": F.lit("-")}))
+        brought.write.mode("append").parquet(sources[1])
+        streams = [spark.readStream.schema(df.schema).parquet(path) for df, path in zip((obs, brought), sources)]
+        online.start(settle_images(*streams, delay)).awaitTermination()
+    return online.windows(spark).select("series_id", "event_id", _r("mean_temperature"), "label")

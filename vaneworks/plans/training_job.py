@@ -23,7 +23,7 @@ from vaneworks.sources import state
 POOL = ("mean", "min", "max", "last")
 
 
-def _pooled_parameters(params: DataFrame) -> DataFrame:
+def pooled_parameters(params: DataFrame) -> DataFrame:
     """Scaler parameters for the pooled columns: scaling is affine, so it may follow the pooling."""
     kinds = F.explode(F.array(*[F.lit(k) for k in POOL]))
     return params.withColumn("_kind", kinds).select(
@@ -98,7 +98,7 @@ def run(
     state.save_table(fit_window_scaler(obs, parted, config), f"{out}/scaler")
     params = state.load_table(spark, f"{out}/scaler")
     names = windows.window_feature_columns(parted)
-    scaled = scaling.apply_scaler(parted, _pooled_parameters(params), names)
+    scaled = scaling.apply_scaler(parted, pooled_parameters(params), names)
 
     penalty = config.weight_decay
     if trials:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from vaneworks.functions.pixels import cell_means, standardise_image
-from vaneworks.operators.models import score, score_linear
+from vaneworks.functions.pixels import cell_means, stacked_cells, standardise_image
+from vaneworks.operators.models import compiled_score, score, score_linear
 from vaneworks.operators.scaling import apply_scaler
 from vaneworks.schema import FEATURES
 from vaneworks.sources.requests import decode_sequences, decode_snapshots, encode_responses
+from vaneworks.sources.state import load_model
 
 _KINDS = ("mean", "min", "max", "last")
 
@@ -72,6 +73,9 @@ def raw_weights(coefficients: dict[str, float], scaler: DataFrame) -> dict[str,
 def sequence_scores(sequences: Column, weights: dict[str, float], features: Sequence[str] = FEATURES) -> Column:
     """Probability of each sequence in an array of sequences, without leaving the row."""
     places = {name: i for i, name in enumerate(features)}
+    unknown = sorted(n for n in weights if n != "intercept" and n.split("_", 1)[-1] not in places)
+    if unknown:
+        raise ValueError(f"no feature of a sequence for {unknown}; see score_sequences_with_model for images")
 
     def one(sequence: Column) -> Column:
         margin = F.lit(float(weights.get("intercept", 0.0)))
@@ -94,6 +98,60 @@ def score_sequences(
     decoded = decode_sequences(requests, length=length)
     accepted = F.col("reject_reason").isNull()
     scored = decoded.withColumn("predictions", sequence_scores(F.when(accepted, F.col("sequence")), weights))
+    return _answer_sequences(scored, threshold)
+
+
+def score_sequences_with_model(
+    requests: DataFrame,
+    scaler: DataFrame,
+    model: PipelineModel,
+    length: int | None = None,
+    threshold: float = 0.5,
+    image_shape: tuple[int, int, int] | None = None,
+    grid: int = 1,
+    features: Sequence[str] = FEATURES,
+) -> DataFrame:
+    """As ``score_sequences`` with a fitted model of any family, with or without image cells.
+
+    The model is written out as an expression over each sequence's pooled and scaled features and the cells of the image
+    that comes with it, so a request is scored in its row. With a model that looks at images a request needs one image per
+    sequence (``wrong_image_count``), each of ``image_shape`` and not constant (``wrong_image_size``).
+    """
+    decoded = decode_sequences(requests, length=length)
+    names = model.stages[0].getInputCols()
+    # one row per feature
+    fitted = {r["feature"]: (float(r["mean"]), float(r["scale"])) for r in scaler.select("feature", "mean", "scale").collect()}
+    places = {name: i for i, name in enumerate(features)}
+    reason, cells = F.col("reject_reason"), F.lit(None)
+    if any(name.startswith("mean_cell_") for name in names):
+        if image_shape is None:
+            raise ValueError("the model looks at images: give image_shape")
+        counted = F.coalesce(reason, F.when(F.size("image") != F.size("sequence"), "wrong_image_count"))
+        stacks = F.transform("image", lambda image: F.transform(F.flatten(F.flatten(image)), lambda x: x.cast("float")))
+        decoded = decoded.withColumn("reject_reason", counted)
+        decoded = decoded.withColumn("_cells", stacked_cells(*image_shape, grid)(F.when(reason.isNull(), stacks)))
+        cells = F.col("_cells")
+        unfit = F.exists(cells, lambda c: c.isNull())
+        decoded = decoded.withColumn("reject_reason", F.coalesce(reason, F.when(unfit, "wrong_image_size")))
+
+    def value(name: str, sequence: Column, i: Column) -> Column:
+        if name.startswith("mean_cell_"):
+            return F.get(F.get(cells, i), F.lit(int(name.removeprefix("mean_cell_"))))
+        kind, feature = name.split("_", 1)
+        mean, scale = fitted[feature]
+        return (_pooled(sequence, kind, places[feature]) - F.lit(mean)) / F.lit(scale)
+
+    accepted = reason.isNull()
+    # the inputs of the model first, once per sequence: its expression reads them many times
+    inputs = F.transform(F.when(accepted, F.col("sequence")), lambda s, i: F.array(*[value(name, s, i) for name in names]))
+    numbers = {name: k for k, name in enumerate(names)}
+    predictions = F.transform("_inputs", lambda v: compiled_score(model, lambda name: F.get(v, F.lit(numbers[name]))))
+    scored = decoded.withColumn("_inputs", inputs).withColumn("predictions", predictions)
+    return _answer_sequences(scored, threshold)
+
+
+def _answer_sequences(scored: DataFrame, threshold: float) -> DataFrame:
+    accepted = F.col("reject_reason").isNull()
     p = F.when(accepted, F.get("predictions", F.lit(0)))
     answer = F.struct(
         F.transform("predictions", lambda x: F.array(x)).alias("prediction"),
@@ -167,19 +225,48 @@ def score_with_model(
     )
 
 
+def stored_scorer(
+    spark: SparkSession, path: str, scaler: DataFrame | None = None, threshold: float | None = None
+) -> Callable[[DataFrame], DataFrame]:
+    """A function that scores windows with the model stored at ``path`` (see ``state``), written out once; for ``WindowStream``.
+
+    ``scaler`` holds the parameters of the features that the model was fitted on scaled; the windows' pooled columns are
+    raw. The threshold is that of the stored settings unless given.
+    """
+    model, config = load_model(spark, path)
+    fitted = {}
+    if scaler is not None:
+        fitted = {r["feature"]: (float(r["mean"]), float(r["scale"])) for r in scaler.select("feature", "mean", "scale").collect()}
+
+    def value(name: str) -> Column:
+        mean, scale = fitted.get(name.split("_", 1)[1], (0.0, 1.0))
+        return (F.col(name) - F.lit(mean)) / F.lit(scale)
+
+    p = compiled_score(model, value)
+    limit = config.threshold if threshold is None else threshold
+    return lambda windows: windows.withColumn("p", p).withColumn("decision", F.col("p") >= limit)
+
+
 def run_scoring(
     requests: DataFrame,
     out: str,
     checkpoint: str,
     scaler: DataFrame,
     model: PipelineModel | dict[str, float],
+    sequences: bool = False,
     **options,
 ) -> StreamingQuery:
     """Score everything available now and append the answers to parquet; rerunning continues after the last batch.
 
-    ``model`` is a stored model or the exported weights of one.
+    ``model`` is a stored model or the exported weights of one. With ``sequences`` the requests bring whole sequences, which
+    a model scores.
     """
-    score_rows = score_snapshots if isinstance(model, dict) else score_with_model
+    if sequences:
+        if isinstance(model, dict):
+            raise ValueError("requests with sequences are streamed through a model; see score_sequences for weights")
+        score_rows = score_sequences_with_model
+    else:
+        score_rows = score_snapshots if isinstance(model, dict) else score_with_model
     return (
         score_rows(requests, scaler, model, **options)
         .writeStream.format("parquet")
