@@ -78,7 +78,7 @@ def test_search_picks_the_lowest_loss(planted, family):
     assert len(rows) == 3 and sum(r["is_best"] for r in rows) == 1
     assert min(rows, key=lambda r: r["val_loss"])["is_best"]
     assert models.score(df, best).where("p between 0 and 1").count() == df.count()
-    assert set(trials.columns) == {"trial", "family", "val_loss", "is_best"} | ({"weight_decay", "dropout"} if family == "logistic" else {"num_layers", "learning_rate"})
+    assert set(trials.columns) == {"trial", "family", "iterations", "val_loss", "is_best"} | ({"weight_decay", "dropout"} if family == "logistic" else {"num_layers", "learning_rate"})
     again = models.search(df.repartition(1), names, family=family, trials=3, max_iter=3)[1].collect()
     assert [r["val_loss"] for r in again] == pytest.approx([r["val_loss"] for r in rows], abs=1e-6)
     with pytest.raises(ValueError):
@@ -168,3 +168,50 @@ def test_epoch_report(spark, options):
 def test_objective_history_rows(spark, planted, fitted):
     rows = models.objective_history(fitted, "r1", planted[0]).collect()
     assert [r["epoch"] for r in rows] == list(range(len(rows))) and rows[-1]["value"] < rows[0]["value"]
+
+
+def test_a_long_falling_run_needs_no_array(spark):
+    n = 300_000
+    falling = spark.range(n).selectExpr("7 as run", "id as epoch", "1000000.0D - id as val_loss")
+    flat = spark.range(50).selectExpr("8 as run", "id as epoch", "if(id = 0, 5.0D, 4.9999D) as val_loss")
+    found = history.early_stopping(falling.unionByName(flat), patience=10, strategy="partition")
+    assert {r.run: (r.best_epoch, r.stop_epoch) for r in found.collect()} == {7: (n - 1, -1), 8: (0, 10)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "collect_set" not in plan
+
+
+def test_stopping_point_equals_the_loop():
+    rng = random.Random(2)
+    for _ in range(300):
+        losses = [round(rng.random(), 1) for _ in range(rng.randint(0, 12))]
+        patience, delta = rng.randint(1, 4), rng.choice([0.0, 0.05, 0.2])
+        assert history.stopping_point(losses, patience, delta) == stop_by_loop(list(enumerate(losses)), patience, delta)
+
+
+@pytest.mark.parametrize("family", ["logistic", "trees"])
+def test_halving_gives_survivors_the_loss_of_a_full_run(planted, family):
+    df, names = planted
+    halved = {r.trial: r for r in models.search(df, names, family=family, trials=5, max_iter=4, keep_one_in=2)[1].collect()}
+    alone = {r.trial: r for r in models.search(df, names, family=family, trials=5, max_iter=4, parallelism=1)[1].collect()}
+    assert sorted(r.iterations for r in halved.values()) == [1, 1, 2, 4, 4] and {r.iterations for r in alone.values()} == {4}
+    survivors = [t for t, r in halved.items() if r.iterations == 4]
+    assert all(halved[t].val_loss == pytest.approx(alone[t].val_loss, abs=1e-9) for t in survivors)
+    best = min(survivors, key=lambda t: (alone[t].val_loss, t))
+    assert [t for t, r in halved.items() if r.is_best] == [best]
+    assert models.rungs(20, 8, 2) == [1, 2, 4, 8] and models.rungs(1, 8, 2) == [8] == models.rungs(20, 8, 1)
+
+
+@pytest.mark.parametrize("family", ["logistic", "trees"])
+def test_the_kept_state_is_that_of_the_best_epoch(spark, planted, family):
+    df, names = planted
+    parted = df.withColumn("split", F.when(F.col("event_id") % 3 == 0, "val").otherwise("train")).cache()
+    model, table = models.fit_epochs(parted, names, family=family, max_iter=12, epoch_iterations=1, patience=2, min_delta=0.02)
+    rows = table.orderBy("epoch").collect()
+    best, stop = stop_by_loop([(r.epoch, r.val_loss) for r in rows], 2, 0.02)
+    assert rows[-1].epoch == stop or (stop == -1 and len(rows) == 12)
+    assert history.early_stopping(table, patience=2, min_delta=0.02).first()["best_epoch"] == best
+    for split, column in (("val", "val_loss"), ("train", "train_loss")):
+        scored = models.score(parted.where(F.col("split") == split), model)
+        assert scored.agg(metrics.log_loss("p", "label").alias("x")).first()["x"] == pytest.approx(rows[best - 1][column], abs=1e-6)
+    whole, table = models.fit_epochs(parted.where("split = 'train'"), names, family=family, max_iter=3, epoch_iterations=1, patience=1)
+    assert [r.val_loss for r in table.collect()] == [None] * 3 and models.score(df, whole).where("p is null").count() == 0

@@ -63,9 +63,30 @@ def test_job_from_the_command_line(files, tmp_path):
     assert "average_precision" in done.stdout and (tmp_path / "out" / "scores").exists()
 
 
-def test_job_searches_on_its_own_split(spark, files, tmp_path):
-    folder, df = files
+@pytest.mark.parametrize("family", ["logistic", "trees"])
+def test_job_stores_the_winner_at_its_best_epoch(spark, files, tmp_path, family):
+    from pyspark.sql import functions as F
+
+    from vaneworks.operators import metrics
+
+    _, df = files
     out = str(tmp_path / "out")
-    training_job.run(spark, df, None, out, PipelineConfig(sequence_length=6, max_iter=5), None, "time", trials=2)
+    config = PipelineConfig(sequence_length=6, max_iter=5, epoch_iterations=5, patience=9, min_delta=0.0)
+    training_job.run(spark, df, None, out, config, None, "time", trials=3, family=family)
     tried = spark.read.parquet(f"{out}/trials").collect()
-    assert len(tried) == 2 and sum(r["is_best"] for r in tried) == 1
+    assert len(tried) == 3 and sum(r["is_best"] for r in tried) == 1
+    winner = next(r for r in tried if r["is_best"])
+    history = spark.read.parquet(f"{out}/history").orderBy("epoch").collect()
+    assert history[-1].val_loss == pytest.approx(winner.val_loss, abs=1e-6)  # the last epoch is the trial
+    model, _ = state.load_model(spark, f"{out}/model")
+    stage = model.stages[-1]
+    if family == "logistic":
+        assert (stage.getRegParam(), stage.getElasticNetParam()) == (winner.weight_decay, winner.dropout)
+    else:
+        assert (stage.getMaxDepth(), stage.getStepSize()) == (int(winner.num_layers), min(1.0, 10 * winner.learning_rate))
+    best = spark.read.parquet(f"{out}/best_epoch").first()
+    scores = spark.read.parquet(f"{out}/scores").where("split = 'val'")
+    loss = scores.agg(metrics.log_loss("p", "label").alias("x")).first()["x"]
+    assert loss == pytest.approx(best.best_loss, abs=1e-6) and best.best_loss == min(r.val_loss for r in history)
+    if family == "trees":
+        assert stage.getNumTrees == best.best_epoch

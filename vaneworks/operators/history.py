@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 from dataclasses import replace
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vaneworks.operators.scale import join_small, lay_out, running, running_in
+from vaneworks.operators.scale import join_small, lay_out, running_in
 
 
 def _comparable(loss: str) -> Column:
@@ -31,8 +33,8 @@ def early_stopping(
     An epoch improves when its loss is below the best so far by more than ``min_delta``; ``patience`` epochs in a row
     without improvement stop the run. Whether an epoch improves depends on the improvements before it, so the rule
     needs a fold - but only over record losses: a loss that is not below every earlier one cannot improve. The
-    records are found with running minima, and only they (with their position) enter the fold of a run. A NULL or NaN
-    loss is no improvement.
+    records are found with running minima; they alone are sorted by run and folded as they stream by, so a run of any length
+    needs the memory of one record. A NULL or NaN loss is no improvement.
     """
     if min_delta < 0 or patience < 1:
         raise ValueError("min_delta must not be negative and patience must be at least 1")
@@ -46,40 +48,61 @@ def early_stopping(
     ranked = laid.own_rows(laid.df)
     # the running minimum of (loss, epoch) sits at the row itself exactly when its loss is a new record
     record = (F.col("_low._epoch") == F.col("_epoch")) & (F.col("_loss") < float("inf"))
-    per_run = ranked.groupBy(*run).agg(
-        F.collect_list(F.when(record, F.struct("_pos", "_epoch", "_loss", "_stop"))).alias("_records"),
-        F.min(F.when(F.col("_pos") == patience, F.col("_epoch"))).alias("_stop_without_best"),
-    )
-    start = F.struct(
-        F.lit(float("inf")).alias("best"),
-        F.lit(-1).cast("bigint").alias("best_epoch"),
-        F.lit(0).cast("bigint").alias("best_pos"),
-        F.col("_stop_without_best").alias("stop"),
-        F.lit(False).alias("stopped"),
-    )
-
-    def step(state, x):
-        improved = F.struct(
-            x["_loss"].alias("best"),
-            x["_epoch"].alias("best_epoch"),
-            x["_pos"].alias("best_pos"),
-            x["_stop"].alias("stop"),
-            F.lit(False).alias("stopped"),
-        )
-        over = state["stopped"] | (x["_pos"] - state["best_pos"] > patience)
-        return F.when(over, state.withField("stopped", F.lit(True))).when(
-            x["_loss"] < state["best"] - F.lit(float(min_delta)), improved
-        ).otherwise(state)
-
-    state = per_run.select(*run, F.aggregate(F.array_sort("_records"), start, step).alias("_s"))
-    return state.select(
+    per_run = ranked.groupBy(*run).agg(F.min(F.when(F.col("_pos") == patience, F.col("_epoch"))).alias("_stop_without_best"))
+    improved = _last_improvements(ranked.where(record), run, patience, float(min_delta))
+    met = join_small(per_run, improved, run, "left")
+    never = F.col("_best_epoch").isNull()
+    return met.select(
         *run,
-        F.col("_s.best_epoch").alias("best_epoch"),
-        F.when(F.col("_s.best_epoch") >= 0, F.col("_s.best")).alias("best_loss"),
-        F.coalesce("_s.stop", F.lit(-1).cast("bigint")).alias("stop_epoch"),
+        F.coalesce("_best_epoch", F.lit(-1).cast("bigint")).alias("best_epoch"),
+        F.col("_best").alias("best_loss"),
+        F.coalesce(F.when(never, F.col("_stop_without_best")).otherwise(F.col("_stop_at")), F.lit(-1).cast("bigint")).alias("stop_epoch"),
     )
 
 
+def _last_improvements(records: DataFrame, run: Sequence[str], patience: int, min_delta: float) -> DataFrame:
+    """Per run the last improvement before the stop: _best, _best_epoch and _stop_at, the epoch ``patience`` later."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, best, found, at, stop, stopped = None, math.inf, None, 0, None, False
+
+        def row(kind: pa.DataType) -> pa.RecordBatch:
+            columns = [pa.array([current], kind), pa.array([best], pa.float64()), pa.array([found], pa.int64()), pa.array([stop], pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, ["_run", "_best", "_best_epoch", "_stop_at"])
+
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field("_run").type
+            for key, pos, epoch, loss, later in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if key != current:
+                    if found is not None:
+                        yield row(kind)
+                    current, best, found, at, stop, stopped = key, math.inf, None, 0, None, False
+                if stopped or pos - at > patience:
+                    stopped = True
+                elif loss < best - min_delta:
+                    best, found, at, stop = loss, epoch, pos, later
+        if found is not None:
+            yield row(kind)
+
+    rows = records.select(F.struct(*run).alias("_run"), "_pos", "_epoch", "_loss", "_stop")
+    dealt = rows.repartition("_run").sortWithinPartitions("_run", "_pos")
+    folded = dealt.mapInArrow(fold, f"_run {rows.schema['_run'].dataType.simpleString()}, _best double, _best_epoch long, _stop_at long")
+    return folded.select(*[F.col(f"_run.{c}").alias(c) for c in run], "_best", "_best_epoch", "_stop_at")
+
+
+def stopping_point(losses: Sequence[float], patience: int, min_delta: float) -> tuple[int, int]:
+    """The rule for one run that is under way: (index of the best epoch, index of the stop), -1 for none."""
+    best, found, stop = math.inf, -1, -1
+    for i, loss in enumerate(losses):
+        if loss < best - min_delta:
+            best, found = loss, i
+        elif i - found >= patience:
+            stop = i
+            break
+    return found, stop
+
+
 def best_checkpoint(
     history: DataFrame, run: Sequence[str] = ("run",), epoch: str = "epoch", loss: str = "val_loss", **options
 ) -> DataFrame:
@@ -96,7 +119,8 @@ def epoch_report(
     history: DataFrame, run: Sequence[str] = ("run",), epoch: str = "epoch", loss: str = "val_loss", **layout_options
 ) -> DataFrame:
     """Per epoch: the loss, its change since the previous epoch and the lowest loss so far."""
-    low = running(history, run, [epoch], {"best_so_far": ("min", F.col(loss))}, **layout_options)
-    laid = lay_out(low, run, [epoch], before=1, **layout_options)
+    # a row of the chunk before changes no running minimum of this one
+    laid = lay_out(history, run, [epoch], before=1, **layout_options)
+    laid = running_in(laid, {"best_so_far": ("min", F.col(loss))})
     delta = F.col(loss) - F.lag(loss, 1).over(laid.window())
     return laid.own_rows(laid.df.withColumn("delta", delta))

@@ -404,3 +404,5 @@ ORACLES["h1_model_sequences"] = (
     ORACLES["e3_complete_windows"].split("select series_id, event_id, round(m, 6)")[0].replace(", 24)", ", 6)").replace("23 following", "5 following")
     + "select series_id, event_id, family, 1 as same, 1 as decided from w, (values ('logistic'), ('trees')) as f(family) where n = 6 and y is not null"
 )
+ORACLES["g4_halving_search"] = "select cast(i as int) as trial, 1 as same, 1 as chosen, 3 as finished from range(20) as r(i)"
+ORACLES["g5_stopped_fits"] = "select family, 1 as kept_state, 1 as learned, 1 as ended from (values ('logistic'), ('trees')) as f(family)"

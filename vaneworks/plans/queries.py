@@ -560,6 +560,50 @@ def _(spark, sf):
     return both.select("trial", F.col("chosen").cast("int").alias("chosen"), repeated.cast("int").alias("repeated"))
 
 
+@query("g4_halving_search")
+def _(spark, sf):
+    """20 trials, four at a time, of which half go on to twice the iterations, against the same trials one after the other."""
+    rows, names = _training_rows(spark, sf)
+    rows = splits.head_split(rows, order=("window_start", "event_id"), end="label_timestamp")
+    _, trials = models.search(rows, names, trials=20, max_iter=8, parallelism=4, keep_one_in=2)
+    _, serial = models.search(rows.repartition(5), names, trials=20, max_iter=8, parallelism=1)
+    both = trials.join(serial.select("trial", F.col("val_loss").alias("_alone")), "trial")
+    finished = F.col("iterations") == 8
+    lowest = F.min(F.when(finished, F.struct("_alone", "trial"))).over(Window.partitionBy("family"))  # one row per trial
+    return both.withColumn("_low", lowest["trial"]).select(
+        "trial",
+        (~finished | (F.abs(F.col("val_loss") - F.col("_alone")) < 1e-6)).cast("int").alias("same"),
+        (F.col("is_best") == (F.col("_low") == F.col("trial"))).cast("int").alias("chosen"),
+        F.sum(finished.cast("int")).over(Window.partitionBy("family")).cast("int").alias("finished"),
+    )
+
+
+@query("g5_stopped_fits")
+def _(spark, sf):
+    """Real fits of both families that the stopping rule ends: their histories, the rule over them, and the kept state."""
+    rows, names = _training_rows(spark, sf)
+    rows = materialise(splits.head_split(_planted(rows), order=("window_start", "event_id"), end="label_timestamp"), "planted-windows")
+    out = []
+    for family, setting, delta in (("logistic", {}, 0.01), ("trees", {"learning_rate": 0.05}, 0.002)):
+        model, history = models.fit_epochs(rows, names, family=family, setting=setting, max_iter=30, epoch_iterations=2, patience=2, min_delta=delta)
+        history = materialise(history, "fit-history")
+        kept = hist.best_checkpoint(history, patience=2, min_delta=delta)
+        held_out = models.score(rows.where(F.col("split") == "val"), model)
+        loss = held_out.agg(metrics.log_loss("p", "label").alias("loss")).first()["loss"]
+        first = history.where("epoch = 1").select("run", F.col("val_loss").alias("_first"))
+        last = history.groupBy("run").agg(F.max("epoch").alias("_last"), F.min("train_loss").alias("_low"))
+        stop = hist.early_stopping(history, patience=2, min_delta=delta).select("run", "stop_epoch")
+        ended = (F.col("stop_epoch") == F.col("_last")) | (F.col("stop_epoch") == -1)
+        found = kept.join(first, "run").join(last, "run").join(stop, "run")
+        out.append(found.select(
+            F.col("run").alias("family"),
+            (F.abs(F.col("best_loss") - F.lit(loss)) < 1e-6).cast("int").alias("kept_state"),
+            (F.col("best_loss") < F.col("_first")).cast("int").alias("learned"),
+            ended.cast("int").alias("ended"),
+        ))
+    return out[0].unionByName(out[1])
+
+
 @query("g5_early_stopping")
 def _(spark, sf):
     return hist.early_stopping(fixtures.history(spark, sf)).select("run", "best_epoch", "stop_epoch")

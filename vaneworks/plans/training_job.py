@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from vaneworks.functions.times import ntz
 from vaneworks.operators import metrics, models, scaling, splits, windows
+from vaneworks.operators.history import best_checkpoint
 from vaneworks.operators.scale import release_scratch
 from vaneworks.schema import ROW_ID, SERIES, TIME, PipelineConfig
 from vaneworks.session import get_session
@@ -82,11 +83,14 @@ def run(
     image_shape: tuple[int, int, int] | None = None,
     split: str = "time",
     trials: int = 0,
+    family: str = "logistic",
 ) -> DataFrame:
     """Run the job and return the metrics per split. Everything it produces is a table or a model under ``out``.
 
-    With ``trials`` the model's settings are searched on the job's own train and validation parts; the table of trials is kept
-    and the model is then fitted on the train part with the best penalty.
+    With ``trials`` the model's settings are searched on the job's own train and validation parts and the table of trials is
+    kept. The model, with the best trial's settings or the configured ones, is fitted on the train part epoch by epoch until
+    the stopping rule ends it; ``history`` has both losses of each epoch, ``best_epoch`` the rule's outcome, and the state
+    of that epoch is the stored model.
     """
     obs, rejected = observation_files.split_rejected(observation_files.with_reject_reason(obs))
     state.save_table(rejected, f"{out}/rejected")
@@ -100,16 +104,23 @@ def run(
     names = windows.window_feature_columns(parted)
     scaled = scaling.apply_scaler(parted, pooled_parameters(params), names)
 
-    penalty = config.weight_decay
+    setting = {"weight_decay": config.weight_decay} if family == "logistic" else {}
     if trials:
-        _, tried = models.search(scaled, names, trials=trials, max_iter=config.max_iter, seed=config.seed)
+        _, tried = models.search(
+            scaled, names, family=family, trials=trials, max_iter=config.max_iter, seed=config.seed,
+            parallelism=config.search_parallelism, keep_one_in=config.search_keep_one_in,
+        )
         state.save_table(tried, f"{out}/trials")
-        penalty = tried.where("is_best").first()["weight_decay"]
-    model = models.fit_logistic(
-        scaled.where(F.col("split") == "train"), names, weight_decay=penalty, max_iter=config.max_iter
-    )
+        winner = tried.where("is_best").first()
+        setting = {name: winner[name] for name in models.USED[family]}
+    model, history = models.fit_epochs(
+        scaled, names, family=family, setting=setting, max_iter=config.max_iter, epoch_iterations=config.epoch_iterations,
+        patience=config.patience, min_delta=config.min_delta, seed=config.seed,
+    )
     state.save_model(model, config, f"{out}/model")
-    state.save_table(models.objective_history(model, "logistic", scaled), f"{out}/history")
+    state.save_table(history, f"{out}/history")
+    kept = best_checkpoint(state.load_table(spark, f"{out}/history"), patience=config.patience, min_delta=config.min_delta)
+    state.save_table(kept, f"{out}/best_epoch")
 
     scored = models.score(scaled, model, config.threshold)
     state.save_table(scored.select(SERIES, ROW_ID, "window_start", "split", "label", "p", "decision"), f"{out}/scores")
@@ -133,7 +144,8 @@ def main() -> None:
     parser.add_argument("--key-mode", default="full", choices=("full", "first_token"))
     parser.add_argument("--split", default="time", choices=("time", "random"))
     parser.add_argument("--config", help="JSON file of settings")
-    parser.add_argument("--search", type=int, default=0, metavar="TRIALS", help="search the settings in so many trials")
+    parser.add_argument("--search", type=int, nargs="?", const=-1, default=0, metavar="TRIALS", help="search the settings, in so many trials or as many as configured")
+    parser.add_argument("--family", default="logistic", choices=tuple(models.USED))
     parser.add_argument("--out", required=True)
     args = parser.parse_args()
 
@@ -145,7 +157,8 @@ def main() -> None:
         series = F.regexp_extract("path", args.series_pattern, 1) if args.series_pattern else None
         images = image_files.read_images(spark, args.images, 3, args.image_shape, args.key_mode, series)
     shape = tuple(args.image_shape) if args.image_shape else None
-    run(spark, obs, images, args.out, config, shape, args.split, args.search).show(truncate=False)
+    trials = config.search_trials if args.search < 0 else args.search
+    run(spark, obs, images, args.out, config, shape, args.split, trials, args.family).show(truncate=False)
     release_scratch(spark)
     spark.stop()
 

@@ -79,10 +79,12 @@ class PipelineConfig:
     calibration_bins: int = 10
     weight_decay: float = 1e-5
     max_iter: int = 100
+    epoch_iterations: int = 5
     patience: int = 10
     min_delta: float = 0.001
     search_trials: int = 20
     search_parallelism: int = 4
+    search_keep_one_in: int = 1
     image_grid: int = 2
     seed: int = 42
     fit_on: str = "train"
