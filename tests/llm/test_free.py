@@ -42,6 +42,32 @@ def test_automaton_on_trie_equals_edit_distance():
         assert lexicon._near(word, k) == (1 / min(near) if near else 0)
 
 
+def test_weights_of_terms_and_stems_equal_edit_distance():
+    rng = random.Random(8)
+    terms = {"".join(rng.choice("abc") for _ in range(rng.randint(4, 10))) + rng.choice(["", "", "*"]): float(rng.randint(1, 9)) for _ in range(25)}
+    lexicon = toxicity.Lexicon(terms)
+    fuzzy = 0
+    for _ in range(4000):
+        word = "".join(rng.choice("abcd") for _ in range(rng.randint(3, 12)))
+        exact = [w for t, w in terms.items() if word == t or (t[-1] == "*" and len(word) >= len(t) and word.startswith(t[:-1]))]
+        near = [0.0]
+        for t, w in terms.items():
+            bare = t.rstrip("*")
+            k = min(toxicity.allowed_edits(len(word)), toxicity.allowed_edits(len(bare)))
+            e = min(edits(word[:i], bare) for i in range(len(word))) if t[-1] == "*" else edits(word, bare)
+            if max(1, e) <= k:
+                near.append(w / max(1, e))
+        assert lexicon.weight(word) == (max(exact) if exact else toxicity.MISSPELLED * max(near)), word
+        fuzzy += not exact and max(near) > 0
+    assert fuzzy > 150
+
+
+def test_misspelled_ends_and_stems_are_found():
+    lexicon = toxicity.Lexicon({"pathetic": 2.0, "vermin*": 4.0})
+    assert lexicon.weight("aathetie") == toxicity.MISSPELLED * 1.0
+    assert {lexicon.weight(w) for w in ("vermnins", "virmins", "vrminous")} == {toxicity.MISSPELLED * 4.0}
+
+
 def test_hits_and_context():
     lexicon = toxicity.Lexicon({"idiot": 2.0, "lowe*": 1.0})
     plain, addressed, quoted = (toxicity.features(t, lexicon) for t in ("what an idiot here", "you are an idiot", 'they said "idiot" there'))
@@ -212,3 +238,37 @@ def test_scan_query_equals_the_rules(spark):
     texts = dict(duckdb.sql(f"select doc_id, coalesce(text, '') from '{SF}/documents.parquet'").fetchall())
     for r in QUERIES["op8_secret_scan"](spark, SF).collect():
         assert r.spans == ",".join(f"{secret_scan.RULES[k].kind}:{a}:{b}" for a, k, b in expected(texts[r.doc_id]))
+
+
+def test_a_hundred_rules_are_all_found(spark):
+    rules = tuple(secret_scan.Rule(f"k{i}", f"r{i}x", "[0-9]", 8) for i in range(100))
+    texts = [(i, f"see r{i}x123456 and r{(i * 7 + 3) % 100}x9876543, r{i}x1") for i in range(100)]
+    got = secret_scan.scan(spark.createDataFrame(texts, "doc_id int, text string"), rules=rules).collect()
+    for r in got:
+        want = []
+        for rule in rules:
+            want += [(m.start(), rule.kind, m.end()) for m in re.finditer(f"{rule.head}{rule.tail}+", texts[r.doc_id][1]) if m.end() - m.start() >= 8]
+        assert sorted((s.start, s.kind, s.end) for s in r.found) == sorted(want) and len(want) >= 1
+
+
+def test_every_shipped_rule_against_re(spark):
+    rng = random.Random(1)
+    alphabet = "ABCXYZabcdefxyz0123456789_-./= "
+    heads = {"assign": ["password=", 'API_KEY" : "'], "hex": [""], "json_token": ["eyJab_9.eyJ"], "private_key": ["-----BEGIN "]}
+    texts = []
+    for rule in secret_scan.RULES:
+        sample = heads.get(rule.kind) or [re.sub(r"\[(.)[^]]*\]", r"\1", re.sub(r"\(([^|)]*)[^)]*\)", r"\1", rule.head))]
+        pool = [c for c in alphabet + "defDEF" if re.fullmatch(rule.tail, c)]
+        for n in (rule.least - 12, rule.least, rule.least + 30):
+            texts.append(" é " + rng.choice(sample) + "".join(rng.choice(pool) for _ in range(max(1, n))) + rng.choice(["", " ", '"', "é"]) + rng.choice(sample))
+    got = secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
+    found = set()
+    for r in got:
+        want = []
+        for rule in secret_scan.RULES:
+            for m in re.finditer(f"(?:{rule.head})((?:{rule.tail})+)", texts[r.doc_id]):
+                if len(m.group(m.lastindex)) >= rule.least if rule.counts == "tail" else m.end() - m.start() >= rule.least:
+                    want.append((m.start(), rule.kind, m.end()))
+        assert sorted((s.start, s.kind, s.end) for s in r.found) == sorted(want), texts[r.doc_id]
+        found |= {k for _, k, _ in want}
+    assert found == {rule.kind for rule in secret_scan.RULES}

@@ -161,3 +161,33 @@ def test_word_hashes_tell_words_apart():
         for a, b, h in zip(chunk.start, chunk.end, chunk.hashes(lower=False).tolist(), strict=True):
             assert found.setdefault(h, chunk.data[a:b].tobytes()) == chunk.data[a:b].tobytes()
     assert len(set(found.values())) == len(found)
+
+
+@pytest.mark.parametrize("size", [1024, 2048, 4096])
+def test_words_made_to_collide_do_not(spark, size):
+    """Two words that any polynomial modulo 2**64 takes for one."""
+    word = "a"
+    while len(word) < size:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    (chunk,) = chunks(pa.array([f"{word} {other} {word}"]))
+    a, b, c = chunk.hashes(lower=True).tolist()
+    assert a != b and a == c
+    docs = spark.createDataFrame([(1, word), (2, other)], "doc_id int, text string")
+    assert sorted(r.component_id for r in part_enum.similarity_components(docs).collect()) == [1, 2]
+    rest = " ".join(f"w{i}" for i in range(19))
+    docs = spark.createDataFrame([(1, f"{word} {rest}"), (2, f"{other} {rest}")], "doc_id int, text string")
+    assert [r.n_removed for r in substring_dedup.substring_dedup(docs).collect()] == [0, 0]
+
+
+def test_word_hashes_follow_the_word_alone():
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdé") for _ in range(rng.randint(1, 30))) for _ in range(400)]
+    by_word = {}
+    for gap in (" ", "\n  "):
+        for size in (50, 10_000):
+            for chunk in chunks(pa.array([gap.join(words), words[0]]), size):
+                spans = [chunk.data[s:e].tobytes() for s, e in zip(chunk.start, chunk.end, strict=True)]
+                for span, h in zip(spans, chunk.hashes(lower=False).tolist(), strict=True):
+                    assert by_word.setdefault(span, h) == h
+    assert len(set(by_word.values())) == len(by_word) == len(set(words))

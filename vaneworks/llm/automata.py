@@ -102,10 +102,12 @@ class _Moves:
 
 @dataclass(frozen=True)
 class Automaton:
-    """``moves[state, byte]``; state 0 is the start; ``accepts[state]`` has bit k if rule k ends there."""
+    """``moves[state, byte]``; state 0 is the start. ``accepts[state]`` numbers the set of rules that end there, 0 for none;
+    ``member[set, k]`` tells whether rule k is in it. So any number of rules costs one number a byte."""
 
     moves: np.ndarray
     accepts: np.ndarray
+    member: np.ndarray
 
     @property
     def dead(self) -> int:
@@ -156,7 +158,7 @@ def _closure(net: _Moves, states: set[int]) -> frozenset[int]:
     return frozenset(seen)
 
 
-def _deterministic(net: _Moves, start: int, ends: dict[int, int], anywhere: bool) -> tuple[np.ndarray, np.ndarray]:
+def _deterministic(net: _Moves, start: int, ends: dict[int, int], anywhere: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     first = _closure(net, {start})
     number = {first: 0}
     rows: list[np.ndarray] = []
@@ -179,15 +181,15 @@ def _deterministic(net: _Moves, start: int, ends: dict[int, int], anywhere: bool
                 known[key] = number[target]
             row[b] = known[key]
         rows.append(row)
-    accepts = np.zeros(len(todo), dtype=np.int64)
-    for i, current in enumerate(todo):
-        for s in current:
-            if s in ends:
-                accepts[i] |= 1 << ends[s]
-    return np.array(rows), accepts
+    sets = {frozenset(): 0}
+    accepts = np.array([sets.setdefault(frozenset(ends[s] for s in current if s in ends), len(sets)) for current in todo])
+    member = np.zeros((len(sets), len(ends)), dtype=bool)
+    for own, n in sets.items():
+        member[n, list(own)] = True
+    return np.array(rows), accepts, member
 
 
-def _minimal(moves: np.ndarray, accepts: np.ndarray) -> Automaton:
+def _minimal(moves: np.ndarray, accepts: np.ndarray, member: np.ndarray) -> Automaton:
     """Merge states that no input tells apart."""
     _, group = np.unique(accepts, return_inverse=True)
     while True:
@@ -202,4 +204,4 @@ def _minimal(moves: np.ndarray, accepts: np.ndarray) -> Automaton:
         if order[group[s]] < 0:
             order[group[s]] = len(found)
             found.append(s)
-    return Automaton(order[group[moves[found]]].astype(np.int32), accepts[found])
+    return Automaton(order[group[moves[found]]].astype(np.int32), accepts[found], member)

@@ -266,11 +266,12 @@ def near_duplicates(docs: DataFrame, vec_id: str = "vec_id", vector: str = "embe
     labels = components(held.select(F.col("_cls").alias("a"), F.col("_root").alias("b")))
     named = classes.join(labels, F.col("_cls") == F.col("node"), "left").select("_cls", "_first", "_weight", F.coalesce("root", "_cls").alias("_root"))
     named = named.join(counts, F.col("_cls") == F.col("_c"), "left").drop("_c")
-    smallest = named.groupBy("_root").agg(F.min("_first").alias("_component")).withColumnRenamed("_root", "_r")
+    # stored, so that the join with it can split a component that holds many of the classes
+    smallest = stored(named.groupBy("_root").agg(F.min("_first").alias("_component")).withColumnRenamed("_root", "_r"), "smallest")
     linked = F.col("_weight") - 1 + F.coalesce("_n", F.lit(0))
     known = named.join(smallest, F.col("_root") == F.col("_r")).select(F.col("_cls").alias("_c"), linked.alias("_links"), "_component")
     known = stored(known, "known")
-    for df in (classes, places, held, labels):
+    for df in (classes, places, held, labels, smallest):
         drop_stored(df)
     out = coded.join(known, F.col("_cls") == F.col("_c"), "left")
     component = F.when(F.col("_cls").isNull(), F.col("_id")).otherwise(F.col("_component"))

@@ -36,7 +36,8 @@ class Rule:
     counts: str = "match"
 
 
-#: Fixed patterns. The first three are the base; the others add well-known token formats.
+#: Fixed patterns. The first three are the base; the others add well-known token formats. Rules may be any number, but those whose
+#: tails share characters can be under way together, and each such set of rules is a state of the one automaton: a dozen may be too many.
 RULES = (
     Rule("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?""", "[A-Za-z0-9+/_.=-]", 12, "tail"),
     Rule("access", "AKIA", "[A-Z0-9]", 18),
@@ -55,14 +56,16 @@ class Scanner:
         self.rules = rules
         self.automaton = compile_rules([f"(?:{r.head})(?:{r.tail})+" for r in rules])
         self.moves = np.ascontiguousarray(self.automaton.moves.reshape(-1) * 256, dtype=np.int32)  # states as row offsets
-        self.accepts = self.automaton.accepts.astype(np.uint8)
+        sets = len(self.automaton.member)
+        self.accepts = self.automaton.accepts.astype(np.uint8 if sets <= 256 else np.uint16 if sets <= 65_536 else np.int32)
+        self.member = self.automaton.member
         self.cuts = np.zeros(256, dtype=bool)
         self.cuts[self.automaton.resets()] = True
         self.heads = [compile_backward(r.head) if r.head else None for r in rules]
 
     def accepted(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """For each byte the rules that accept after it."""
-        out = np.zeros(len(data), dtype=np.uint8)
+        """For each byte the number of the set of rules that accept after it."""
+        out = np.zeros(len(data), dtype=self.accepts.dtype)
         # a piece ends behind a byte after which the state is the start again, or at the end of a text
         cut = self.cuts[data]
         starts = np.zeros(len(data) + 1, dtype=bool)
@@ -90,8 +93,11 @@ class Scanner:
         edge = np.zeros(len(data) + 1, dtype=bool)
         edge[bounds] = True
         found = []
+        seen = self.member[np.unique(accepted)].any(axis=0)
         for k, rule in enumerate(self.rules):
-            on = (accepted >> k) & 1 > 0
+            if not seen[k]:
+                continue
+            on = self.member[:, k][accepted]
             before = np.zeros(len(on), dtype=bool)
             before[1:] = on[:-1]
             before[edge[:-1]] = False
@@ -124,7 +130,7 @@ class Scanner:
         state = 0
         for at in range(low, end):
             state = int(self.moves[state + int(data[at])])
-            if self.accepts[state >> 8] >> k & 1:
+            if self.member[self.accepts[state >> 8], k]:
                 return at
         return None
 

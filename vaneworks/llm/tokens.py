@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Texts are worked on in groups of about so many bytes, whatever an Arrow batch holds.
 CHUNK_BYTES = 1_000_000
 
@@ -28,21 +28,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    """base**0 ... base**(n-1), kept for texts of usual size."""
-    if n > len(_POWERS.get(base, ())):
-        out = np.full(max(n, CHUNK_BYTES + 1), base, dtype=np.uint64)
-        out[0] = 1
-        out = np.multiply.accumulate(out)
-        if len(out) > 4 * CHUNK_BYTES:
-            return out[:n]
-        _POWERS[base] = out
-    return _POWERS[base][:n]
-
-
 def runs(hashed: np.ndarray, n: int) -> np.ndarray:
     """64 bits of every run of n numbers."""
     out = np.zeros(max(0, len(hashed) - n + 1), dtype=np.uint64)
@@ -75,12 +60,20 @@ class Chunk:
     def hashes(self, lower: bool) -> np.ndarray:
         """64 bits of each word; with ``lower`` A-Z count as a-z."""
         data = _LOWER[self.data] if lower else self.data
-        power = _powers(int(_BASE), len(data) + 1)
-        total = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:-1], out=total[1:])
-        inverse = _powers(pow(int(_BASE), -1, 1 << 64), len(data) + 1)
-        span = (total[self.end] - total[self.start]) * inverse[self.start]
-        return mix(span + (self.end - self.start).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+        if not len(self.start):
+            return np.zeros(0, dtype=np.uint64)
+        # eight bytes of a word at a time, each mixed with its number in the word: sums of these have no pattern to collide by
+        lanes = (self.end - self.start + 7) >> 3
+        first = np.concatenate([[0], np.cumsum(lanes)[:-1]])
+        word = np.repeat(np.arange(len(lanes)), lanes)
+        number = np.arange(len(word)) - first[word]
+        at = self.start[word] + 8 * number
+        padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+        eight = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))[at]
+        beyond = np.maximum(0, 8 - (self.end[word] - at)).astype(np.uint64) * np.uint64(8)
+        eight = eight << beyond >> beyond  # bytes behind the word go
+        total = np.add.reduceat(mix(eight + mix((number + 1).astype(np.uint64) * _STEP)), first)
+        return mix(total ^ mix((self.end - self.start).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)))
 
     def ngrams(self, hashed: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """64 bits of every run of n words inside one text, and the word at which it starts."""

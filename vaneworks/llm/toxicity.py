@@ -2,7 +2,7 @@
 
 The lexicon is a trie of terms, whole words or stems (``lex*`` stands for all words that begin so). A word is looked up by
 running its Levenshtein automaton down the trie: bit sets of the places in the word that 0 ... k edits reach, a branch left
-when they are empty. A hit counts by its term's weight, and by its context window: quotation marks around it or a word of
+when they are empty. Words that hold no piece of a term near its place are passed over first, which loses none. A hit counts by its term's weight, and by its context window: quotation marks around it or a word of
 reporting before it speak for quotation, a word of address near it for abuse. A logistic model turns a document's sums
 into a score.
 
@@ -55,17 +55,20 @@ class Lexicon:
 
     def __init__(self, terms: dict[str, float]):
         self.root: dict = {}
-        self.ends2: set[str] = set()
-        self.begins2: set[str] = set()
-        self.fuzzy = any(allowed_edits(len(t.rstrip("*"))) for t in terms)
+        self.known: dict[str, float] = {}
+        #: Places at which a piece of a term begins, by piece: of a term that allows k edits k + 1 pieces, of which one stays whole.
+        self.pieces: dict[str, set[int]] = {}
         for term, weight in terms.items():
+            bare = term.rstrip("*")
             node = self.root
-            for c in term.rstrip("*"):
+            for c in bare:
                 node = node.setdefault(c, {})
-            node["*" if term.endswith("*") else "."] = (weight, len(term.rstrip("*")))
-            self.begins2.add(term[:2])
-            self.ends2.add(term[-2:] if not term.endswith("*") else "")
-        self.known: dict[str, float] = {}
+            node["*" if term.endswith("*") else "."] = (weight, len(bare))
+            if k := allowed_edits(len(bare)):
+                cuts = [len(bare) * i // (k + 1) for i in range(k + 2)]
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    self.pieces.setdefault(bare[a:b], set()).add(a)
+        self.sizes = sorted({len(p) for p in self.pieces})
 
     def weight(self, word: str) -> float:
         """The weight of the best term that the word is or misspells; 0 for none."""
@@ -77,9 +80,6 @@ class Lexicon:
         return found
 
     def _look_up(self, word: str) -> float:
-        # one edit leaves either the first or the last two letters as they are, two edits at both ends are not looked for
-        if word[:2] not in self.begins2 and word[-2:] not in self.ends2:
-            return 0.0
         node = self.root
         best = 0.0
         for n, c in enumerate(word):
@@ -93,10 +93,19 @@ class Lexicon:
         if best:
             return best
         k = allowed_edits(len(word))
-        return MISSPELLED * self._near(word, k) if k and self.fuzzy else 0.0
+        return MISSPELLED * self._near(word, k) if k and self._shares_piece(word, k) else 0.0
+
+    def _shares_piece(self, word: str, k: int) -> bool:
+        """Does the word hold a piece of a term, at most k places from its own? No word within k edits of a term lacks one."""
+        for size in self.sizes:
+            for i in range(len(word) - size + 1):
+                places = self.pieces.get(word[i : i + size])
+                if places and any(abs(i - p) <= k for p in places):
+                    return True
+        return False
 
     def _near(self, word: str, k: int) -> float:
-        """The best whole term within k edits: the word's automaton, run along the trie."""
+        """The best term within k edits of the word or, for a stem, of a beginning of it: the word's automaton, run along the trie."""
         places: dict[str, int] = {}
         for i, c in enumerate(word):
             places[c] = places.get(c, 0) | 1 << i
@@ -108,12 +117,13 @@ class Lexicon:
         best, todo = 0.0, [(self.root, start)]
         while todo:
             node, reach = todo.pop()
-            hit = node.get(".")
-            if hit:
-                for e in range(1, k + 1):
-                    if reach[e] & end and e <= allowed_edits(hit[1]):
-                        best = max(best, hit[0] / e)
-                        break
+            for mark, wanted in ((".", end), ("*", end - 1)):  # a whole word ends at its end, a stem before it
+                hit = node.get(mark)
+                if hit:
+                    for e in range(1, min(k, allowed_edits(hit[1])) + 1):
+                        if reach[e] & wanted:
+                            best = max(best, hit[0] / e)
+                            break
             for c, below in node.items():
                 if c in ".*":
                     continue
