@@ -65,6 +65,18 @@ select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
 from base
 """
 
+OP9 = rf"""
+with recursive d as (select doc_id, {_WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as ws from documents),
+s as materialized (select distinct doc_id, array_to_string(ws[i:i + 3], ' ') as g
+  from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 2))) as i from d where len(ws) > 0)),
+n as materialized (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+l as materialized (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+reach as (select doc_id as a, doc_id as b from documents union select reach.a, l.b from reach join l on l.a = reach.b),
+least as (select a, min(b) as component_id from reach group by a)
+select d.doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, component_id from d join least on least.a = d.doc_id left join n on n.doc_id = d.doc_id
+"""
+
 OP10 = rf"""
 with d as (select doc_id, {_WORDS} as ws from documents),
 w as (select doc_id, i, array_to_string(ws[i:i + 19], ' ') as win from (select doc_id, ws, unnest(range(1, len(ws) - 18)) as i from d)),
@@ -146,5 +158,5 @@ select doc_id, n_features, weight, score, case when n_features >= 20 and place <
 
 ORACLES = {
     "op11_embedding_near_dedup": OP11, "op12_spelling_variants": OP12, "op13_importance_resampling": OP13,
-    "op10_substring_dedup": OP10, "op3_line_dedup": OP3, "op4_chat_formatting": OP4, "op7_quality_rules": OP7,
+    "op9_ngram_jaccard_join": OP9, "op10_substring_dedup": OP10, "op3_line_dedup": OP3, "op4_chat_formatting": OP4, "op7_quality_rules": OP7,
 }
