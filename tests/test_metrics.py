@@ -133,7 +133,7 @@ def test_scores_are_never_ordered_in_one_task(spark):
     lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
     for i, line in enumerate(lines):
         if "SinglePartition" in line:  # only over one row per piece
-            assert "HashAggregate(keys=[_piece" in lines[i + 1]
+            assert "HashAggregate(keys=[_chunk" in lines[i + 1]
 
 
 def test_null_group_and_nan_scores(spark):
@@ -141,3 +141,15 @@ def test_null_group_and_nan_scores(spark):
     df = spark.createDataFrame(rows, "g string, p double, y int")
     assert {r.g: r.auc for r in metrics.roc_auc(df, by=["g"]).collect()} == {None: 1.0, "a": 0.0}
     assert {r.g: r.n for r in metrics.pointwise(df, by=["g"]).collect()} == {None: 2, "a": 2}
+
+
+def test_scores_are_cut_by_position_without_a_list(spark):
+    rng = random.Random(3)
+    rows = [(0.5 + 1e-12 * rng.randint(0, 5000), rng.randint(0, 1)) for _ in range(4000)]  # all within 5e-9
+    table = metrics.score_table(scored(spark, rows), pieces=40)
+    plan = table._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile" not in plan and "_chunk" in plan
+    got = metrics.rank_metrics(table).first()
+    assert got["auc"] == pytest.approx(pair_auc(rows)) and got["average_precision"] == pytest.approx(step_ap(rows))
+    held = table.collect()
+    assert all(r["all_pos"] == sum(y for _, y in rows) for r in held) and len(held) == len({p for p, _ in rows})

@@ -130,3 +130,46 @@ def test_no_pixels_in_the_window_shuffle(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "pixels" not in "".join(line for line in plan.splitlines() if "Exchange" in line or "Window" in line)
     assert "SinglePartition" not in plan
+
+
+@pytest.mark.parametrize("cells", [0, 4])
+def test_observations_move_once(spark, cells):
+    rows = observation_rows({1: 40, 2: 9})
+    skip = lambda i: i % 13 == 5
+    pooled = windows.pool_images(images_for(spark, rows, skip), 1, 2, 2, grid=2)
+    obs = observations(spark, rows)
+    once = windows.labelled_windows(obs, pooled, 6, pool=("mean", "last"), cells=cells, strategy="partition")
+    plan = once._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange" in line and "distinct" not in line]
+    assert "Join" not in plan and sum("REPARTITION_BY_COL" in line for line in moved) == 1
+    assert len(moved) == (1 if cells else 2)  # the second is the distinct of the image keys
+    joined = windows.labelled_windows(
+        obs, pooled.withColumn("series_id", F.col("series_id").cast("int")), 6, pool=("mean", "last"), cells=cells,
+        strategy="partition",
+    )
+    assert "Join" in joined._jdf.queryExecution().executedPlan().toString()
+    same_rows(once, joined)
+
+
+def test_images_without_a_key_meet_nothing(spark):
+    rows = observation_rows({None: 8, 2: 8})
+    images = images_for(spark, [(None, *r[1:]) if r[0] is None else r for r in rows])
+    got = windows.labelled_windows(observations(spark, rows), images, 6, pool=())
+    assert {r["series_id"] for r in got.collect()} == {2}
+
+
+@pytest.mark.parametrize("large", [4, 400])
+def test_chunks_hold_bounded_bytes_of_pixels(spark, large):
+    rows = observation_rows({1: 60, 2: 9})
+    images = images_for(spark, rows).withColumn(
+        "pixels", F.when(F.col("timestamp") > F.lit(START + dt.timedelta(hours=20)),
+                         F.concat("pixels", F.array_repeat(F.lit(0.0).cast("float"), large - 4))).otherwise(F.col("pixels")),
+    )
+    limit = 16 * 4 * large
+    options = windows.payload_layout(images, "pixels", 6, chunk_bytes=limit)
+    assert options == windows.payload_layout(images, "pixels", 6, 4 * large, limit) == {"max_series_rows": 16, "chunk_rows": 10}
+    assert (options["chunk_rows"] + 6) * 4 * large <= limit
+    plain = windows.labelled_windows(observations(spark, rows), images, 6, pool=(), pixels="pixels", strategy="partition")
+    cut = windows.labelled_windows(observations(spark, rows), images, 6, pool=(), pixels="pixels", **options)
+    assert cut.count() == 54 + 3
+    same_rows(cut, plain)

@@ -6,18 +6,19 @@ The rank metrics first reduce the rows to one per distinct score, map-side.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from vaneworks.functions.vectors import above
+from vaneworks.operators.scale import Layout, join_small, lay_out, running_in
 
-#: distinct scores in a piece of the order, about; totals of so many pieces may be sent to every executor
+#: distinct scores in a piece of the order
 PIECE_ROWS = 500_000
-BROADCAST_PIECES = 100_000
+SLICES = 8
 _LOG_FLOOR = -100.0  # fixed value: lower bound of a log term
 
 
@@ -80,11 +81,11 @@ def pointwise(
     )
 
 
-def _score_bounds(df: DataFrame, p: str, pieces: int) -> list[float]:
-    """Distinct quantiles of the scores: fixed cut points, so every later pass cuts at the same places."""
-    shares = [i / pieces for i in range(1, pieces)]
-    found = df.agg(F.percentile_approx(p, shares, 100 * pieces).alias("q")).first()["q"] if shares else None
-    return sorted(set(found or []))
+def _slices(table: DataFrame, lo: float | None, hi: float | None) -> Layout:
+    """A table that one task could order, in slices of equal width of the scores."""
+    width = (hi or 0.0) - (lo or 0.0)
+    at = F.floor((F.col("p") - lo) / width * SLICES) if 0.0 < width < math.inf else F.lit(0).cast("bigint")
+    return Layout(table.withColumns({"_chunk": at, "_halo": F.lit(False)}), ("_chunk",), ("p",), chunked=True)
 
 
 def score_table(
@@ -92,56 +93,37 @@ def score_table(
 ) -> DataFrame:
     """One row per distinct score (and group) with the positives and negatives at it and below it.
 
-    Columns ``*by, p, pos, neg, pos_below, neg_below, all_pos, all_neg``. The scores are cut at quantiles into
-    ``pieces``; running counts are local to a piece and take in the totals of the lower pieces (one row per group
-    and piece), so no task holds the whole order.
+    Columns ``*by, p, pos, neg, pos_below, neg_below, all_pos, all_neg``. A group with more than ``PIECE_ROWS`` distinct
+    scores is cut by the positions of its scores; running counts are local to a piece and take in the totals of the
+    lower ones, so no task holds the whole order. ``pieces`` sets the number of pieces instead.
     """
     rows = _scored(df, p, y).select(*by, F.col(p).alias("p"), F.col(y).alias("y"))
-    if pieces is None:  # so many that a piece has a bounded number of distinct scores, whatever the table's size
-        pieces = max(2, -(-rows.agg(F.approx_count_distinct("p")).first()[0] // PIECE_ROWS))
-    bounds = _score_bounds(rows, "p", pieces)
     table = rows.groupBy(*by, "p").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") != 1).alias("neg"))
-    splits = [float("-inf"), *bounds, float("inf")]
-    table = Bucketizer(splits=splits, inputCol="p", outputCol="_piece").transform(table) if bounds else table.withColumn(
-        "_piece", F.lit(0.0)
-    )
-    piece = [*by, "_piece"]
-    inside = Window.partitionBy(*piece).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    lower = Window.partitionBy(*by).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    group = Window.partitionBy(*by)
-    totals = table.groupBy(*piece).agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
-    zero = F.lit(0).cast("bigint")
-    totals = totals.select(
-        *piece,
-        F.coalesce(F.sum("_pos").over(lower), zero).alias("_pos_lower"),
-        F.coalesce(F.sum("_neg").over(lower), zero).alias("_neg_lower"),
-        F.sum("_pos").over(group).alias("all_pos"),
-        F.sum("_neg").over(group).alias("all_neg"),
-    )
-    totals = totals.withColumnsRenamed({c: f"_key_{c}" for c in piece})
-    same = F.lit(True)
-    for c in piece:
-        same = same & F.col(f"`{c}`").eqNullSafe(F.col(f"`_key_{c}`"))
-    if not by and pieces <= BROADCAST_PIECES:
-        totals = F.broadcast(totals)  # one row per piece
-    return (
-        table.withColumns(
-            {
-                "_pos_in": F.coalesce(F.sum("pos").over(inside), zero),
-                "_neg_in": F.coalesce(F.sum("neg").over(inside), zero),
-            }
-        )
-        .join(totals, same)
-        .select(
-            *by,
-            "p",
-            "pos",
-            "neg",
-            (F.col("_pos_in") + F.col("_pos_lower")).alias("pos_below"),
-            (F.col("_neg_in") + F.col("_neg_lower")).alias("neg_below"),
-            "all_pos",
-            "all_neg",
-        )
+    limit = PIECE_ROWS
+    sums = F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg")
+    totals = {"_pos": ("sum", F.col("pos")), "_neg": ("sum", F.col("neg"))}
+    if not by or pieces is not None:
+        whole = table.agg(F.count("*").alias("n"), F.min("p").alias("lo"), F.max("p").alias("hi"), *sums).first()
+        limit = limit if pieces is None else max(1, -(-whole["n"] // pieces))
+    if not by and whole["n"] <= limit:
+        laid = _slices(table, whole["lo"], whole["hi"])
+    else:
+        laid = lay_out(table, by, ["p"], max_series_rows=limit, chunk_rows=limit)
+    counted = running_in(laid, totals)
+    counted = laid.own_rows(counted.df)
+    if by:
+        counted = join_small(counted, table.groupBy(*by).agg(*sums), by)
+    else:
+        counted = counted.withColumns({c: F.lit(whole[c]).cast("bigint") for c in ("all_pos", "all_neg")})
+    return counted.select(
+        *by,
+        "p",
+        "pos",
+        "neg",
+        (F.col("_pos") - F.col("pos")).alias("pos_below"),
+        (F.col("_neg") - F.col("neg")).alias("neg_below"),
+        "all_pos",
+        "all_neg",
     )
 
 

@@ -10,11 +10,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
+from pyspark.sql.types import ArrayType, DoubleType, LongType
 
 from vaneworks.functions.pixels import cell_means
-from vaneworks.operators.scale import lay_out, running
+from vaneworks.operators.scale import CHUNK_ROWS, MAX_SERIES_ROWS, lay_out, running
 from vaneworks.schema import FEATURES, LABEL, ORDER, SERIES, TIME
 
+#: pixels that one task may hold as rows of its windows, before they are stacked
+CHUNK_BYTES = 512 << 20
 _POOL = {"mean": F.avg, "min": F.min, "max": F.max, "last": None}
 
 
@@ -44,6 +48,45 @@ def pool_images(images: DataFrame, channels: int, height: int, width: int, grid:
     return images.withColumn("cells", means).drop(pixels)
 
 
+def payload_layout(images: DataFrame, column: str, length: int, row_bytes: int | None = None, chunk_bytes: int = CHUNK_BYTES) -> dict[str, int]:
+    """Options of ``lay_out`` that keep the images of a chunk below ``chunk_bytes``, the rows copied across its cut included.
+
+    ``row_bytes`` is the size of the largest image; without it one aggregate over the column finds it. A window has
+    ``length`` rows, so a chunk holds twice as many at least.
+    """
+    if row_bytes is None:
+        kind = images.schema[column].dataType
+        if isinstance(kind, ArrayType):
+            measured = F.size(column) * (8 if isinstance(kind.elementType, (DoubleType, LongType)) else 4)
+        else:
+            measured = F.octet_length(column)
+        row_bytes = images.agg(F.max(measured)).first()[0]
+    rows = max(chunk_bytes // max(row_bytes or 1, 1) - length, length)
+    return {"max_series_rows": min(MAX_SERIES_ROWS, rows + length), "chunk_rows": min(CHUNK_ROWS, rows)}
+
+
+def with_payload(rows: DataFrame, side: DataFrame, series: Sequence[str], last: str) -> DataFrame:
+    """Observations with the columns of the image row of their series and time, dealt by series alone.
+
+    Both kinds of rows are dealt and sorted together, so the frames over the series that follow need neither a second
+    exchange nor a second sort of the observations. ``last`` is the column that orders rows of one time. Image rows
+    without a series or time meet nothing, as in a join.
+    """
+    key = [*series, TIME]
+    names = [c for c in side.columns if c not in key]
+    known = F.lit(True)
+    for c in key:
+        known = known & F.col(c).isNotNull()
+    both = rows.withColumn("_obs", F.lit(True)).unionByName(
+        side.where(known).withColumn("_obs", F.lit(False)), allowMissingColumns=True
+    )
+    same = Window.partitionBy(*key).orderBy(last).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    met = both.repartition(*series).select(
+        *rows.columns, "_obs", *[F.first(c, ignorenulls=True).over(same).alias(c) for c in names]
+    )
+    return met.where("_obs").drop("_obs")
+
+
 def labelled_windows(
     obs: DataFrame,
     images: DataFrame | None,
@@ -56,6 +99,7 @@ def labelled_windows(
     series: Sequence[str] = (SERIES,),
     order: Sequence[str] = ORDER,
     label: str = LABEL,
+    pixel_bytes: int | None = None,
     **layout_options,
 ) -> DataFrame:
     """Complete labelled windows, one row each, named by their first row.
@@ -69,13 +113,17 @@ def labelled_windows(
         Adds ``seq``, the features of every step (array of ``length`` arrays).
     pixels
         Name of an image column to stack over the window as ``images``. Each image moves once per shuffle and is
-        repeated only inside the task that builds the window.
+        repeated only inside the task that builds the window. Series are cut by the bytes of their images.
+    pixel_bytes
+        Size of the largest image, if known; otherwise ``pixels`` are measured first.
     cells
         Number of values in the image column ``cells`` (see ``pool_images``) to average over the window as
         ``mean_cell_<i>``.
     """
     key = (*series, TIME)
     payload = [c for c in (pixels, "cells" if cells else None) if c]
+    if pixels:
+        layout_options = payload_layout(images, pixels, length, pixel_bytes) | layout_options
     laid = lay_out(
         obs.select(*dict.fromkeys([*series, *order, *features, label])),
         series, order, after=length, **layout_options,
@@ -83,7 +131,14 @@ def labelled_windows(
     rows = laid.df
     if images is not None:
         side = images.select(*key, *payload) if payload else images.select(*key).distinct()
-        rows = rows.join(side.withColumn("_image", F.lit(1)), list(key), "left")
+        side = side.withColumn("_image", F.lit(1))
+        # one exchange needs the uncut series as its key, key columns of one type, and no name used twice
+        plain = not laid.chunked and series and tuple(order[:1]) == (TIME,) and len(order) == 2
+        alike = all(rows.schema[c].dataType == side.schema[c].dataType for c in key)
+        if plain and alike and not set(payload) & set(rows.columns):
+            rows = with_payload(rows, side, series, order[1])
+        else:
+            rows = rows.join(side, list(key), "left")
 
     w, frame = laid.window(), laid.frame(0, length - 1)
     found = F.count("_image" if images is not None else F.lit(1)).over(frame)
