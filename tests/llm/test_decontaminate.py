@@ -41,3 +41,22 @@ def test_overlaps_equal_brute_force(spark):
     got = decontaminate.flagged(spark.createDataFrame(text(docs), "doc_id int, text string"), spark.createDataFrame(text(items), "item_id int, text string"))
     assert {(r.doc_id, str(list(r.item_ids))) for r in got.collect()} == want
     assert sum(w != "[]" for _, w in want) > 100
+
+
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_short_items_are_found_whole_and_apart(spark, limit):
+    rng = random.Random(8)
+    letters = "ab"
+    items = [(n, "".join(rng.choice(letters) for _ in range(size))) for n, size in enumerate((1, 2, 3, 5, 7, 9, 10, 10, 11))]
+    items += [(90, ""), (91, None), (92, "abba")]
+    docs = [(n, "".join(rng.choice(letters) for _ in range(rng.randint(0, 60)))) for n in range(60)] + [(60, None), (61, "c" * 3000 + "abba"), (None, "abba")]
+    short = [(n, item) for n, item in items if item and len(item) < 11]
+    want = {(d, str([n for n, item in short if item in (text or "")])) for d, text in docs}
+    spread = lambda rows: [(i, t if t is None else " ".join(t)) for i, t in rows]
+    got = decontaminate.flagged(
+        spark.createDataFrame(spread(docs), "doc_id int, text string"), spark.createDataFrame(spread(items), "item_id int, text string"),
+        broadcast_seeds=limit,
+    ).collect()
+    assert {(r.doc_id, str(list(r.short_item_ids))) for r in got} == want and len(got) == len(docs)
+    assert all(r.contaminated == bool(r.item_ids) and set(r.item_ids) <= {8} for r in got)
+    assert any(r.short_item_ids and not r.contaminated for r in got)
