@@ -182,6 +182,29 @@ def test_archive_is_deterministic_and_standard(spark):
     assert runs[0] == runs[1] and len(runs[0]) > 5
 
 
+def test_archive_of_string_ids(spark):
+    ids = ["b", "", "a b/é\r\nX-Page: 7", None, "%41", "A"]
+    pages = spark.createDataFrame([(i, "u", "same" if n % 2 else f"own {n}") for n, i in enumerate(ids)], "page_id string, url string, html string")
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.archive(pages).collect()}
+    want = {i: ("response", None) if n % 2 == 0 or i == "" else ("revisit", "") for n, i in enumerate(ids)}
+    assert got == want
+
+
+def test_shards_are_even_beside_an_outlying_id(spark):
+    """Three hundred pages, an id far away, a third of all pages without an id: every shard but the heaviest key stays near the limit."""
+    rows = [(i, f"u{i}", f"{i:04d}" * 250) for i in range(300)] + [(2**62, "u", "far")] + [(None, f"n{i}", f"{i:05d}" * 200) for i in range(150)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    known = warc.digests(pages, "page_id", "html")
+    starts = warc.shard_starts(known, 30_000)
+    total = sum(len(r[2]) + warc.HEADER_BYTES for r in rows)
+    assert len(starts) == -(-total // 30_000) and starts[0][0] is None
+    sizes = {}
+    for r in known.withColumn("s", warc.shard_of(starts)("_page", "_sha1")).collect():
+        sizes[r.s] = sizes.get(r.s, 0) + r._size + warc.HEADER_BYTES
+    assert sorted(sizes) == list(range(len(starts))) and max(sizes.values()) <= 30_000 + 1500
+    assert len(warc.archive(pages, shard_bytes=30_000).collect()) == len(rows)
+
+
 def scanned(texts):
     scanner = secret_scan.scanner_for(secret_scan.RULES)
     out = []

@@ -43,6 +43,17 @@ select o.conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text
 from o join b on o.conv_id = b.conv_id group by o.conv_id, b.bad_turn, b.last_role
 """
 
+OP6 = """
+with p as (select page_id, coalesce(html, '') as h from pages),
+d as (select page_id, h, sha1(h) as s, min(page_id) over (partition by h) as first from p)
+select page_id, cast(strlen(h) as bigint) as payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + ((('0x' || substr(s, 1 + 5 * (i // 4), 5))::integer >> cast(15 - 5 * (i % 4) as integer)) & 31), 1)), '') as payload_digest,
+       case when first is distinct from page_id and first is not null then 'revisit' else 'response' end as record_type,
+       case when first is distinct from page_id then first end as refers_to
+from d
+"""
+
 OP7 = rf"""
 with d as (select doc_id, source as host, coalesce(text, '') as text, {_WORDS} as ws, string_split(coalesce(text, ''), chr(10)) as ls from documents),
 {_LINES.strip()},
@@ -158,5 +169,5 @@ select doc_id, n_features, weight, score, case when n_features >= 20 and place <
 
 ORACLES = {
     "op11_embedding_near_dedup": OP11, "op12_spelling_variants": OP12, "op13_importance_resampling": OP13,
-    "op9_ngram_jaccard_join": OP9, "op10_substring_dedup": OP10, "op3_line_dedup": OP3, "op4_chat_formatting": OP4, "op7_quality_rules": OP7,
+    "op9_ngram_jaccard_join": OP9, "op10_substring_dedup": OP10, "op3_line_dedup": OP3, "op4_chat_formatting": OP4, "op6_warc_writer": OP6, "op7_quality_rules": OP7,
 }
