@@ -1,4 +1,5 @@
 import json
+import os
 
 import numpy as np
 import pytest
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import observation_rows, observations, same_rows
 from vaneworks.schema import FEATURES, OBSERVATION_SCHEMA, PipelineConfig
-from vaneworks.sources import images, requests, state
+from vaneworks.sources import images, requests, state, store
 from vaneworks.sources import observations as obs_source
 
 
@@ -223,3 +224,61 @@ def test_bad_sequences_have_a_reason(spark):
     got = scoring.score_sequences(spark.createDataFrame(rows, "request_id long, content_type string, body string"), {"intercept": 0.0, "mean_temperature": 1.0}, length=2).collect()
     assert {r.request_id: r.reject_reason or "ok" for r in got} == dict(enumerate(bodies)) | {90: "empty_sequence", 91: "wrong_width", 92: "malformed"}
     assert [r.request_id for r in got if r.response is not None] == [0]
+
+
+def test_store_packs_each_state_of_a_file_once(spark, tmp_path):
+    source, packed = tmp_path / "in", str(tmp_path / "store")
+    (source / "day 1" / "cam=é").mkdir(parents=True)
+
+    def put(name, value, when):
+        np.save(source / name, np.full((1, 2, 2), value) + np.arange(4).reshape(1, 2, 2))
+        os.utime(source / name, (when, when))
+
+    assert store.pack_images(spark, str(source), packed) == 0 and store.read_store(spark, packed).collect() == []
+    for hour in range(5):
+        put(f"2024010{1 + hour % 2}_0{hour}0000.npy", hour, 1_700_000_000)
+    put("day 1/cam=é/20240103_000000.npy", 7, 1_700_000_000)
+    (source / "20240109_000000.npy").write_bytes(b"no array")
+    (source / "_20240109_000000.npy").write_bytes(b"hidden")
+    (source / "20240109_000000.txt").write_bytes(b"note")
+    assert store.pack_images(spark, str(source), packed, shape=(1, 2, 2), pack_bytes=400) == 7
+    assert store.pack_images(spark, str(source), packed, shape=(1, 2, 2)) == 0
+
+    put("20240101_000000.npy", 50, 1_700_000_100)  # changed
+    put("20240201_000000.npy", 60, 1_700_000_100)  # new
+    (source / "20240102_010000.npy").unlink()  # deleted, stays in the store
+    before = {r.path for r in store.manifest(spark, packed).collect()}
+    assert store.pack_images(spark, str(source), packed, shape=(1, 2, 2)) == 2
+    second = {r.path.split("/")[-1] for r in store.manifest(spark, packed).where("run = 2").collect()}
+    assert second == {"20240101_000000.npy", "20240201_000000.npy"} and len(before) == 7
+    assert spark.read.parquet(f"{packed}/images/run=2").count() == 2
+
+    got = {r.path: r for r in store.read_store(spark, packed).collect()}
+    names = {p.split("/")[-1]: r for p, r in got.items()}
+    assert len(got) == 8 and names["20240101_000000.npy"].pixels == [50.0, 51.0, 52.0, 53.0]
+    assert names["20240109_000000.npy"].reject_reason == "undecodable" and names["20240102_010000.npy"].pixels[0] == 1.0
+    direct = {r.path: r for r in images.read_images(spark, str(source / "*.npy"), shape=(1, 2, 2)).collect()}
+    assert all(got[p] == r for p, r in direct.items()) and len(direct) == 6
+
+
+def test_store_passes_over_a_run_without_a_manifest(spark, tmp_path):
+    source, packed = tmp_path / "in", str(tmp_path / "store")
+    source.mkdir()
+    np.save(source / "20240101_000000.npy", np.ones((1, 1, 1)))
+    store.pack_images(spark, str(source), packed)
+    broken = spark.read.parquet(f"{packed}/images/run=1")
+    broken.withColumn("path", F.lit("x/20240105_000000.npy")).write.parquet(f"{packed}/images/run=2")
+    assert [r.path.split("/")[-1] for r in store.read_store(spark, packed).collect()] == ["20240101_000000.npy"]
+    np.save(source / "20240102_000000.npy", np.ones((1, 1, 1)))
+    assert store.pack_images(spark, str(source), packed) == 1
+    assert sorted(r.path.split("/")[-1] for r in store.read_store(spark, packed).collect()) == ["20240101_000000.npy", "20240102_000000.npy"]
+
+
+def test_listing_holds_no_file_in_the_driver(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"d{k}").mkdir()
+        for i in range(4):
+            np.save(tmp_path / f"d{k}" / f"2024010{1 + i}_000000.npy", np.ones((1, 1, 1)))
+    files = store.list_files(spark, str(tmp_path))
+    plan = files._jdf.queryExecution().toString()
+    assert files.count() == 12 and "binaryFile" not in plan and "LocalTableScan" not in plan and "LocalRelation" not in plan

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vaneworks.functions.times import wall_micros
@@ -97,14 +97,16 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def write_image_files(spark: SparkSession, sf_dir: str) -> str:
+def write_image_files(spark: SparkSession, sf_dir: str, folder: str | None = None, which: Column | None = None) -> str:
     """Each embedding as an ``.npy`` file in a new shared folder, named by a running hour; returns the folder.
 
+    ``which`` says which of the vectors arrive now, and ``folder`` where, when they come in several deliveries.
+
     One file in ten has no time of day in its name, and each vector leaves a text file beside its image.
     """
     from pyarrow import fs
 
-    folder = scratch_path(spark, "images")
+    folder = folder or scratch_path(spark, "images")
     shape = IMAGE_SHAPE
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,7 +125,8 @@ def write_image_files(spark: SparkSession, sf_dir: str) -> str:
     hour = F.timestamp_add("HOUR", F.col("vec_id").cast("int"), F.to_timestamp(F.lit("2024-01-01 00:00:00")))
     stamp = F.when(F.col("vec_id") % 10 == 0, F.concat(F.date_format(hour, "yyyyMMdd"), F.lit("_v"), F.col("vec_id")))
     name = F.coalesce(stamp, F.concat(F.date_format(hour, "yyyyMMdd_HHmmss"), F.lit("_v"), F.col("vec_id").cast("string")))
-    named = table(spark, sf_dir, "embeddings").select(name.alias("name"), "embedding")
+    arriving = table(spark, sf_dir, "embeddings").where(which if which is not None else F.lit(True))
+    named = arriving.select(name.alias("name"), "embedding")
     named.mapInPandas(write, "name string").count()
     return folder
 

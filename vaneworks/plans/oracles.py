@@ -169,6 +169,9 @@ ORACLES: dict[str, str] = {
  case when event_id % 7 = 0 then -1 else epoch_us(ts) end as lenient_us from events""",
     "a3_read_images": f"""with p as ({_PIXELS}), t as (select vec_id, {_FILE_TIME} as t from embeddings)
 select p.vec_id, epoch_us(t.t) as time_us, p.pos, round(p.x, 6) as pixel from p join t on p.vec_id = t.vec_id""",
+    "a3_packed_images": f"""with p as ({_PIXELS}), t as (select vec_id, {_FILE_TIME} as t from embeddings)
+select p.vec_id, case when p.vec_id % 3 = 0 then 2 else 1 end as run, epoch_us(t.t) as time_us, p.pos, round(p.x, 6) as pixel
+from p join t on p.vec_id = t.vec_id""",
     "a4_file_time": """select event_id,
  epoch_us(date_trunc(case when event_id % 10 = 0 then 'day' else 'second' end, ts)) as full_us,
  epoch_us(date_trunc('day', ts)::timestamp) as token_us from events""",

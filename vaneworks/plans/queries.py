@@ -18,7 +18,7 @@ from vaneworks.schema import FEATURES, PipelineConfig
 from vaneworks.sources import images as image_files
 from vaneworks.sources import observations as observation_files
 from vaneworks.sources import requests as request_json
-from vaneworks.sources import state
+from vaneworks.sources import state, store
 from vaneworks.streaming import scoring
 from vaneworks.streaming.images import settle_images
 from vaneworks.streaming.windows import WindowStream, trailing_windows
@@ -96,6 +96,21 @@ def _(spark, sf):
     ).withColumn("pixel", F.round(F.col("pixel").cast("double"), 6))
 
 
+@query("a3_packed_images")
+def _(spark, sf):
+    """Two deliveries, the second one in a folder below the first; a run after each."""
+    folder, packed = scratch_path(spark, "images"), scratch_path(spark, "image-store")
+    late = F.col("vec_id") % 3 == 0
+    for place, which in ((folder, ~late), (f"{folder}/late", late)):
+        fixtures.write_image_files(spark, sf, place, which)
+        store.pack_images(spark, folder, packed, rank=3, shape=fixtures.IMAGE_SHAPE)
+    images = store.read_store(spark, packed).where(F.col("reject_reason").isNull())
+    vec = F.regexp_extract("path", r"_v(\d+)\.npy$", 1).cast("bigint")
+    return images.join(store.manifest(spark, packed).select("path", "run"), "path").select(
+        vec.alias("vec_id"), "run", _micros("timestamp").alias("time_us"), F.posexplode("pixels").alias("pos", "pixel")
+    ).withColumn("pixel", F.round(F.col("pixel").cast("double"), 6))
+
+
 @query("a4_file_time")
 def _(spark, sf):
     day, clock = F.date_format("ts", "yyyyMMdd"), F.date_format("ts", "HHmmss")

@@ -19,7 +19,7 @@ from vaneworks.schema import ROW_ID, SERIES, TIME, PipelineConfig
 from vaneworks.session import get_session
 from vaneworks.sources import images as image_files
 from vaneworks.sources import observations as observation_files
-from vaneworks.sources import state
+from vaneworks.sources import state, store
 
 POOL = ("mean", "min", "max", "last")
 
@@ -139,6 +139,7 @@ def main() -> None:
     parser.add_argument("--observations", required=True)
     parser.add_argument("--format", default="csv", choices=("csv", "parquet"))
     parser.add_argument("--images", help="directory of .npy files; without it windows are not tested for images")
+    parser.add_argument("--image-store", help="folder where the images are packed; a later run reads new files only")
     parser.add_argument("--image-shape", type=int, nargs=3, metavar=("C", "H", "W"))
     parser.add_argument("--series-pattern", help="regular expression whose first group of the image path is the series")
     parser.add_argument("--key-mode", default="full", choices=("full", "first_token"))
@@ -155,7 +156,11 @@ def main() -> None:
     images = None
     if args.images:
         series = F.regexp_extract("path", args.series_pattern, 1) if args.series_pattern else None
-        images = image_files.read_images(spark, args.images, 3, args.image_shape, args.key_mode, series)
+        if args.image_store:
+            store.pack_images(spark, args.images, args.image_store, 3, args.image_shape)
+            images = store.read_store(spark, args.image_store, args.key_mode, series)
+        else:
+            images = image_files.read_images(spark, args.images, 3, args.image_shape, args.key_mode, series)
     shape = tuple(args.image_shape) if args.image_shape else None
     trials = config.search_trials if args.search < 0 else args.search
     run(spark, obs, images, args.out, config, shape, args.split, trials, args.family).show(truncate=False)

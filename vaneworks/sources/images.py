@@ -40,7 +40,7 @@ def file_time(path: Column, key_mode: str = "full") -> Column:
     return F.coalesce(F.try_to_timestamp(full, F.lit("yyyyMMdd_HHmmss")).cast("timestamp_ntz"), day)
 
 
-def _decode_one(content: bytes, rank: int, shape: tuple[int, ...] | None) -> tuple:
+def decode_one(content: bytes, rank: int, shape: tuple[int, ...] | None) -> tuple:
     """(shape, float32 values or None, error or None) of one file."""
     try:
         array = np.load(io.BytesIO(content), allow_pickle=False)
@@ -55,6 +55,17 @@ def _decode_one(content: bytes, rank: int, shape: tuple[int, ...] | None) -> tup
     return array.shape, array.astype(np.float32, copy=False).ravel(), None
 
 
+def decoded_structs(decoded: Sequence[tuple]) -> pa.StructArray:
+    """The results of ``decode_one`` as an Arrow array of ``struct<shape, pixels, error>``."""
+    shapes = pa.array([s and list(s) for s, _, _ in decoded], pa.list_(pa.int32()))
+    known = np.array([p is not None for _, p, _ in decoded], dtype=bool)
+    sizes = np.array([0 if p is None else len(p) for _, p, _ in decoded])
+    values = [p for _, p, _ in decoded if p is not None]
+    flat = np.concatenate(values) if values else np.empty(0, np.float32)
+    errors = pa.array([e for _, _, e in decoded], pa.string())
+    return pa.StructArray.from_arrays([shapes, lists(flat, known, sizes), errors], IMAGE_SCHEMA.names)
+
+
 def decode_npy(rank: int = 3, shape: Sequence[int] | None = None):
     """Arrow UDF from file bytes to ``struct<shape, pixels, error>``; pixels are float32 in row-major order."""
     wanted = tuple(shape) if shape is not None else None
@@ -62,14 +73,8 @@ def decode_npy(rank: int = 3, shape: Sequence[int] | None = None):
     @F.arrow_udf(IMAGE_SCHEMA)
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for contents in batches:
-            decoded = [_decode_one(c.as_py(), rank, wanted) for c in contents]
-            shapes = pa.array([s and list(s) for s, _, _ in decoded], pa.list_(pa.int32()))
-            known = np.array([p is not None for _, p, _ in decoded], dtype=bool)
-            sizes = np.array([0 if p is None else len(p) for _, p, _ in decoded])
-            values = [p for _, p, _ in decoded if p is not None]
-            flat = np.concatenate(values) if values else np.empty(0, np.float32)
-            errors = pa.array([e for _, _, e in decoded], pa.string())
-            yield pa.StructArray.from_arrays([shapes, lists(flat, known, sizes), errors], IMAGE_SCHEMA.names)
+            decoded = [decode_one(c.as_py(), rank, wanted) for c in contents]
+            yield decoded_structs(decoded)
 
     return decode
 
@@ -112,17 +117,16 @@ def read_images(
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path)
     # not deterministic for the optimizer: a later filter on the reason must not decode every file a second time
     image = decode_npy(rank, shape).asNondeterministic()(F.col("content"))
-    return (
-        files.select("path", image.alias("image"))
-        .withColumn(TIME, file_time(F.col("path"), key_mode))
-        .select(
-            (series if series is not None else F.lit(0)).cast("bigint").alias(SERIES),
-            TIME,
-            "path",
-            "image.shape",
-            "image.pixels",
-            F.coalesce(F.col("image.error"), F.when(F.col(TIME).isNull(), F.lit("bad_timestamp"))).alias(
-                "reject_reason"
-            ),
-        )
+    return image_rows(files.select("path", image.alias("image")), key_mode, series)
+
+
+def image_rows(decoded: DataFrame, key_mode: str = "full", series: Column | None = None) -> DataFrame:
+    """``(path, image)`` with decoded images as the rows that ``read_images`` returns."""
+    return decoded.withColumn(TIME, file_time(F.col("path"), key_mode)).select(
+        (series if series is not None else F.lit(0)).cast("bigint").alias(SERIES),
+        TIME,
+        "path",
+        "image.shape",
+        "image.pixels",
+        F.coalesce(F.col("image.error"), F.when(F.col(TIME).isNull(), F.lit("bad_timestamp"))).alias("reject_reason"),
     )
