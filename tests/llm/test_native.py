@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from vaneworks.llm import chat_format, decontaminate, line_dedup, quality_rules
@@ -52,19 +53,23 @@ def quality_rows():
     return rows
 
 
-def test_quality_verdicts(spark):
-    out = quality_rules.quality(spark.createDataFrame(quality_rows(), DOCS).withColumn("kept", F.lit("x")), keep_text=True).collect()
+@pytest.mark.parametrize("keep_first", [False, True])
+def test_quality_verdicts(spark, keep_first):
+    docs = spark.createDataFrame(quality_rows(), DOCS).withColumn("kept", F.lit("x"))
+    out = quality_rules.quality(docs, keep_text=True, keep_first=keep_first).collect()
     assert len(out) == len(quality_rows())
     by = {}
     for r in out:
         by.setdefault(r.doc_id, []).append(r)
     assert all(by[i][0].kept for i in range(60))
-    assert by[0][0].removed_words == 0 and all(by[i][0].removed_words == 5 and "BOILER" not in by[i][0].clean_text for i in range(1, 60))
+    whole = {0} if keep_first else set()
+    assert {i for i in range(60) if by[i][0].removed_words == 0} == whole
+    assert all(by[i][0].removed_words == 5 and "BOILER" not in by[i][0].clean_text for i in range(60) if i not in whole)
     assert not any(by[i][0].kept for i in range(100, 103))
     assert all(by[i][0].kept for i in range(200, 280))
-    assert [i for i in range(400, 460) if by[i][0].kept] == [400]
+    assert [i for i in range(400, 460) if by[i][0].kept] == ([400] if keep_first else [])
     assert by[900][0].base_failed and by[901][0].base_failed and by[None][0].kept and len(by[902]) == 2
-    assert "Python" not in plan(quality_rules.quality(spark.createDataFrame(quality_rows(), DOCS)))
+    assert "Python" not in plan(quality_rules.quality(docs, keep_first=keep_first))
 
 
 def test_quality_of_nothing(spark):

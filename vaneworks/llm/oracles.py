@@ -63,10 +63,10 @@ cov as (select doc_id, count(*) as n from (select distinct doc_id, i + j as w fr
 dup as (select doc_id, count(*) - count(distinct line) as n from lines group by doc_id),
 norm as (select l.doc_id, l.host, l.i, d.text, regexp_replace(trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')), '[0-9]', '0', 'g') as line
          from lines l join d on l.doc_id = d.doc_id),
-freq as (select host, line, count(distinct text) as texts, min(doc_id) as first_id from norm group by host, line),
+freq as (select host, line, count(distinct text) as texts from norm group by host, line),
 hosts as (select host, count(distinct text) as n from norm group by host),
 lost as (select doc_id, sum(len(string_split(norm.line, ' '))) as n from norm join freq on norm.host = freq.host and norm.line = freq.line
-         join hosts on hosts.host = norm.host where texts > 50 and 1000 * texts > 5 * hosts.n and doc_id <> first_id group by doc_id),
+         join hosts on hosts.host = norm.host where texts > 50 and 1000 * texts > 5 * hosts.n group by doc_id),
 base as (select d.doc_id, cast(len(ws) as bigint) as n_words, cast(length(array_to_string(ws, '')) as bigint) as word_chars,
                 cast(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as bigint) as n_symbols, cast(coalesce(dup.n, 0) as bigint) as n_dup_lines,
                 cast(coalesce(cov.n, 0) as bigint) as n_repeat_words, cast(coalesce(lost.n, 0) as bigint) as removed_words

@@ -2,8 +2,9 @@
 
 A line is compared lower-cased, with white space runs as one space and digits as 0. For each host it is counted in how
 many different texts it stands; copies of a whole text count once. Lines in more texts than the limit are boilerplate and
-are removed, except where they stand first (smallest doc_id of the host), so that of a group of near copies one
-document stays whole. A document that loses more than ``MAX_REMOVED_PERCENT`` of its words is rejected.
+are removed wherever they stand; with ``keep_first`` they stay where they stand first (smallest doc_id of the host), so
+that of a group of near copies one document stays whole. A document that loses more than ``MAX_REMOVED_PERCENT`` of its
+words is rejected.
 
 Rows: nulls in ``text`` are empty texts, nulls in ``host`` are a host of their own, a null ``doc_id`` comes before all
 others. Rows with equal doc_id and equal text are the same document, rows with equal doc_id and other text are not.
@@ -84,7 +85,7 @@ def line_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host:
 
 
 def frequent_lines(lines: DataFrame, min_limit: int = MIN_LIMIT, per_mille: int = LIMIT_PER_MILLE) -> DataFrame:
-    """The lines above the limit of their host: _host, _line, _texts, _first_id, _first_key (where the line stays)."""
+    """The lines above the limit of their host: _host, _line, _texts, _first_id, _first_key (where ``keep_first`` lets the line stay)."""
     once = lines.groupBy("_host", "_line", "_key").agg(F.min("_id").alias("_id"), F.max(F.col("_id").isNull()).alias("_no_id"))
     first = F.min(F.struct(F.when(F.col("_no_id"), None).otherwise(F.col("_id")).alias("i"), F.col("_key").alias("k")))
     counts = once.groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_texts"), first.alias("_first"))
@@ -97,7 +98,7 @@ def frequent_lines(lines: DataFrame, min_limit: int = MIN_LIMIT, per_mille: int
     )
 
 
-def removed_lines(lines: DataFrame, frequent: DataFrame) -> DataFrame:
+def removed_lines(lines: DataFrame, frequent: DataFrame, keep_first: bool = False) -> DataFrame:
     """Per document with a line to remove: _id, _key, _gone (line positions), _gone_words. Rows of a hot line meet their limit in ``SALTS`` parts."""
     spread = lines.withColumn("_salt", F.pmod(F.xxhash64("_id", "_key"), F.lit(SALTS)).cast("int"))
     copies = frequent.select(
@@ -105,15 +106,16 @@ def removed_lines(lines: DataFrame, frequent: DataFrame) -> DataFrame:
         F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_s2"),
     )
     met = spread.join(copies, F.col("_host").eqNullSafe(F.col("_h2")) & (F.col("_line") == F.col("_l2")) & (F.col("_salt") == F.col("_s2")))
-    later = ~(F.col("_id").eqNullSafe(F.col("_first_id")) & (F.col("_key") == F.col("_first_key")))
-    once = met.where(later).groupBy("_id", "_key", "_pos").agg(F.max("_n").alias("_n"))
+    if keep_first:
+        met = met.where(~(F.col("_id").eqNullSafe(F.col("_first_id")) & (F.col("_key") == F.col("_first_key"))))
+    once = met.groupBy("_id", "_key", "_pos").agg(F.max("_n").alias("_n"))
     return once.groupBy("_id", "_key").agg(F.collect_list("_pos").alias("_gone"), F.sum("_n").alias("_gone_words"))
 
 
-def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", keep_text: bool = False, **limits) -> DataFrame:
+def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", keep_text: bool = False, keep_first: bool = False, **limits) -> DataFrame:
     """``docs`` with the figures, ``removed_words`` and the verdict ``kept``; with ``keep_text`` also ``clean_text``, without removed lines."""
     lines = line_rows(docs, doc_id, text, host)
-    gone = removed_lines(lines, frequent_lines(lines, **limits))
+    gone = removed_lines(lines, frequent_lines(lines, **limits), keep_first)
     gone = gone.withColumnsRenamed({"_id": "_gone_id", "_key": "_gone_key"})
     base = base_rules(docs.withColumn("_key", text_key(F.col(text))), text)
     if not keep_text:
