@@ -27,7 +27,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     A null source is a host of its own; equal rows are judged alike and all stay.
     """
-    judged = quality_rules.quality(docs, keep_text=True).where("kept")
+    judged = quality_rules.quality(docs, keep_text=True, keep_first=True).where("kept")
     return _as_documents(docs, judged, "clean_text")
 
 
