@@ -343,3 +343,21 @@ def test_images_settle_before_with_and_after_their_rows(spark, tmp_path):
     assert want.count() > 20 and dropped == 1 and online.late_rows(spark).count() == 0
     with pytest.raises(ValueError, match="has_image"):
         settle_images(obs.withColumn("has_image", F.lit(True)), pics, "1 hour")
+
+
+def test_sequence_requests_are_dealt_over_files_by_their_number(spark, monkeypatch):
+    from pathlib import Path
+    from conftest import SF
+    from vaneworks.operators import scale
+    from vaneworks.plans import queries
+
+    monkeypatch.setattr(queries, "REQUESTS_PER_FILE", 40, raising=False)
+    known = set(scale._SCRATCH)
+    got = queries.QUERIES["h1_model_sequences"](spark, SF).collect()
+    made = {p: Path(p.removeprefix("file:")) for p in scale._SCRATCH if p not in known}
+    (source,) = [path for path in made.values() if path.name.startswith("sequence-requests")]
+    sizes = [spark.read.parquet(str(f)).count() for f in source.glob("part-*.parquet")]
+    assert len(got) == 2 * sum(sizes) and all(r["same"] and r["decided"] for r in got)
+    assert len(sizes) > 4 and max(sizes) < 80
+    runs = [path for path in made.values() if path.name.startswith("sequence-checkpoint")]
+    assert [sorted(f.name for f in (path / "commits").iterdir() if f.name.isdigit()) for path in runs] == [["0", "1"]] * 2

@@ -28,6 +28,8 @@ QUERIES: dict[str, Query] = {}
 
 LENGTH = 24
 POOL = ("mean", "min", "max", "last")
+#: requests with a sequence and an image that one file of their source holds
+REQUESTS_PER_FILE = 50_000
 #: weights used where a query scores without fitting first (also written out in the oracles)
 WEIGHTS = {"intercept": -0.25, "mean_temperature": 0.75, "max_humidity": -0.5, "last_pressure": 0.125}
 TRAILING_WEIGHTS = {"intercept": -1.0, "mean_temperature": 0.0625, "mean_humidity": -0.03125}
@@ -708,6 +710,11 @@ def _planted(rows: DataFrame) -> DataFrame:
     return rows.withColumn("label", (F.col("mean_temperature") > PLANTED_ABOVE).cast("int"))
 
 
+def _request_files(rows: int) -> int:
+    """Files that ``rows`` requests are dealt over: each is one task, so their number grows with the requests."""
+    return max(4, -(-rows // REQUESTS_PER_FILE))
+
+
 @query("h1_model_sequences")
 def _(spark, sf):
     """Requests of one sequence and one image each, scored in their row by stored models of both families."""
@@ -730,13 +737,15 @@ def _(spark, sf):
     key = F.concat_ws(":", "series_id", "event_id")
     requests = rows.select(key.alias("request_id"), F.lit("application/json").alias("content_type"), body.alias("body"))
     source = scratch_path(spark, "sequence-requests")
-    requests.repartition(4, "request_id").write.parquet(source)
+    files = _request_files(rows.count())
+    requests.repartition(files, "request_id").write.parquet(source)
     out = []
     for family, fit in (("logistic", models.fit_logistic), ("trees", models.fit_boosted_trees)):
         state.save_model(fit(scaled, names, max_iter=10), PipelineConfig(), path := scratch_path(spark, "sequence-model"))
         model, config = state.load_model(spark, path)
         answers, checkpoint = (scratch_path(spark, n) for n in ("sequence-answers", "sequence-checkpoint"))
-        stream = scoring.read_requests(spark, "parquet", source, requests.schema, maxFilesPerTrigger="2")
+        # two micro-batches, however many files there are
+        stream = scoring.read_requests(spark, "parquet", source, requests.schema, maxFilesPerTrigger=str(-(-files // 2)))
         scoring.run_scoring(stream, answers, checkpoint, scaler, model, sequences=True, length=steps, image_shape=shape, grid=2).awaitTermination()
         direct = models.score(scaled, model, config.threshold).select(key.alias("request_id"), "series_id", "event_id", F.col("p").alias("_p"), F.col("decision").alias("_d"))
         both = spark.read.parquet(answers).join(direct, "request_id")
@@ -813,6 +822,7 @@ def _(spark, sf):
     online = WindowStream(
         scratch_path(spark, "online-image-windows"), schema, LENGTH, ("temperature",), images="has_image", label="storm_event"
     )
+    settled = obs.select(*[c for c in online.columns if c in obs.columns])  # what the windows do not read stays out of the state
     # a last delivery of one row and one image of no series, late enough to settle all times before it
     end = F.lit(max(upto)).cast("timestamp_ntz") + F.expr(f"interval {delay}") * 3
     closing = spark.range(1).select(end.alias("timestamp"))
