@@ -361,3 +361,38 @@ def test_sequence_requests_are_dealt_over_files_by_their_number(spark, monkeypat
     assert len(sizes) > 4 and max(sizes) < 80
     runs = [path for path in made.values() if path.name.startswith("sequence-checkpoint")]
     assert [sorted(f.name for f in (path / "commits").iterdir() if f.name.isdigit()) for path in runs] == [["0", "1"]] * 2
+
+
+def test_a_batch_joins_its_rows_once_and_an_empty_one_runs_on_nothing(spark, tmp_path, monkeypatch):
+    from vaneworks.streaming import windows as module
+
+    seen, build = [], module.trailing_windows
+
+    def watched(rows, *args, **kwargs):
+        seen.append((rows.storageLevel.useMemory, "LocalTableScan <empty>" in rows._jdf.queryExecution().executedPlan().toString()))
+        return build(rows, *args, **kwargs)
+
+    monkeypatch.setattr(module, "trailing_windows", watched)
+    obs = observations(spark, observation_rows({1: 30, 2: 9, None: 12}))
+    online = WindowStream(str(tmp_path / "o"), obs.schema, 5, FEATURE)
+    cached = len(spark.sparkContext._jsc.getPersistentRDDs())
+    late = obs.where("event_id = 3")
+    slices = [obs.where("event_id % 30 < 8"), obs.where("false"), obs.where("event_id % 30 >= 8").unionByName(late)]
+    for i, batch in enumerate(slices):
+        online.process(batch, i)
+    assert [kept for kept, _ in seen] == [True, False, True] and seen[1][1]
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) == cached
+    want = trailing_windows(obs, 5, FEATURE)
+    same_rows(online.windows(spark).drop("batch_id"), want)
+    assert [r["event_id"] for r in online.late_rows(spark).collect()] == [3] and want.count() > 30
+
+
+def test_time_slices_ask_the_files_for_their_bounds(spark):
+    from vaneworks.plans.fixtures import time_slices
+
+    rows = [(1, START + dt.timedelta(hours=i // 2), i) for i in range(40)] + [(1, None, 40)]
+    df = spark.createDataFrame(rows, "series_id long, timestamp timestamp_ntz, event_id long")
+    got = time_slices(df, "timestamp", 4, "slices-test")
+    assert [sorted(r["event_id"] for r in part.collect()) for part in got] == [[*range(10), 40], [*range(10, 20)], [*range(20, 30)], [*range(30, 40)]]
+    plans = [part._jdf.queryExecution().executedPlan().toString() for part in got]
+    assert all("LessThanOrEqual(_at" in plan for plan in plans[:3]) and all("GreaterThan(_at" in plan for plan in plans[1:])

@@ -136,7 +136,9 @@ def time_slices(df: DataFrame, time: str, parts: int, name: str) -> list[DataFra
     rows = materialise(df.withColumn("_at", wall_micros(F.col(time))), name)
     shares = [i / parts for i in range(1, parts)]
     cuts = rows.agg(F.percentile_approx("_at", shares, 10_000).alias("q")).first()["q"]
-    piece = F.lit(0)
-    for cut in cuts:
-        piece = piece + F.when(F.col("_at") > cut, 1).otherwise(0)
-    return [rows.where(piece == i).drop("_at") for i in range(parts)]
+    at, pieces = F.col("_at"), []
+    for i in range(parts):  # plain bounds, which the files' statistics can answer; rows without a time are in the first part
+        low = at > cuts[i - 1] if i else F.lit(True)
+        high = at <= cuts[i] if i < parts - 1 else F.lit(True)
+        pieces.append(rows.where((low & high) | at.isNull() if i == 0 else low & high).drop("_at"))
+    return pieces

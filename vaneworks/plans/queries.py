@@ -835,6 +835,6 @@ def _(spark, sf):
         if i == parts:
             brought = brought.unionByName(closing.withColumns({"series_id": F.lit(None).cast("bigint"), "path": F.lit("-")}))
         brought.write.mode("append").parquet(sources[1])
-        streams = [spark.readStream.schema(df.schema).parquet(path) for df, path in zip((obs, brought), sources)]
+        streams = [spark.readStream.schema(df.schema).parquet(path) for df, path in zip((settled, brought), sources)]
         online.start(settle_images(*streams, delay)).awaitTermination()
     return online.windows(spark).select("series_id", "event_id", _r("mean_temperature"), "label")

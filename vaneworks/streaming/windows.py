@@ -129,20 +129,31 @@ class WindowStream:
         spark = batch.sparkSession
         batch = batch.select(*self.columns).persist()
         before = self.held.manifest(spark, batch_id - 1)
+        cached = [batch]
+
+        def kept_once(df: DataFrame) -> DataFrame:
+            """``df`` computed once for all steps that read it; the same columns without rows if the batch brought none."""
+            if not brought:
+                return df.limit(0)
+            cached.append(df.persist())
+            return df
+
         try:
             brought = [r[0] for r in batch.select(self.held.bucket().alias("b")).distinct().collect()]  # at most one row a bucket
-            held = self._alive(self.held.read(spark, before, brought), before.newest).select(*self.columns).persist()
+            held = kept_once(self._alive(self.held.read(spark, before, brought), before.newest).select(*self.columns))
             key = F.struct(*self.order)
             newest = held.groupBy(*self.series).agg(F.max(key).alias("_newest"))
-            judged = join_small(batch, newest, self.series, "left")
             on_time = F.col("_newest").isNull() | (key > F.col("_newest"))
-            fresh = judged.where(on_time).drop("_newest")
-            late = judged.where(~on_time).drop("_newest")
+            judged = join_small(batch, newest, self.series, "left").withColumn("_on_time", on_time).drop("_newest")
+            judged = kept_once(judged)
+            late = judged.where(~F.col("_on_time")).drop("_on_time")
             late.write.mode("overwrite").parquet(f"{self.folder}/late/batch_id={batch_id}")
 
-            touched = batch.select(*self.series).distinct()
+            touched = judged.select(*self.series).distinct()
             mine, others = (join_small(held, touched, self.series, how) for how in ("left_semi", "left_anti"))
+            fresh = judged.where("_on_time").drop("_on_time")
             rows = mine.withColumn("_new", F.lit(False)).unionByName(fresh.withColumn("_new", F.lit(True)))
+            rows = kept_once(rows)
             windows = trailing_windows(
                 rows, self.length, self.features, self.series, self.order, only="_new", **self.window_options, **self.layout_options
             )
@@ -159,9 +170,9 @@ class WindowStream:
                 now = fresh.agg(F.max(TIME).alias("now")).first()["now"]
                 seen = max(filter(None, (seen, now and now.isoformat())), default=None)
             self.held.write(kept, before, batch_id, rewritten, seen)
-            held.unpersist()
         finally:
-            batch.unpersist()
+            for df in reversed(cached):
+                df.unpersist()
 
     def start(self, observations: DataFrame, available_now: bool = True) -> StreamingQuery:
         writer = observations.writeStream.foreachBatch(self.process).option(
