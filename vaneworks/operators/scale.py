@@ -63,13 +63,23 @@ def release_scratch(spark: SparkSession) -> int:
     return removed
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to scratch and read it back: later plans start from files that outlive an executor."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release_table(df: DataFrame) -> None:
+    """Delete a table of ``materialise`` that nothing reads any more."""
+    spark = df.sparkSession
+    folders = {f.rsplit("/", 2)[1] for f in df.inputFiles()}
+    for scratch in [p for p in _SCRATCH if p.rsplit("/", 1)[1] in folders]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(scratch)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _SCRATCH.remove(scratch)
+
+
 def join_small(df: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join values that exist once per key to many rows; a NULL key meets a NULL key.
 

@@ -12,7 +12,7 @@ from vaneworks.functions import pixels, vectors
 from vaneworks.functions.times import wall_micros
 from vaneworks.operators import history as hist
 from vaneworks.operators import metrics, models, scaling, splits, windows
-from vaneworks.operators.scale import materialise, scratch_path
+from vaneworks.operators.scale import materialise, release_table, scratch_path
 from vaneworks.plans import fixtures, training_job
 from vaneworks.schema import FEATURES, PipelineConfig
 from vaneworks.sources import images as image_files
@@ -710,9 +710,9 @@ def _planted(rows: DataFrame) -> DataFrame:
     return rows.withColumn("label", (F.col("mean_temperature") > PLANTED_ABOVE).cast("int"))
 
 
-def _request_files(rows: int) -> int:
-    """Files that ``rows`` requests are dealt over: each is one task, so their number grows with the requests."""
-    return max(4, -(-rows // REQUESTS_PER_FILE))
+def _requests_per_file(rows: int) -> int:
+    """Requests that a file of ``rows`` in all holds at most: each is one task, so their number grows with the requests, from 4 on."""
+    return max(1, min(REQUESTS_PER_FILE, -(-rows // 4)))
 
 
 @query("h1_model_sequences")
@@ -727,25 +727,28 @@ def _(spark, sf):
     rows = _planted(found.join(first, ["series_id", "window_start"]))
     cells = pixels.cell_means(*shape, grid=2)(pixels.standardise_image("pixels"))
     rows = rows.withColumn("_cells", cells).withColumns({f"mean_cell_{i}": F.get("_cells", F.lit(i)) for i in range(4)}).drop("_cells")
-    rows = materialise(rows, "sequence-windows")
     names = windows.window_feature_columns(rows)
-    scaled = scaling.apply_scaler(rows, training_job.pooled_parameters(scaler), [n for n in names if "cell" not in n])
-    scaled = materialise(scaled, "scaled-windows")
+    # what the requests bring and what the models read lie in one table until each has its own
+    rows = materialise(rows.select("series_id", "event_id", "label", *names, "seq", "pixels"), "sequence-windows", "zstd")
+    scaled = scaling.apply_scaler(rows.drop("seq", "pixels"), training_job.pooled_parameters(scaler), [n for n in names if "cell" not in n])
+    scaled = materialise(scaled, "scaled-windows", "zstd")
 
     image = F.transform(F.sequence(F.lit(0), F.lit(shape[1] - 1)), lambda r: F.slice("pixels", r * shape[2] + 1, shape[2]))
     body = F.to_json(F.struct(F.array(F.array(image)).alias("image"), F.array("seq").alias("sequence")))
     key = F.concat_ws(":", "series_id", "event_id")
     requests = rows.select(key.alias("request_id"), F.lit("application/json").alias("content_type"), body.alias("body"))
     source = scratch_path(spark, "sequence-requests")
-    files = _request_files(rows.count())
-    requests.repartition(files, "request_id").write.parquet(source)
+    # written where the rows are: an exchange of the bodies takes as much disk as their files
+    requests.write.options(compression="zstd", maxRecordsPerFile=str(_requests_per_file(rows.count()))).parquet(source)
+    files = len(spark.read.schema(requests.schema).parquet(source).inputFiles())
+    release_table(rows)
     out = []
     for family, fit in (("logistic", models.fit_logistic), ("trees", models.fit_boosted_trees)):
         state.save_model(fit(scaled, names, max_iter=10), PipelineConfig(), path := scratch_path(spark, "sequence-model"))
         model, config = state.load_model(spark, path)
         answers, checkpoint = (scratch_path(spark, n) for n in ("sequence-answers", "sequence-checkpoint"))
         # two micro-batches, however many files there are
-        stream = scoring.read_requests(spark, "parquet", source, requests.schema, maxFilesPerTrigger=str(-(-files // 2)))
+        stream = scoring.read_requests(spark, "parquet", source, requests.schema, maxFilesPerTrigger=str(max(1, -(-files // 2))))
         scoring.run_scoring(stream, answers, checkpoint, scaler, model, sequences=True, length=steps, image_shape=shape, grid=2).awaitTermination()
         direct = models.score(scaled, model, config.threshold).select(key.alias("request_id"), "series_id", "event_id", F.col("p").alias("_p"), F.col("decision").alias("_d"))
         both = spark.read.parquet(answers).join(direct, "request_id")
