@@ -396,3 +396,33 @@ def test_time_slices_ask_the_files_for_their_bounds(spark):
     assert [sorted(r["event_id"] for r in part.collect()) for part in got] == [[*range(10), 40], [*range(10, 20)], [*range(20, 30)], [*range(30, 40)]]
     plans = [part._jdf.queryExecution().executedPlan().toString() for part in got]
     assert all("LessThanOrEqual(_at" in plan for plan in plans[:3]) and all("GreaterThan(_at" in plan for plan in plans[1:])
+
+
+def test_tables_of_sequence_requests_carry_what_is_read_of_them_and_go(spark, monkeypatch):
+    from pathlib import Path
+    from conftest import SF
+    from vaneworks.operators import scale
+    from vaneworks.plans import queries
+
+    sent, repartition = [], type(spark.range(1)).repartition
+    monkeypatch.setattr(type(spark.range(1)), "repartition", lambda df, *args: sent.append(df.columns) or repartition(df, *args))
+    known = set(scale._SCRATCH)
+    got = queries.QUERIES["h1_model_sequences"](spark, SF)
+    made = [Path(p.removeprefix("file:")) for p in scale._SCRATCH if p not in known]
+    assert not [columns for columns in sent if "body" in columns]
+    assert not [path for path in made if path.name.startswith("sequence-windows")]
+    (scaled,) = [path for path in made if path.name.startswith("scaled-windows")]
+    assert not {"seq", "pixels"} & set(spark.read.parquet(str(scaled)).columns)
+    assert got.count() > 100 and got.where("same = 0 or decided = 0").count() == 0
+
+
+def test_release_table_deletes_that_table_only(spark):
+    from vaneworks.operators import scale
+
+    one, other = (scale.materialise(spark.range(5), name, "zstd") for name in ("released", "staying"))
+    known = list(scale._SCRATCH)
+    scale.release_table(one)
+    assert set(known) - set(scale._SCRATCH) == {p for p in known if "/released-" in p}
+    assert other.count() == 5
+    with pytest.raises(Exception, match="(?i)not.exist|not found|FileNotFound|no such"):
+        one.collect()
